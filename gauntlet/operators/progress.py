@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from gauntlet.functions.classify import MAX_ATTEMPTS, backoff_delay, classify_gen_failure, reset_delay
 
+from gauntlet.functions.num import round_to
+
 
 def running_totals(df: DataFrame, groups: list[str], order: list[str], flag: str | None = None,
                    n_ranges: int | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def retry_outcome(attempts: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         F.when(success, F.lit("success")).otherwise(F.lit("failed")).alias("outcome"),
         "attempts_used",
-        F.round("total_wait_s", 3).alias("total_wait_s"),
+        round_to("total_wait_s", 3).alias("total_wait_s"),
         message.alias("final_message"),
         F.when(success, F.lit(None).cast("string"))
         .otherwise(classify_gen_failure(message, status_for_reason)).alias("reason"),

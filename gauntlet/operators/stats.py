@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+from gauntlet.functions.num import round_to
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, "callable"]) -> DataFrame:
     """Value at 0-based rank ``ranks[name](n)`` for each group; also returns ``n``.
 
@@ -55,7 +57,7 @@ def latency_percentiles(df: DataFrame, keys: list[str], value: str, digits: int
     groups = df.select(*keys).distinct()
     return (groups.join(stats, keys, "left")
             .select(*keys, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-                    F.round("p50", digits).alias("p50"), F.round("p95", digits).alias("p95")))
+                    round_to("p50", digits).alias("p50"), round_to("p95", digits).alias("p95")))
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -85,11 +87,11 @@ def ratio_stats(df: DataFrame, keys: list[str], value: str, groups: DataFrame |
     return out.select(
         *keys,
         n.cast("bigint").alias("n_kernels_measured"),
-        F.round("_geo", 4).alias("geomean_speedup"),
-        F.round((F.col("_lo") + F.col("_hi")) / 2.0, 4).alias("median_speedup"),
-        F.round("_min", 4).alias("min_speedup"),
-        F.round("_max", 4).alias("max_speedup"),
-        F.round(F.try_divide(F.col("_faster") * 100.0, n), 2).alias("pct_faster_than_pytorch"),
+        round_to("_geo", 4).alias("geomean_speedup"),
+        round_to((F.col("_lo") + F.col("_hi")) / 2.0, 4).alias("median_speedup"),
+        round_to("_min", 4).alias("min_speedup"),
+        round_to("_max", 4).alias("max_speedup"),
+        round_to(F.try_divide(F.col("_faster") * 100.0, n), 2).alias("pct_faster_than_pytorch"),
         F.coalesce(F.col("n_nonpositive"), F.lit(0)).cast("bigint").alias("n_nonpositive"),
     )
 
@@ -100,9 +102,9 @@ def generation_telemetry(df: DataFrame, keys: list[str], latency="latency_s",
     t = F.nullif(F.col(tokens), F.lit(0))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.round(F.avg(F.round(latency, 3)), 3).alias("latency_mean"),
+        round_to(F.avg(round_to(latency, 3)), 3).alias("latency_mean"),
         F.coalesce(F.sum(t), F.lit(0)).cast("bigint").alias("total_completion"),
-        F.round(F.avg(t), 1).alias("mean_completion"),
+        round_to(F.avg(t), 1).alias("mean_completion"),
         F.count_if(F.coalesce(F.col(finish), F.lit("")) == "length").alias("truncated_count"),
     )
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gauntlet.functions.num import round_to
+
 from gauntlet.functions.classify import (
     BEHAVIOR_FAIL_BLOCK_SIZE, BEHAVIOR_FAIL_DTYPE, BEHAVIOR_FAIL_SHARED_MEM, BEHAVIOR_RUNS_NO_BF16,
     actual_behavior, failure_to_behavior, kernel_failure_type, mutation_hardware_flag, predict_by_device,
@@ -132,8 +134,8 @@ def mutation_rows(gated: DataFrame, outcomes: DataFrame, timings: DataFrame) ->
         F.col("_ft").alias("failure_type"),
         mutation_hardware_flag(F.col("_ft"), F.col("actual_behavior")).alias("is_hardware_failure"),
         stderr_excerpt(F.col("_err")).alias("stderr_excerpt"),
-        F.when(F.col("is_perf"), F.round("_base", 4)).alias("baseline_runtime_ms"),
-        F.when(F.col("is_perf"), F.round("_mut", 4)).alias("mutated_runtime_ms"),
+        F.when(F.col("is_perf"), round_to("_base", 4)).alias("baseline_runtime_ms"),
+        F.when(F.col("is_perf"), round_to("_mut", 4)).alias("mutated_runtime_ms"),
         F.col("variant").alias("mutated_kernel_code"),
     )
 
@@ -155,7 +157,7 @@ def mutation_summary(gated: DataFrame, rows: DataFrame, outcomes: DataFrame) ->
                     F.col("attempted").cast("bigint").alias("attempted"),
                     F.col("applicable").cast("bigint").alias("applicable"),
                     F.coalesce(F.col("validated"), F.lit(0)).cast("bigint").alias("validated"),
-                    F.round(F.try_divide(F.col("validated").cast("double"), F.nullif(F.col("applicable"), F.lit(0))), 4)
+                    round_to(F.try_divide(F.col("validated").cast("double"), F.nullif(F.col("applicable"), F.lit(0))), 4)
                     .alias("validation_rate"),
-                    F.round(F.try_divide(F.col("applicable").cast("double"), F.nullif(F.col("attempted"), F.lit(0))), 4)
+                    round_to(F.try_divide(F.col("applicable").cast("double"), F.nullif(F.col("attempted"), F.lit(0))), 4)
                     .alias("applicability_rate")))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gauntlet.functions.num import round_to
+
 def _try_cast(c, to: str):
     """Cast that yields null instead of raising under ANSI mode."""
     return (F.col(c) if isinstance(c, str) else c).try_cast(to)
@@ -349,7 +351,7 @@ def q_classify_gen_failure(spark, sf):
 def q_reset_delay(spark, sf):
     a = fx(spark, sf, "attempts").where(F.col("kind") == "rate_limit")
     return a.select("run_id", "item", "attempt",
-                    F.round(C.reset_delay("message", "at_ms", C.backoff_delay("attempt")), 3).alias("delay_s"))
+                    round_to(C.reset_delay("message", "at_ms", C.backoff_delay("attempt")), 3).alias("delay_s"))
 
 
 def q_backoff_delay(spark, sf):
@@ -479,7 +481,8 @@ def reported_mean(lines: DataFrame, keys, order) -> DataFrame:
     val = _try_cast(X.ustrip(F.expr("substr(line, instr(line, ':') + 1)")), "double")
     good = lines.where(F.startswith(F.col("line"), F.lit("speed up:"))).withColumn("_v", val).where(
         F.col("_v").isNotNull())
-    return good.groupBy(*keys).agg(F.max_by("_v", F.struct(*order)).alias("mean_speedup"))
+    # lines sharing a number keep the text order, as in the assembled stdout
+    return good.groupBy(*keys).agg(F.max_by("_v", F.struct(*order, "line")).alias("mean_speedup"))
 
 
 def q_parse_speedups(spark, sf):
@@ -614,7 +617,7 @@ def _phase_funnel(spark, sf):
     c = k.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_predictions"),
                                 F.count_if(_passed1()).alias("phase1_passed"),
                                 F.count_if(_passed2()).alias("phase2_passed"))
-    rate = lambda num, den: F.round(F.try_divide(F.col(num) * 100.0, F.nullif(F.col(den), F.lit(0))), 2)  # noqa
+    rate = lambda num, den: round_to(F.try_divide(F.col(num) * 100.0, F.nullif(F.col(den), F.lit(0))), 2)  # noqa
     return c.select("run_id", "total_predictions", "phase1_passed",
                     F.coalesce(rate("phase1_passed", "total_predictions"), F.lit(0.0)).alias("phase1_rate"),
                     "phase2_passed",
@@ -806,7 +809,7 @@ def q_job_generation_report(spark, sf):
                .when(F.col("_status") == "other", F.lit("unexpected parser error")))
     staged = staged.withColumn("fail_reason", F.when(message.isNotNull(), C.classify_gen_failure(message)))
     # a blank reply never returns telemetry; the others keep it even when they fail later
-    staged = (staged.withColumn("latency_s", F.when(~blank, F.round("latency_s", 3)))
+    staged = (staged.withColumn("latency_s", F.when(~blank, round_to("latency_s", 3)))
               .withColumn("completion_tokens", F.when(~blank, F.col("completion_tokens")))
               .withColumn("finish_reason", F.when(~blank, F.col("finish_reason"))))
     tele = ST.generation_telemetry(staged, ["model"])
