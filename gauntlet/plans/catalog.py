@@ -28,7 +28,7 @@ from gauntlet.operators import stats as ST
 from gauntlet.operators import variants as V
 from gauntlet.session import scratch_dir
 from gauntlet.sources import files as IO
-from gauntlet.sources.tables import fixture
+from gauntlet.sources.tables import fixture, table
 
 # ---- fixed values (must equal the evaluated pipeline's) -------------------
 PROMPT_HEADER = (
@@ -738,7 +738,7 @@ def q_metric_report(spark, sf):
 # =========================== E / F / G ===========================
 
 def q_progress_running(spark, sf):
-    ev = (spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    ev = (table(spark, sf, "events")
           .select(F.concat(F.lit("run_"), (F.col("user_id") % 4).cast("string")).alias("run_id"),
                   "event_id", "ts", (F.col("event_type") == "error").alias("failed")))
     out = PG.progress_checkpoints(ev, ["run_id"], ["ts", "event_id"], "failed", PROGRESS_EVERY["generate"])
@@ -830,18 +830,23 @@ def _evaluation_summary(spark, sf, with_generation: bool):
     counts = q_prediction_counts(spark, sf)
     funnel = _phase_funnel(spark, sf).drop("total_predictions")
     # phase 3: each order's stdout lines belong to that order's run
-    orders = spark.read.parquet(f"{sf.rstrip('/')}/orders.parquet").select(
+    orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run_order"),
         F.concat(F.lit("run_"), (F.col("o_custkey") % 4).cast("string")).alias("run_id"))
     lines = fx(spark, sf, "speedup_lines").withColumnRenamed("run_id", "run_order").join(orders, "run_order")
     runs = items.select("run_id").distinct()
     ratios = ST.ratio_stats(parse_speedups(lines), ["run_id"], "ratio", groups=runs).drop("n_nonpositive")
     mean = reported_mean(lines, ["run_id"], ["run_order", "line_no"])
-    fa = _failure_dataset(spark, sf).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("total_failures"), F.count_if("is_hardware_failure").alias("hardware_failures"))
+    # one pass over the failure dataset: counts per (run, type, hardware), then both summaries
+    per_type = _failure_dataset(spark, sf).groupBy("run_id", "failure_type", "is_hardware_failure").agg(
+        F.count(F.lit(1)).alias("_n"))
+    fa = per_type.groupBy("run_id").agg(
+        F.sum("_n").alias("total_failures"),
+        F.coalesce(F.sum(F.when(F.col("is_hardware_failure"), F.col("_n"))), F.lit(0)).alias("hardware_failures"),
+        ST.map_text(F.map_from_entries(F.collect_list(F.struct("failure_type", "_n")))).alias("failures_by_type"))
     fa = fa.withColumn("code_failures", F.col("total_failures") - F.col("hardware_failures"))
-    hist = ST.histogram_text(_failure_dataset(spark, sf), ["run_id"], "failure_type", "by_type").select(
-        "run_id", F.col("by_type_text").alias("failures_by_type"))
+    hist = fa.select("run_id", "failures_by_type")
+    fa = fa.drop("failures_by_type")
     out = (counts.join(funnel, "run_id").join(mean, "run_id", "left").join(ratios, "run_id", "left")
            .join(fa, "run_id", "left").join(hist, "run_id", "left"))
     if with_generation:

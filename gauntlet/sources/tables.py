@@ -17,7 +17,18 @@ BASE_TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A base table; a scan with fewer splits than task slots is spread round-robin.
+
+    Large inputs already arrive in many splits, so this only triggers for
+    small single-file tables, where one task would otherwise carry all the
+    (text-expanding) work.  Catalyst still prunes columns below the exchange,
+    so only the referenced columns move.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
+    return df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> None:
