@@ -73,12 +73,47 @@ def phase2_records(items: DataFrame, probes: DataFrame, passed1, passed2) -> Dat
                          "returncode")
 
 
+def classified_probes(probes: DataFrame) -> DataFrame:
+    """Row-local B16 + B12 before any shuffle, then E4 on the narrow result.
+
+    Only (rc, label, excerpt) travel through the exchange, never the full stderr.
+    """
+    typed = probes.select(*KEYS, "seq", "returncode",
+                          kernel_failure_type(F.lower(F.coalesce(F.col("stderr"), F.lit("")))).alias("_ft"),
+                          stderr_excerpt("stderr").alias("_excerpt"))
+    return last_write_wins(typed, KEYS, "seq").drop("seq")
+
+
 def failure_dataset(items, probes, devices, passed1, passed2) -> DataFrame:
-    """G2 + C7: phase-1 and phase-2 records in phase order with device columns (8 fields + run)."""
-    recs = phase1_records(items, probes, passed1).unionByName(phase2_records(items, probes, passed1, passed2))
-    return (recs.join(devices, "run_id", "left")
+    """G2 + C7 as one keyed pipeline (8 fields + run).
+
+    Items, both survivor listings and the latest probe per key are each
+    shuffled once on (run_id, kernel_id); the left joins that follow are
+    co-partitioned.  A key missing from the phase-1 listing failed phase 1; one
+    present there but missing from the phase-2 listing failed phase 2.  Missing
+    probes read as (-1, ''), a clean phase-2 exit as numerical_mismatch with no stderr.
+    """
+    s1 = items.where(passed1).select(*KEYS).distinct().withColumn("_p1", F.lit(True))
+    s2 = items.where(passed2).select(*KEYS).distinct().withColumn("_p2", F.lit(True))
+    staged = (items.select(*KEYS, "predict", "test")
+              .join(s1, KEYS, "left").join(s2, KEYS, "left")
+              .join(classified_probes(probes), KEYS, "left")
+              .withColumn("phase_failed", F.when(F.col("_p1").isNull(), F.lit(1))
+                          .when(F.col("_p2").isNull(), F.lit(2)))
+              .where(F.col("phase_failed").isNotNull()))
+    rc = F.coalesce(F.col("returncode"), F.lit(-1))
+    clean2 = (F.col("phase_failed") == 2) & (rc == 0)
+    empty_type = kernel_failure_type(F.lit(""))
+    ftype = F.when(clean2, F.lit("numerical_mismatch")).otherwise(F.coalesce(F.col("_ft"), empty_type))
+    excerpt = F.when(clean2, F.lit("")).otherwise(F.coalesce(F.col("_excerpt"), F.lit("")))
+    code = F.when(F.col("phase_failed") == 1, F.col("predict")).otherwise(
+        strip_embedded_test(assemble_test_module(F.col("predict"), F.col("test"))))
+    recs = staged.select(*KEYS, "phase_failed", ftype.alias("failure_type"), excerpt.alias("stderr_excerpt"),
+                         code.alias("kernel_code"), rc.alias("returncode"))
+    return (recs.withColumn("is_hardware_failure", is_hardware_failure(F.col("failure_type")))
+            .join(devices, "run_id", "left")
             .select("run_id", "kernel_id", "gpu", "compute_cap", "phase_failed", "failure_type",
-                    "is_hardware_failure", "stderr_excerpt", "kernel_code"))
+                    "is_hardware_failure", "stderr_excerpt", "kernel_code", "returncode"))
 
 
 def failure_analysis(failures: DataFrame, groups=("run_id",)) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gauntlet.functions.classify import MAX_ATTEMPTS, backoff_delay, classify_gen_failure, reset_delay
-
 from gauntlet.functions.num import round_to
 
 
@@ -61,10 +60,15 @@ def top_k(df: DataFrame, groups: list[str], order: list, k: int, rank_col: str =
 
 
 def last_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Per key the row with the highest ``seq`` (a partial-aggregating ``max_by``)."""
-    others = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_w"))
-    return picked.select(*keys, *[F.col("_w")[c].alias(c) for c in others])
+    """Per key the row with the highest ``seq`` (``seq`` is the write order, unique per key).
+
+    The highest ``seq`` per key is a narrow, partially aggregated hash
+    aggregate, so a key written very often is reduced map-side; the winning
+    rows are then picked with a semi join on (key, seq), which AQE can split
+    when one side is skewed.  Wide payloads never enter an aggregation buffer.
+    """
+    top = df.groupBy(*keys).agg(F.max(seq).alias(seq))
+    return df.join(top, [*keys, seq], "left_semi")
 
 
 def retry_outcome(attempts: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,22 +92,24 @@ def retry_outcome(attempts: DataFrame, keys: list[str]) -> DataFrame:
     final_msg = (F.when(kind == "ok", F.lit(None).cast("string"))
                  .when(quota, F.concat(F.lit("daily free quota exhausted for this API key: "), msg))
                  .otherwise(msg))
-    w = Window.partitionBy(*keys).orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    # one exchange and one sort: every window below shares (keys, attempt)
+    order = Window.partitionBy(*keys).orderBy("attempt")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     steps = (a.withColumn("_terminal", terminal).withColumn("_wait", wait)
              .withColumn("_msg", final_msg).withColumn("_status", status)
-             .withColumn("_ended_before", F.coalesce(F.max(F.col("_terminal").cast("int")).over(w), F.lit(0)))
+             .withColumn("_ended_before", F.coalesce(F.max(F.col("_terminal").cast("int")).over(before), F.lit(0)))
              .where(F.col("_ended_before") == 0))
-    led = steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("int").alias("attempts_used"),
-        F.sum("_wait").alias("total_wait_s"),
-        F.max_by(F.struct("kind", "_terminal", "_msg", "_status"), F.col("attempt")).alias("_last"))
-    last = F.col("_last")
-    success = last["kind"] == "ok"
+    last = (steps.withColumn("attempts_used", F.count(F.lit(1)).over(whole).cast("int"))
+            .withColumn("total_wait_s", F.sum("_wait").over(whole))
+            .withColumn("_is_last", F.lead("attempt").over(order).isNull())
+            .where(F.col("_is_last")))
+    success = F.col("kind") == "ok"
     message = (F.when(success, F.lit(None).cast("string"))
-               .when(last["_terminal"], last["_msg"])
-               .otherwise(F.concat(F.lit(f"generation failed after {MAX_ATTEMPTS} retries: "), last["_msg"])))
-    status_for_reason = F.when(last["_terminal"], last["_status"])
-    return led.select(
+               .when(F.col("_terminal"), F.col("_msg"))
+               .otherwise(F.concat(F.lit(f"generation failed after {MAX_ATTEMPTS} retries: "), F.col("_msg"))))
+    status_for_reason = F.when(F.col("_terminal"), F.col("_status"))
+    return last.select(
         *keys,
         F.when(success, F.lit("success")).otherwise(F.lit("failed")).alias("outcome"),
         "attempts_used",

@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
 from gauntlet.functions.num import round_to
 
 from gauntlet.functions.classify import (
