@@ -18,29 +18,30 @@ from gauntlet.functions.num import round_to
 
 
 def running_totals(df: DataFrame, groups: list[str], order: list[str], flag: str | None = None,
-                   n_ranges: int | None = None) -> DataFrame:
-    """Adds ``_pos`` (1-based), ``_running`` (running count of ``flag``) and ``_total``."""
+                   weight: str | None = None, n_ranges: int | None = None) -> DataFrame:
+    """Adds ``_pos`` (running sum of ``weight``, 1 per row by default: the 1-based position),
+    ``_running`` (running count of ``flag``) and ``_total`` (group sum of ``weight``)."""
     spark = df.sparkSession
     n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     flag_col = F.col(flag).cast("int") if flag else F.lit(0)
-    ranged = (df.withColumn("_flag", F.coalesce(flag_col, F.lit(0)))
+    weight_col = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    ranged = (df.withColumn("_flag", F.coalesce(flag_col, F.lit(0))).withColumn("_w", weight_col)
               .repartitionByRange(n_ranges, *groups, *order)
               .withColumn("_range", F.spark_partition_id())
               .checkpoint(eager=True))
     per_range = ranged.groupBy(*groups, "_range").agg(
-        F.count(F.lit(1)).alias("_rn"), F.sum("_flag").alias("_rf"))
+        F.sum("_w").alias("_rn"), F.sum("_flag").alias("_rf"))
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (per_range
                .withColumn("_n_before", F.coalesce(F.sum("_rn").over(before), F.lit(0)))
                .withColumn("_f_before", F.coalesce(F.sum("_rf").over(before), F.lit(0)))
                .withColumn("_total", F.sum("_rn").over(Window.partitionBy(*groups)))
                .drop("_rn", "_rf"))
-    local = Window.partitionBy(*groups, "_range").orderBy(*order)
-    local_run = local.rowsBetween(Window.unboundedPreceding, 0)
+    local_run = Window.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (ranged.join(offsets, [*groups, "_range"])
-            .withColumn("_pos", F.col("_n_before") + F.row_number().over(local))
+            .withColumn("_pos", F.col("_n_before") + F.sum("_w").over(local_run))
             .withColumn("_running", F.col("_f_before") + F.sum("_flag").over(local_run))
-            .drop("_range", "_n_before", "_f_before", "_flag"))
+            .drop("_range", "_n_before", "_f_before", "_flag", "_w"))
 
 
 def progress_checkpoints(df: DataFrame, groups: list[str], order: list[str], failed: str,

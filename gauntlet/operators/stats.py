@@ -1,36 +1,36 @@
 """Aggregates: exact order statistics at scale, ratio statistics, telemetry, histograms.
 
-Order statistics (nearest-rank percentile, median, upper median) never sort a
-whole group in one task: values are first pre-aggregated to (key, value,
-count) -- a partial aggregation that runs map-side -- and the cumulative
-window then walks distinct values only.  A group holding a third of all rows
-costs as many window rows as it has distinct values, not rows.
+Order statistics (nearest-rank percentile, upper median) never sort a whole
+group in one task: values are first pre-aggregated to (key, value, count) --
+a partial aggregation that runs map-side -- and the cumulative count then
+runs over range partitions of the distinct (key, value) pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gauntlet.functions.num import round_to
+from gauntlet.operators.progress import running_totals
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, "callable"]) -> DataFrame:
     """Value at 0-based rank ``ranks[name](n)`` for each group; also returns ``n``.
 
     ``ranks`` maps an output name to a function of the group size Column ``n``
-    giving the 0-based rank to pick (null -> null).
+    giving the 0-based rank to pick.  Values are counted map-side first; the
+    cumulative count then runs over range partitions of (key, value), so even
+    a group with a third of all rows and as many distinct values is split
+    across tasks (see ``progress.running_totals``).
     """
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    walked = (counted.withColumn("_cum", F.sum("_c").over(running))
-              .withColumn("n", F.sum("_c").over(whole)))
-    aggs = [F.first("n").alias("n")]
+    walked = running_totals(counted, keys, [value], weight="_c")
+    aggs = [F.max("_total").alias("n")]
     for name, rank in ranks.items():
-        k = rank(F.col("n"))
-        aggs.append(F.min(F.when(F.col("_cum") > k, F.col(value))).alias(name))
+        k = rank(F.col("_total"))
+        aggs.append(F.min(F.when(F.col("_pos") > k, F.col(value))).alias(name))
     return walked.groupBy(*keys).agg(*aggs)
 
 

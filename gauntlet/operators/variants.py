@@ -97,10 +97,14 @@ def with_parse_gate(expanded: DataFrame) -> DataFrame:
     return expanded.withColumn("_parse", status).withColumn("skip_reason", reason).drop("_parse")
 
 
-def mutation_rows(gated: DataFrame, outcomes: DataFrame, timings: DataFrame) -> DataFrame:
-    """J3 rows: applicable variants joined with their per-device outcomes and baselines (14 fields)."""
-    ok = gated.where(F.col("skip_reason").isNull())
-    per_dev = ok.join(outcomes, ["kernel_id", "mutation_type"])
+def attempt_rows(gated: DataFrame, outcomes: DataFrame, timings: DataFrame) -> DataFrame:
+    """Every attempted (kernel, mutation, device) with the J3 fields and an ``applicable`` flag.
+
+    The device dimension comes from the outcome table (one outcome per kernel,
+    mutation and device), so the summary and the dataset share this single
+    pass over the gated variants instead of recomputing rewrites and parses.
+    """
+    per_dev = gated.join(outcomes, ["kernel_id", "mutation_type"])
     predicted, is_perf = predict_by_device(F.col("mutation_type"), F.col("predicted"), F.col("is_perf"),
                                            F.col("compute_cap"))
     per_dev = per_dev.withColumn("predicted", predicted).withColumn("is_perf", is_perf)
@@ -124,6 +128,7 @@ def mutation_rows(gated: DataFrame, outcomes: DataFrame, timings: DataFrame) ->
                              F.col("_mut"), F.col("_base"))
     staged = staged.withColumn("actual_behavior", actual)
     return staged.select(
+        F.col("skip_reason").isNull().alias("applicable"),
         "kernel_id",
         F.col("path").alias("original_kernel_path"),
         "mutation_type", "gpu", "compute_cap",
@@ -139,24 +144,22 @@ def mutation_rows(gated: DataFrame, outcomes: DataFrame, timings: DataFrame) ->
     )
 
 
-def mutation_summary(gated: DataFrame, rows: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Attempted / applicable / validated per device and mutation, with rates (4 digits).
+def mutation_rows(attempts: DataFrame) -> DataFrame:
+    """J3 rows: the applicable attempts (14 fields)."""
+    return attempts.where(F.col("applicable")).drop("applicable")
 
-    Attempts and applicability do not depend on the device; the (device,
-    mutation) pairs come from the outcome table, so no cross product is formed.
-    """
-    tried = gated.groupBy("mutation_type").agg(
+
+def mutation_summary(attempts: DataFrame) -> DataFrame:
+    """Attempted / applicable / validated per device and mutation, with rates (4 digits)."""
+    s = attempts.groupBy("gpu", "compute_cap", "mutation_type").agg(
         F.count(F.lit(1)).alias("attempted"),
-        F.count_if(F.col("skip_reason").isNull()).alias("applicable"))
-    valid = rows.groupBy("gpu", "compute_cap", "mutation_type").agg(F.count_if("validated").alias("validated"))
-    pairs = outcomes.select("gpu", "compute_cap", "mutation_type").distinct()
-    return (pairs.join(tried, "mutation_type")
-            .join(valid, ["gpu", "compute_cap", "mutation_type"], "left")
-            .select("gpu", "compute_cap", "mutation_type",
+        F.count_if(F.col("applicable")).alias("applicable"),
+        F.count_if(F.col("applicable") & F.col("validated")).alias("validated"))
+    return s.select("gpu", "compute_cap", "mutation_type",
                     F.col("attempted").cast("bigint").alias("attempted"),
                     F.col("applicable").cast("bigint").alias("applicable"),
-                    F.coalesce(F.col("validated"), F.lit(0)).cast("bigint").alias("validated"),
+                    F.col("validated").cast("bigint").alias("validated"),
                     round_to(F.try_divide(F.col("validated").cast("double"), F.nullif(F.col("applicable"), F.lit(0))), 4)
                     .alias("validation_rate"),
                     round_to(F.try_divide(F.col("applicable").cast("double"), F.nullif(F.col("attempted"), F.lit(0))), 4)
-                    .alias("applicability_rate")))
+                    .alias("applicability_rate"))

@@ -445,8 +445,12 @@ def _gated(spark, sf):
     return V.with_parse_gate(V.expand_registry(corpus))
 
 
+def _attempts(spark, sf):
+    return V.attempt_rows(_gated(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))
+
+
 def _mutation_rows(spark, sf):
-    return V.mutation_rows(_gated(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))
+    return V.mutation_rows(_attempts(spark, sf))
 
 
 def q_actual_behavior(spark, sf):
@@ -678,10 +682,7 @@ def q_upper_median_runtime(spark, sf):
 
 
 def q_mutation_summary(spark, sf):
-    gated = _gated(spark, sf)
-    outcomes = fx(spark, sf, "mutation_outcomes")
-    rows = V.mutation_rows(gated, outcomes, fx(spark, sf, "timings"))
-    return V.mutation_summary(gated, rows, outcomes)
+    return V.mutation_summary(_attempts(spark, sf))
 
 
 def _sample_reasons(spark, sf, k=3):
