@@ -132,16 +132,16 @@ GOLD_VARIANTS = f"""gv AS (
   SELECT kernel_id, 'gold/' || kernel_id AS path, source, {gold_parts()}, {SM_COLS}, {SM_EXPR} AS v_sm,
     {NP_COLS}, {NP_EXPR} AS v_np, {FP8_EXPR} AS v_fp8, {BF16_EXPR} AS v_bf16
   FROM gold),
-registry AS (SELECT * FROM (VALUES ('shared_mem_overflow', 0, 'fail_compile_shared_mem', false),
-  ('force_fp8', 1, 'fail_dtype_unsupported', false), ('force_bf16', 2, 'runs_no_bf16_speedup', true),
-  ('non_pow2_block', 3, 'fail_invalid_block_size', false)) AS m(mutation_type, pos, predicted, is_perf)),
+gated0 AS (
+  SELECT kernel_id, path, source, 'shared_mem_overflow' AS mutation_type, 0 AS pos, 'fail_compile_shared_mem' AS predicted,
+    false AS is_perf, v_sm AS variant FROM gv
+  UNION ALL SELECT kernel_id, path, source, 'force_fp8', 1, 'fail_dtype_unsupported', false, v_fp8 FROM gv
+  UNION ALL SELECT kernel_id, path, source, 'force_bf16', 2, 'runs_no_bf16_speedup', true, v_bf16 FROM gv
+  UNION ALL SELECT kernel_id, path, source, 'non_pow2_block', 3, 'fail_invalid_block_size', false, v_np FROM gv),
 gated AS (
-  SELECT kernel_id, path, source, mutation_type, pos, predicted, is_perf,
-    CASE mutation_type WHEN 'shared_mem_overflow' THEN v_sm WHEN 'force_fp8' THEN v_fp8
-      WHEN 'force_bf16' THEN v_bf16 ELSE v_np END AS variant,
-    CASE WHEN variant IS NULL THEN 'not applicable'
+  SELECT *, CASE WHEN variant IS NULL THEN 'not applicable'
       WHEN contains(variant, 'def f(:') THEN 'ast.parse failed after mutation' END AS skip_reason
-  FROM gv JOIN registry ON true)"""
+  FROM gated0)"""
 
 TEST_FN = r"\bdef (test_\w+)\s*\("
 

@@ -104,15 +104,19 @@ SELECT p_partkey, 'g' || p_partkey || '.py' AS kernel_id,
      || CASE WHEN p_partkey % 4 = 3 THEN 'z = 1' ELSE 'def test_k():' || chr(10) || '    BLOCK_SIZE = 128' END END AS source
 FROM part"""
 
-FIXTURE_SQL["mutation_outcomes"] = """\
-SELECT 'g' || p_partkey || '.py' AS kernel_id, m.mutation_type, d.gpu, d.compute_cap,
-  CASE WHEN (p_partkey + m.pos) % 3 = 0 THEN 0 ELSE 1 END AS returncode,
-  CASE WHEN (p_partkey + m.pos) % 3 = 0 THEN 'MUT_RUNTIME_MS=' || p_size || '.5' ELSE '' END AS stdout,
-  CASE CAST((p_partkey + m.pos) % 6 AS INT)
+# mutation_outcomes: the FIXTURES.md rows (part x 4 mutations x 2 devices) stated as a
+# UNION ALL of one branch per (mutation, device), so no cross product is planned.
+_OUTCOME_BRANCH = """SELECT 'g' || p_partkey || '.py' AS kernel_id, '{m}' AS mutation_type, '{gpu}' AS gpu, '{cc}' AS compute_cap,
+  CASE WHEN (p_partkey + {pos}) % 3 = 0 THEN 0 ELSE 1 END AS returncode,
+  CASE WHEN (p_partkey + {pos}) % 3 = 0 THEN 'MUT_RUNTIME_MS=' || p_size || '.5' ELSE '' END AS stdout,
+  CASE CAST((p_partkey + {pos}) % 6 AS INT)
     WHEN 1 THEN 'out of resource: shared memory' WHEN 2 THEN 'fp8e4nv not supported'
     WHEN 4 THEN 'arange size must be a power of 2' WHEN 5 THEN 'out of resource: registers' ELSE '' END AS stderr
-FROM part CROSS JOIN (VALUES ('shared_mem_overflow', 0), ('force_fp8', 1), ('force_bf16', 2), ('non_pow2_block', 3)) AS m(mutation_type, pos)
-CROSS JOIN (VALUES ('Tesla T4', '7.5'), ('NVIDIA A10', '8.6')) AS d(gpu, compute_cap)"""
+FROM part"""
+_MUTATIONS = [("shared_mem_overflow", 0), ("force_fp8", 1), ("force_bf16", 2), ("non_pow2_block", 3)]
+_DEVICES = [("Tesla T4", "7.5"), ("NVIDIA A10", "8.6")]
+FIXTURE_SQL["mutation_outcomes"] = "\nUNION ALL\n".join(
+    _OUTCOME_BRANCH.format(m=m, pos=pos, gpu=gpu, cc=cc) for m, pos in _MUTATIONS for gpu, cc in _DEVICES)
 
 FIXTURE_SQL["timings"] = """\
 SELECT 'g' || l_partkey || '.py' AS kernel_id, CASE WHEN l_linenumber % 2 = 1 THEN 'baseline' ELSE 'mutated' END AS side,

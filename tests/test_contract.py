@@ -61,7 +61,7 @@ def _canon(v):
 
 SAMPLE = ["extract_code", "classify_kernel_failure", "failure_dataset", "phase_funnel", "retry_outcome",
           "latency_percentiles", "speedup_stats", "job_mutation_report", "progress_running", "src_tasks",
-          "job_evaluation_report", "force_block_value"]
+          "job_evaluation_report", "force_block_value", "stream_progress", "stream_classify"]
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,19 @@ def test_spark_matches_oracle(spark, duck, key):
     s = Counter(tuple(_canon(r[i]) for i in si) for r in sdf.collect())
     d = Counter(tuple(_canon(r[i]) for i in di) for r in rel.fetchall())
     assert s == d, json.dumps([str(list((s - d).elements())[:1]), str(list((d - s).elements())[:1])])[:2000]
+
+
+ORIGINAL_OUTCOMES = """SELECT 'g' || p_partkey || '.py' AS kernel_id, m.mutation_type, d.gpu, d.compute_cap,
+  CASE WHEN (p_partkey + m.pos) % 3 = 0 THEN 0 ELSE 1 END AS returncode,
+  CASE WHEN (p_partkey + m.pos) % 3 = 0 THEN 'MUT_RUNTIME_MS=' || p_size || '.5' ELSE '' END AS stdout,
+  CASE CAST((p_partkey + m.pos) % 6 AS INT)
+    WHEN 1 THEN 'out of resource: shared memory' WHEN 2 THEN 'fp8e4nv not supported'
+    WHEN 4 THEN 'arange size must be a power of 2' WHEN 5 THEN 'out of resource: registers' ELSE '' END AS stderr
+FROM part CROSS JOIN (VALUES ('shared_mem_overflow', 0), ('force_fp8', 1), ('force_bf16', 2), ('non_pow2_block', 3)) AS m(mutation_type, pos)
+CROSS JOIN (VALUES ('Tesla T4', '7.5'), ('NVIDIA A10', '8.6')) AS d(gpu, compute_cap)"""
+
+
+def test_outcome_fixture_equals_documented_rows(duck):
+    from gauntlet.sources.fixtures import FIXTURE_SQL
+    ours = Counter(duck.sql(FIXTURE_SQL["mutation_outcomes"]).fetchall())
+    assert ours == Counter(duck.sql(ORIGINAL_OUTCOMES).fetchall())
