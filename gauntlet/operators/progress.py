@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gauntlet.functions.classify import MAX_ATTEMPTS, backoff_delay, classify_gen_failure, reset_delay
 from gauntlet.functions.num import round_to
+from gauntlet.session import checkpoint_root
 
 
 def running_totals(df: DataFrame, groups: list[str], order: list[str], flag: str | None = None,
@@ -22,6 +23,7 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], flag: str
     """Adds ``_pos`` (running sum of ``weight``, 1 per row by default: the 1-based position),
     ``_running`` (running count of ``flag``) and ``_total`` (group sum of ``weight``)."""
     spark = df.sparkSession
+    checkpoint_root(spark)  # the session's shared folder; a temporary one only when unset
     n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     flag_col = F.col(flag).cast("int") if flag else F.lit(0)
     weight_col = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")

@@ -621,18 +621,29 @@ def q_prediction_counts(spark, sf):
         F.count_if(~X.is_failed_stub("predict")).alias("usable_predictions"))
 
 
-def _phase_funnel(spark, sf):
-    """Passed counts and rates (2 digits); total 0 -> 0; among phase 1 null when none passed."""
-    k = _items(spark, sf)
-    c = k.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_predictions"),
-                                F.count_if(_passed1()).alias("phase1_passed"),
-                                F.count_if(_passed2()).alias("phase2_passed"))
+def _run_counts(spark, sf):
+    """D1 + D2 counts in one aggregation over the items."""
+    stub = X.is_failed_stub("predict")
+    return _items(spark, sf).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("total_predictions"),
+        F.count_if(stub).alias("generation_failures"),
+        F.count_if(~stub).alias("usable_predictions"),
+        F.count_if(_passed1()).alias("phase1_passed"),
+        F.count_if(_passed2()).alias("phase2_passed"))
+
+
+def _funnel_rates(counts: DataFrame) -> DataFrame:
+    """Rates (2 digits); total 0 -> 0; among phase 1 null when none passed."""
     rate = lambda num, den: round_to(F.try_divide(F.col(num) * 100.0, F.nullif(F.col(den), F.lit(0))), 2)  # noqa
-    return c.select("run_id", "total_predictions", "phase1_passed",
-                    F.coalesce(rate("phase1_passed", "total_predictions"), F.lit(0.0)).alias("phase1_rate"),
-                    "phase2_passed",
-                    F.coalesce(rate("phase2_passed", "total_predictions"), F.lit(0.0)).alias("phase2_rate"),
-                    rate("phase2_passed", "phase1_passed").alias("phase2_rate_among_phase1"))
+    return (counts.withColumn("phase1_rate", F.coalesce(rate("phase1_passed", "total_predictions"), F.lit(0.0)))
+            .withColumn("phase2_rate", F.coalesce(rate("phase2_passed", "total_predictions"), F.lit(0.0)))
+            .withColumn("phase2_rate_among_phase1", rate("phase2_passed", "phase1_passed")))
+
+
+def _phase_funnel(spark, sf):
+    return _funnel_rates(_run_counts(spark, sf)).select(
+        "run_id", "total_predictions", "phase1_passed", "phase1_rate", "phase2_passed", "phase2_rate",
+        "phase2_rate_among_phase1")
 
 
 def q_phase_funnel(spark, sf):
@@ -831,16 +842,13 @@ def q_job_generation_report(spark, sf):
 
 def _evaluation_summary(spark, sf, with_generation: bool):
     """Per-run summary of the evaluation (flat)."""
-    items = _items(spark, sf)
-    counts = q_prediction_counts(spark, sf)
-    funnel = _phase_funnel(spark, sf).drop("total_predictions")
+    base = _funnel_rates(_run_counts(spark, sf))
     # phase 3: each order's stdout lines belong to that order's run
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run_order"),
         F.concat(F.lit("run_"), (F.col("o_custkey") % 4).cast("string")).alias("run_id"))
     lines = fx(spark, sf, "speedup_lines").withColumnRenamed("run_id", "run_order").join(orders, "run_order")
-    runs = items.select("run_id").distinct()
-    ratios = ST.ratio_stats(parse_speedups(lines), ["run_id"], "ratio", groups=runs).drop("n_nonpositive")
+    ratios = ST.ratio_stats(parse_speedups(lines), ["run_id"], "ratio").drop("n_nonpositive")
     mean = reported_mean(lines, ["run_id"], ["run_order", "line_no"])
     # one pass over the failure dataset: counts per (run, type, hardware), then both summaries
     per_type = _failure_dataset(spark, sf).groupBy("run_id", "failure_type", "is_hardware_failure").agg(
@@ -852,7 +860,7 @@ def _evaluation_summary(spark, sf, with_generation: bool):
     fa = fa.withColumn("code_failures", F.col("total_failures") - F.col("hardware_failures"))
     hist = fa.select("run_id", "failures_by_type")
     fa = fa.drop("failures_by_type")
-    out = (counts.join(funnel, "run_id").join(mean, "run_id", "left").join(ratios, "run_id", "left")
+    out = (base.join(mean, "run_id", "left").join(ratios, "run_id", "left")
            .join(fa, "run_id", "left").join(hist, "run_id", "left"))
     if with_generation:
         gen = _generation_per_run(spark, sf).select(
@@ -866,7 +874,8 @@ def _evaluation_summary(spark, sf, with_generation: bool):
     return out.select(
         "run_id", "total_predictions", "generation_failures", "usable_predictions",
         "phase1_passed", "phase1_rate", "phase2_passed", "phase2_rate", "phase2_rate_among_phase1",
-        "mean_speedup", "n_kernels_measured", "geomean_speedup", "median_speedup", "min_speedup", "max_speedup",
+        "mean_speedup", F.coalesce(F.col("n_kernels_measured"), F.lit(0)).cast("bigint").alias("n_kernels_measured"),
+        "geomean_speedup", "median_speedup", "min_speedup", "max_speedup",
         "pct_faster_than_pytorch",
         F.coalesce(F.col("total_failures"), F.lit(0)).cast("bigint").alias("total_failures"),
         F.coalesce(F.col("hardware_failures"), F.lit(0)).cast("bigint").alias("hardware_failures"),
