@@ -88,3 +88,17 @@ def test_fallback_union(spark):
     assert keyed == [("r1", "a1"), ("r2", "b2")]
     assert sorted(r.x for r in fallback_union(a, b).collect()) == ["a1"]
     assert sorted(r.x for r in fallback_union(a.limit(0), b).collect()) == ["b1", "b2"]
+
+
+def test_hot_group_is_split_across_ranges(spark):
+    """A group holding most rows is numbered across several range partitions, exactly."""
+    from pyspark.sql import functions as F
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"),
+                                  F.col("id").cast("double").alias("v"))
+    ranged = df.repartitionByRange(6, "g", "v").select("g", F.spark_partition_id().alias("p"))
+    assert ranged.where("g = 'hot'").select("p").distinct().count() > 1
+    rt = {r.v: r._pos for r in PG.running_totals(df, ["g"], ["v"], n_ranges=6).where("g = 'hot'").collect()}
+    hot = sorted(v for v in range(3000) if v % 10 != 0)
+    assert all(rt[float(v)] == i for i, v in enumerate(hot, 1))
+    um = ST.upper_median(df, ["g"], "v").where("g = 'hot'").first()
+    assert um.upper_median == float(hot[len(hot) // 2]) and um.n == len(hot)
