@@ -84,7 +84,9 @@ def write_named_files(df: DataFrame, root: str, name_col: str, text_col: str) ->
     def writer(batches):
         import pyarrow.fs as pafs
         if "://" in base:
-            fs, prefix = pafs.FileSystem.from_uri(base)
+            # Hadoop's s3a scheme is plain s3 for Arrow's filesystem layer
+            uri = "s3://" + base[len("s3a://"):] if base.startswith("s3a://") else base
+            fs, prefix = pafs.FileSystem.from_uri(uri)
         else:
             fs, prefix = pafs.LocalFileSystem(), base
         made = set()
@@ -115,11 +117,14 @@ def read_corpus(spark: SparkSession, root: str, recursive: bool = False, glob: s
 
 
 def read_corpus_with_fallback(spark: SparkSession, primary: str, fallback: str, glob: str = "*.py") -> DataFrame:
-    """A4: recursive scan of ``primary``; if it holds no matching file, scan ``fallback``."""
-    first = read_corpus(spark, primary, recursive=True, glob=glob)
-    if first.isEmpty():  # a one-row probe, not a collect
-        return read_corpus(spark, fallback, recursive=True, glob=glob)
-    return first
+    """A4: recursive scan of ``primary``; if it is missing or holds no matching file, scan ``fallback``."""
+    if has_files(spark, primary):
+        first = read_corpus(spark, primary, recursive=True, glob=glob)
+        if not first.isEmpty():  # a one-row probe, not a collect
+            return first
+    if not has_files(spark, fallback):
+        raise FileNotFoundError(f"no {glob} files under {primary} or {fallback}")
+    return read_corpus(spark, fallback, recursive=True, glob=glob)
 
 
 def has_files(spark: SparkSession, root: str) -> bool:

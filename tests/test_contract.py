@@ -99,3 +99,13 @@ def test_outcome_fixture_equals_documented_rows(duck):
     from gauntlet.sources.fixtures import FIXTURE_SQL
     ours = Counter(duck.sql(FIXTURE_SQL["mutation_outcomes"]).fetchall())
     assert ours == Counter(duck.sql(ORIGINAL_OUTCOMES).fetchall())
+
+
+def test_corpus_fallback_when_primary_missing(spark):
+    root = scratch_dir(spark, "t-corpus")
+    df = spark.createDataFrame([("a/k1.py", "x = 1\n"), ("b/k2.py", "y = 2\n")], "name string, text string")
+    IO.write_named_files(df, root, "name", "text")
+    got = IO.read_corpus_with_fallback(spark, scratch_dir(spark, "t-missing"), root)
+    assert sorted((r.kernel_id, r.source) for r in got.collect()) == [("k1.py", "x = 1\n"), ("k2.py", "y = 2\n")]
+    with pytest.raises(FileNotFoundError):
+        IO.read_corpus_with_fallback(spark, scratch_dir(spark, "t-none1"), scratch_dir(spark, "t-none2"))
