@@ -15,10 +15,12 @@ from gauntlet.functions import classify as C
 from gauntlet.functions import rewrite as R
 from gauntlet.functions import text as X
 from gauntlet.functions.pyparse import python_parse_status
+from gauntlet.operators import efficiency as EF
 from gauntlet.operators import funnel as FN
 from gauntlet.operators import progress as PG
 from gauntlet.operators import stats as ST
 from gauntlet.operators import variants as V
+from gauntlet.plans import jobs as J
 from gauntlet.session import scratch_dir
 from gauntlet.sources import files as IO
 from gauntlet.sources.tables import fixture, table
@@ -158,9 +160,7 @@ def _stdout_per_run(spark, sf):
 
 
 def q_src_stdout_lines(spark, sf):
-    out = _stdout_per_run(spark, sf)
-    return out.select("run_id", F.posexplode(X.splitlines("stdout")).alias("pos", "line")) \
-        .select("run_id", _bigint("pos").alias("pos"), "line")
+    return EF.stdout_lines(_stdout_per_run(spark, sf), ["run_id"])
 
 
 CONFIG_SCHEMA = T.StructType([
@@ -440,9 +440,7 @@ def q_predict_by_device(spark, sf):
 
 
 def _gated(spark, sf):
-    corpus = _gold(spark, sf).select("kernel_id", F.concat(F.lit("gold/"), F.col("kernel_id")).alias("path"),
-                                     "source")
-    return V.with_parse_gate(V.expand_registry(corpus))
+    return V.with_parse_gate(V.expand_registry(_corpus(spark, sf)))
 
 
 def _attempts(spark, sf):
@@ -471,37 +469,13 @@ def q_timing_token(spark, sf):
     return o.select("kernel_id", "mutation_type", "gpu", R.timing_token("stdout").alias("runtime_ms"))
 
 
-SPEEDUP_LINE = r"^(\S+):\s+([0-9]*\.?[0-9]+)\s*$"
-
-
-def parse_speedups(lines: DataFrame, line: str = "line") -> DataFrame:
-    """``name: ratio`` lines; the ``speed up:`` summary fails the pattern by its space.
-
-    Group 2 needs at least one digit, so an empty extraction means no match:
-    two regex passes per line instead of a test plus two extractions.
-    """
-    pat = "(?U)" + SPEEDUP_LINE.replace("^", r"\A").replace("$", r"\z")
-    return (lines.withColumn("_ratio", F.regexp_extract(line, pat, 2)).where(F.col("_ratio") != "")
-            .withColumn("name", F.regexp_extract(line, pat, 1))
-            .withColumn("ratio", F.col("_ratio").cast("double")).drop("_ratio"))
-
-
-def reported_mean(lines: DataFrame, keys, order) -> DataFrame:
-    """Last parseable ``speed up:`` value per group."""
-    val = _try_cast(X.ustrip(F.expr("substr(line, instr(line, ':') + 1)")), "double")
-    good = lines.where(F.startswith(F.col("line"), F.lit("speed up:"))).withColumn("_v", val).where(
-        F.col("_v").isNotNull())
-    # lines sharing a number keep the text order, as in the assembled stdout
-    return good.groupBy(*keys).agg(F.max_by("_v", F.struct(*order, "line")).alias("mean_speedup"))
-
-
 def q_parse_speedups(spark, sf):
-    p = parse_speedups(fx(spark, sf, "speedup_lines"))
+    p = EF.parse_speedups(fx(spark, sf, "speedup_lines"))
     return p.select("run_id", "line_no", "name", "ratio")
 
 
 def q_reported_mean_speedup(spark, sf):
-    return reported_mean(fx(spark, sf, "speedup_lines"), ["run_id"], ["line_no"])
+    return EF.reported_mean(fx(spark, sf, "speedup_lines"), ["run_id"], ["line_no"])
 
 
 def _mutation_totals(spark, sf):
@@ -622,26 +596,11 @@ def q_prediction_counts(spark, sf):
 
 
 def _run_counts(spark, sf):
-    """D1 + D2 counts in one aggregation over the items."""
-    stub = X.is_failed_stub("predict")
-    return _items(spark, sf).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        F.count_if(stub).alias("generation_failures"),
-        F.count_if(~stub).alias("usable_predictions"),
-        F.count_if(_passed1()).alias("phase1_passed"),
-        F.count_if(_passed2()).alias("phase2_passed"))
-
-
-def _funnel_rates(counts: DataFrame) -> DataFrame:
-    """Rates (2 digits); total 0 -> 0; among phase 1 null when none passed."""
-    rate = lambda num, den: round_to(F.try_divide(F.col(num) * 100.0, F.nullif(F.col(den), F.lit(0))), 2)  # noqa
-    return (counts.withColumn("phase1_rate", F.coalesce(rate("phase1_passed", "total_predictions"), F.lit(0.0)))
-            .withColumn("phase2_rate", F.coalesce(rate("phase2_passed", "total_predictions"), F.lit(0.0)))
-            .withColumn("phase2_rate_among_phase1", rate("phase2_passed", "phase1_passed")))
+    return J.run_counts(_items(spark, sf), _passed1(), _passed2())
 
 
 def _phase_funnel(spark, sf):
-    return _funnel_rates(_run_counts(spark, sf)).select(
+    return J.funnel_rates(_run_counts(spark, sf)).select(
         "run_id", "total_predictions", "phase1_passed", "phase1_rate", "phase2_passed", "phase2_rate",
         "phase2_rate_among_phase1")
 
@@ -684,7 +643,7 @@ def q_generation_telemetry(spark, sf):
 
 
 def q_speedup_stats(spark, sf):
-    p = parse_speedups(fx(spark, sf, "speedup_lines"))
+    p = EF.parse_speedups(fx(spark, sf, "speedup_lines"))
     return ST.ratio_stats(p, ["run_id"], "ratio")
 
 
@@ -693,7 +652,7 @@ def q_upper_median_runtime(spark, sf):
 
 
 def q_mutation_summary(spark, sf):
-    return V.mutation_summary(_attempts(spark, sf))
+    return J.mutation_report(_corpus(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))["summary"]
 
 
 def _sample_reasons(spark, sf, k=3):
@@ -812,76 +771,21 @@ def q_variant_registry(spark, sf):
 
 
 def q_job_generation_report(spark, sf):
-    """Replies -> blank check -> extract -> parse -> classify -> per-model report."""
-    r = _replies(spark, sf)
-    blank = X.ustrip(F.coalesce(F.col("reply"), F.lit(""))) == ""
-    code = X.extract_code("reply")
-    status = F.when(~blank, python_parse_status(code))
-    staged = r.withColumn("_status", status)
-    preview = X.reply_preview("reply")
-    message = (F.when(blank, F.lit("generation failed after 2 retries: API returned empty content (model at capacity)"))
-               .when(F.col("_status") == "syntax",
-                     F.concat(F.lit("SyntaxError after fence-strip — raw preview: '"), preview, F.lit("'")))
-               .when(F.col("_status") == "other", F.lit("unexpected parser error")))
-    staged = staged.withColumn("fail_reason", F.when(message.isNotNull(), C.classify_gen_failure(message)))
-    # a blank reply never returns telemetry; the others keep it even when they fail later
-    staged = (staged.withColumn("latency_s", F.when(~blank, round_to("latency_s", 3)))
-              .withColumn("completion_tokens", F.when(~blank, F.col("completion_tokens")))
-              .withColumn("finish_reason", F.when(~blank, F.col("finish_reason"))))
-    tele = ST.generation_telemetry(staged, ["model"])
-    pct = ST.latency_percentiles(staged, ["model"], "latency_s").drop("n")
-    fails = staged.where(F.col("fail_reason").isNotNull())
-    hist = ST.histogram_text(fails, ["model"], "fail_reason", "by_reason").select(
-        "model", F.col("by_reason_text").alias("failures_by_reason"))
-    tot = staged.groupBy("model").agg(F.count_if(F.col("fail_reason").isNotNull()).alias("failures_total"))
-    return (tele.join(pct, "model").join(tot, "model").join(hist, "model", "left")
-            .select("model", "n_items", "failures_total", "failures_by_reason", F.col("p50").alias("latency_p50"),
-                    F.col("p95").alias("latency_p95"), "latency_mean", "total_completion", "mean_completion",
-                    "truncated_count"))
+    return J.generation_report(_replies(spark, sf), ["model"])
 
 
 def _evaluation_summary(spark, sf, with_generation: bool):
-    """Per-run summary of the evaluation (flat)."""
-    base = _funnel_rates(_run_counts(spark, sf))
-    # phase 3: each order's stdout lines belong to that order's run
+    """J2 on the fixtures: each order's stdout lines belong to that order's run."""
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run_order"),
         F.concat(F.lit("run_"), (F.col("o_custkey") % 4).cast("string")).alias("run_id"))
     lines = fx(spark, sf, "speedup_lines").withColumnRenamed("run_id", "run_order").join(orders, "run_order")
-    ratios = ST.ratio_stats(parse_speedups(lines), ["run_id"], "ratio").drop("n_nonpositive")
-    mean = reported_mean(lines, ["run_id"], ["run_order", "line_no"])
-    # one pass over the failure dataset: counts per (run, type, hardware), then both summaries
-    per_type = _failure_dataset(spark, sf).groupBy("run_id", "failure_type", "is_hardware_failure").agg(
-        F.count(F.lit(1)).alias("_n"))
-    fa = per_type.groupBy("run_id").agg(
-        F.sum("_n").alias("total_failures"),
-        F.coalesce(F.sum(F.when(F.col("is_hardware_failure"), F.col("_n"))), F.lit(0)).alias("hardware_failures"),
-        ST.map_text(F.map_from_entries(F.collect_list(F.struct("failure_type", "_n")))).alias("failures_by_type"))
-    fa = fa.withColumn("code_failures", F.col("total_failures") - F.col("hardware_failures"))
-    hist = fa.select("run_id", "failures_by_type")
-    fa = fa.drop("failures_by_type")
-    out = (base.join(mean, "run_id", "left").join(ratios, "run_id", "left")
-           .join(fa, "run_id", "left").join(hist, "run_id", "left"))
+    generation = None
     if with_generation:
-        gen = _generation_per_run(spark, sf).select(
-            "run_id", F.col("p50").alias("gen_latency_p50"), F.col("p95").alias("gen_latency_p95"),
-            F.col("total_completion").alias("gen_total_completion"))
-        out = out.join(gen, "run_id", "left")
-    else:
-        out = (out.withColumn("gen_latency_p50", F.lit(None).cast("double"))
-               .withColumn("gen_latency_p95", F.lit(None).cast("double"))
-               .withColumn("gen_total_completion", F.lit(None).cast("bigint")))
-    return out.select(
-        "run_id", "total_predictions", "generation_failures", "usable_predictions",
-        "phase1_passed", "phase1_rate", "phase2_passed", "phase2_rate", "phase2_rate_among_phase1",
-        "mean_speedup", F.coalesce(F.col("n_kernels_measured"), F.lit(0)).cast("bigint").alias("n_kernels_measured"),
-        "geomean_speedup", "median_speedup", "min_speedup", "max_speedup",
-        "pct_faster_than_pytorch",
-        F.coalesce(F.col("total_failures"), F.lit(0)).cast("bigint").alias("total_failures"),
-        F.coalesce(F.col("hardware_failures"), F.lit(0)).cast("bigint").alias("hardware_failures"),
-        F.coalesce(F.col("code_failures"), F.lit(0)).cast("bigint").alias("code_failures"),
-        F.coalesce(F.col("failures_by_type"), F.lit("")).alias("failures_by_type"),
-        "gen_latency_p50", "gen_latency_p95", "gen_total_completion")
+        replies = _replies(spark, sf).withColumn("run_id", F.concat(F.lit("run_"), F.substring_index("model", "_", -1)))
+        generation = J.generation_sidecar(replies, ["run_id"])
+    return J.evaluation_report(_items(spark, sf), _probes(spark, sf), fx(spark, sf, "devices"), _passed1(),
+                               _passed2(), lines, ["run_order", "line_no"], generation)
 
 
 def q_job_evaluation_report(spark, sf):
@@ -892,8 +796,12 @@ def q_job_evaluate_only(spark, sf):
     return _evaluation_summary(spark, sf, with_generation=False)
 
 
+def _corpus(spark, sf):
+    return _gold(spark, sf).select("kernel_id", F.concat(F.lit("gold/"), F.col("kernel_id")).alias("path"), "source")
+
+
 def q_job_mutation_report(spark, sf):
-    return _mutation_rows(spark, sf)
+    return J.mutation_report(_corpus(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))["rows"]
 
 
 # =========================== H: streaming ===========================
