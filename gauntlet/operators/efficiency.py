@@ -19,7 +19,10 @@ def stdout_lines(df: DataFrame, keys: list[str], stdout: str = "stdout") -> Data
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
+# ---- fixed values (must equal the evaluated pipeline's) -------------------
 SPEEDUP_LINE = r"^(\S+):\s+([0-9]*\.?[0-9]+)\s*$"
+REPORTED_MEAN_PREFIX = "speed up:"
+# ---------------------------------------------------------------------------
 
 
 def parse_speedups(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -37,7 +40,7 @@ def parse_speedups(lines: DataFrame, line: str = "line") -> DataFrame:
 def reported_mean(lines: DataFrame, keys, order) -> DataFrame:
     """Last parseable ``speed up:`` value per group."""
     val = ustrip(F.expr("substr(line, instr(line, ':') + 1)")).try_cast("double")
-    good = lines.where(F.startswith(F.col("line"), F.lit("speed up:"))).withColumn("_v", val).where(
+    good = lines.where(F.startswith(F.col("line"), F.lit(REPORTED_MEAN_PREFIX))).withColumn("_v", val).where(
         F.col("_v").isNotNull())
     # lines sharing a number keep the text order, as in the assembled stdout
     return good.groupBy(*keys).agg(F.max_by("_v", F.struct(*order, "line")).alias("mean_speedup"))

@@ -28,9 +28,6 @@ from gauntlet.functions.rewrite import (
 from gauntlet.functions.text import stderr_excerpt
 from gauntlet.operators.stats import upper_median
 
-SKIP_NOT_APPLICABLE = "not applicable"
-SKIP_PARSE_FAILED = "ast.parse failed after mutation"
-SKIP_MUTATOR_ERROR = "mutator error: "
 
 
 @dataclass(frozen=True)
@@ -43,7 +40,10 @@ class Variant:
     python: bool = False
 
 
-# ---- fixed values: registry order and predictions -------------------------
+# ---- fixed values: registry order and predictions, skip reasons -----------
+SKIP_NOT_APPLICABLE = "not applicable"
+SKIP_PARSE_FAILED = "ast.parse failed after mutation"
+SKIP_MUTATOR_ERROR = "mutator error: "
 DEFAULT_REGISTRY = [
     Variant("shared_mem_overflow", variant_shared_mem, BEHAVIOR_FAIL_SHARED_MEM, False),
     Variant("force_fp8", variant_fp8, BEHAVIOR_FAIL_DTYPE, False),
