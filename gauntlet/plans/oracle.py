@@ -589,7 +589,8 @@ UNION ALL SELECT run_id, script, location FROM runlogs r WHERE location = 'tmp'
 
     # ---- H
     q["stream_progress"] = """SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS n,
-  CAST(count_if(event_type = 'error') AS BIGINT) AS failures FROM events GROUP BY 1"""
+  CAST(count_if(event_type = 'error') AS BIGINT) AS failures FROM events
+  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1"""
     q["stream_classify"] = fxs(["probes"], f"""SELECT run_id, kernel_id, seq, failure_type, failure_type IN {HW} AS is_hardware_failure
   FROM (SELECT *, {kernel_case('lower(stderr)')} AS failure_type FROM probes WHERE returncode <> 0)""")
 

@@ -33,11 +33,12 @@ def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, ckpt = scratch_dir(spark, "failures-out"), scratch_dir(spark, "failures-ckpt")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").option("ignoreNullFields", "false").json(sink)
+        # one folder per epoch, overwritten: a replayed epoch rewrites instead of duplicating
+        batch.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{sink}/epoch={epoch}")
 
     q = (classify_stream(stream).writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return (spark.read.schema("run_id string, kernel_id string, seq int, failure_type string, "
-                              "is_hardware_failure boolean, stderr_excerpt string").json(sink)
+                              "is_hardware_failure boolean, stderr_excerpt string, epoch bigint").json(sink)
             .select("run_id", "kernel_id", "seq", "failure_type", "is_hardware_failure"))
