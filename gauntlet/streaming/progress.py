@@ -4,7 +4,8 @@ File source over the events parquet -> event time -> watermark -> tumbling
 1-day windows counting completions and failures.  Output mode is ``append``:
 a window is emitted once the watermark (latest event time minus one hour)
 passes its end, and its state is then dropped, so state stays bounded on an
-endless stream; rows arriving behind the watermark are dropped as late.
+endless stream.  Rows whose window ended before the watermark the previous
+micro-batch finished with are dropped as late (Spark's late-event rule).
 ``foreachBatch`` writes each micro-batch's closed windows to its own epoch
 folder of a parquet sink, overwriting it, so a replayed epoch is idempotent
 (nothing collects on the driver); ``availableNow`` drains what is there and
@@ -40,11 +41,12 @@ def progress_by_window(events: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failures")))
 
 
-def windowed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = sf_dir.rstrip("/")
-    schema = spark.read.parquet(f"{src}/events.parquet").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(src))
+def progress_stream(spark: SparkSession, src: str, schema, glob: str | None = None) -> DataFrame:
+    """Run H1 over the parquet files under ``src`` (one file per micro-batch) and return the closed windows."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    stream = reader.parquet(src)
     sink, ckpt = scratch_dir(spark, "progress-out"), scratch_dir(spark, "progress-ckpt")
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -59,3 +61,9 @@ def windowed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "window_start bigint, n bigint, failures bigint")
     return spark.read.parquet(sink).select("window_start", F.col("n").cast("bigint").alias("n"),
                                            F.col("failures").cast("bigint").alias("failures"))
+
+
+def windowed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{src}/events.parquet").schema
+    return progress_stream(spark, src, schema, glob="events.parquet")
