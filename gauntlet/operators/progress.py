@@ -24,7 +24,8 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], flag: str
     ``_running`` (running count of ``flag``) and ``_total`` (group sum of ``weight``)."""
     spark = df.sparkSession
     checkpoint_root(spark)  # the session's shared folder; a temporary one only when unset
-    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ranges at least as many as the input's partitions, so one range stays about one split in size
+    n_ranges = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     flag_col = F.col(flag).cast("int") if flag else F.lit(0)
     weight_col = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     ranged = (df.withColumn("_flag", F.coalesce(flag_col, F.lit(0))).withColumn("_w", weight_col)
