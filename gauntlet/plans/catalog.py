@@ -210,17 +210,18 @@ def q_sink_jsonl_roundtrip(spark, sf):
 
 
 def q_sink_summary_doc(spark, sf):
+    """A10: nested per-run summary documents written as text (nulls kept), read back by JSON path."""
     root = scratch_dir(spark, "summary")
-    funnel = _phase_funnel(spark, sf)
-    doc = F.to_json(F.struct("run_id", "total_predictions", "phase1_passed", "phase1_rate", "phase2_passed",
-                             "phase2_rate", "phase2_rate_among_phase1",
-                             F.lit(None).cast("string").alias("generation")), {"ignoreNullFields": "false"})
-    funnel.select(doc.alias("value")).write.mode("overwrite").text(root)
+    docs = J.summary_document(_evaluation_summary(spark, sf, with_generation=True))
+    docs.select(F.col("document").alias("value")).write.mode("overwrite").text(root)
     back = spark.read.text(root)
-    g = lambda k, t: F.get_json_object("value", f"$.{k}").cast(t).alias(k)
-    return back.select(g("run_id", "string"), g("total_predictions", "bigint"), g("phase1_passed", "bigint"),
-                       g("phase1_rate", "double"), g("phase2_passed", "bigint"), g("phase2_rate", "double"),
-                       g("phase2_rate_among_phase1", "double"),
+    g = lambda path, t, name: F.get_json_object("value", f"$.{path}").cast(t).alias(name)
+    return back.select(g("run_id", "string", "run_id"), g("total_predictions", "bigint", "total_predictions"),
+                       g("phase1_call_acc.passed", "bigint", "phase1_passed"),
+                       g("phase1_call_acc.rate", "double", "phase1_rate"),
+                       g("phase2_exec_acc.passed", "bigint", "phase2_passed"),
+                       g("phase2_exec_acc.rate", "double", "phase2_rate"),
+                       g("phase2_exec_acc.rate_among_phase1", "double", "phase2_rate_among_phase1"),
                        F.array_contains(F.json_object_keys("value"), "generation").alias("has_generation_key"))
 
 
@@ -697,20 +698,11 @@ def q_histogram_map(spark, sf):
 
 
 def q_metric_report(spark, sf):
-    summ = _evaluation_summary(spark, sf, with_generation=True)
-    nested = F.to_json(F.struct(
-        F.struct(F.col("phase1_rate").alias("rate")).alias("phase1_call_acc"),
-        F.struct(F.col("phase2_rate").alias("rate"),
-                 F.col("phase2_rate_among_phase1").alias("rate_among_phase1")).alias("phase2_exec_acc"),
-        F.struct("mean_speedup", "geomean_speedup", "median_speedup", "pct_faster_than_pytorch")
-        .alias("phase3_efficiency"),
-        F.struct(F.struct(F.col("gen_latency_p50").alias("p50"), F.col("gen_latency_p95").alias("p95"))
-                 .alias("latency_s"),
-                 F.struct(F.col("gen_total_completion").alias("total_completion")).alias("tokens"))
-        .alias("generation")))
+    """Each reported metric path resolved against each run's summary document (long form)."""
+    docs = J.summary_document(_evaluation_summary(spark, sf, with_generation=True))
     metrics = F.array(*[F.lit(m) for m in METRICS_REPORTED])
-    long = summ.select("run_id", nested.alias("_doc"), F.explode(metrics).alias("metric"))
-    value = F.expr("get_json_object(_doc, concat('$.', metric))")
+    long = docs.select("run_id", "document", F.explode(metrics).alias("metric"))
+    value = F.expr("get_json_object(document, concat('$.', metric))")
     return long.select("run_id", "metric", _try_cast(value, "double").alias("value"))
 
 

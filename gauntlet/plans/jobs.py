@@ -25,15 +25,6 @@ EMPTY_REPLY_MESSAGE = "generation failed after 2 retries: API returned empty con
 SYNTAX_MESSAGE_PREFIX = "SyntaxError after fence-strip — raw preview: "
 # ---------------------------------------------------------------------------
 
-SUMMARY_COLUMNS = [
-    "run_id", "total_predictions", "generation_failures", "usable_predictions",
-    "phase1_passed", "phase1_rate", "phase2_passed", "phase2_rate", "phase2_rate_among_phase1",
-    "mean_speedup", "n_kernels_measured", "geomean_speedup", "median_speedup", "min_speedup", "max_speedup",
-    "pct_faster_than_pytorch", "total_failures", "hardware_failures", "code_failures", "failures_by_type",
-    "gen_latency_p50", "gen_latency_p95", "gen_total_completion",
-]
-
-
 # ------------------------------------------------------------------ J1
 
 def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
@@ -136,6 +127,34 @@ def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, p
         "gen_latency_p50", "gen_latency_p95", "gen_total_completion")
 
 
+def summary_document(report: DataFrame) -> DataFrame:
+    """A10: the nested per-run summary document (JSON text, null fields kept) from ``evaluation_report``.
+
+    ``failure_analysis.by_type`` is a JSON object; ``generation`` is null when
+    the run has no generation telemetry (bring-your-own predictions).
+    """
+    pairs = F.transform(F.split(F.col("failures_by_type"), ","),
+                        lambda e: F.struct(F.split_part(e, F.lit("="), F.lit(1)).alias("k"),
+                                           F.split_part(e, F.lit("="), F.lit(2)).cast("bigint").alias("v")))
+    by_type = F.when(F.col("failures_by_type") == "", F.create_map().cast("map<string,bigint>")) \
+        .otherwise(F.map_from_entries(pairs))
+    has_gen = F.col("gen_latency_p50").isNotNull() | F.col("gen_total_completion").isNotNull()
+    generation = F.when(has_gen, F.struct(
+        F.struct(F.col("gen_latency_p50").alias("p50"), F.col("gen_latency_p95").alias("p95")).alias("latency_s"),
+        F.struct(F.col("gen_total_completion").alias("total_completion")).alias("tokens")))
+    doc = F.struct(
+        "run_id", "total_predictions", "generation_failures", "usable_predictions",
+        F.struct(F.col("phase1_passed").alias("passed"), F.col("phase1_rate").alias("rate")).alias("phase1_call_acc"),
+        F.struct(F.col("phase2_passed").alias("passed"), F.col("phase2_rate").alias("rate"),
+                 F.col("phase2_rate_among_phase1").alias("rate_among_phase1")).alias("phase2_exec_acc"),
+        F.struct("mean_speedup", "n_kernels_measured", "geomean_speedup", "median_speedup", "min_speedup",
+                 "max_speedup", "pct_faster_than_pytorch").alias("phase3_efficiency"),
+        generation.alias("generation"),
+        F.struct("total_failures", "hardware_failures", "code_failures", by_type.alias("by_type"))
+        .alias("failure_analysis"))
+    return report.select("run_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+
+
 # ------------------------------------------------------------------ J3
 
 def mutation_report(corpus: DataFrame, outcomes: DataFrame, timings: DataFrame,

@@ -109,3 +109,16 @@ def test_corpus_fallback_when_primary_missing(spark):
     assert sorted((r.kernel_id, r.source) for r in got.collect()) == [("k1.py", "x = 1\n"), ("k2.py", "y = 2\n")]
     with pytest.raises(FileNotFoundError):
         IO.read_corpus_with_fallback(spark, scratch_dir(spark, "t-none1"), scratch_dir(spark, "t-none2"))
+
+
+def test_summary_document_is_nested_and_keeps_nulls(spark):
+    from gauntlet.plans import catalog, jobs
+    report = catalog._evaluation_summary(spark, SF_SMALL, with_generation=True)
+    docs = {r.run_id: json.loads(r.document) for r in jobs.summary_document(report).collect()}
+    assert set(docs) == {"run_0", "run_1", "run_2", "run_3"}
+    d = docs["run_3"]
+    assert "generation" in d and d["generation"] is None  # no telemetry for run_3, key kept
+    assert set(d["phase2_exec_acc"]) == {"passed", "rate", "rate_among_phase1"}
+    fa = d["failure_analysis"]
+    assert fa["total_failures"] == fa["hardware_failures"] + fa["code_failures"] == sum(fa["by_type"].values())
+    assert docs["run_0"]["generation"]["latency_s"]["p50"] is not None
