@@ -27,25 +27,38 @@ SYNTAX_MESSAGE_PREFIX = "SyntaxError after fence-strip — raw preview: "
 
 # ------------------------------------------------------------------ J1
 
-def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
-    """Replies -> blank check -> extract -> parse -> classify -> per-group report.
-
-    ``replies``: keys, reply, latency_s, completion_tokens, finish_reason.
-    A blank reply fails as an empty response with no telemetry; a reply whose
-    extracted code does not parse fails as a syntax error but keeps its
-    telemetry.  The parser (the only Python) runs on non-blank replies only.
+def generation_items(replies: DataFrame) -> DataFrame:
+    """J1 per item: the prediction (code, or a failure stub) and the item's meta.
+
+    ``replies``: reply, latency_s, completion_tokens, finish_reason (+ any key
+    columns, kept).  A blank reply fails as an empty response with no
+    telemetry; a reply whose extracted code does not parse fails as a syntax
+    error but keeps its telemetry.  The parser (the only Python) runs on
+    non-blank replies only.
     """
-    keys = list(keys)
     blank = X.ustrip(F.coalesce(F.col("reply"), F.lit(""))) == ""
-    staged = replies.withColumn("_status", F.when(~blank, python_parse_status(X.extract_code("reply"))))
+    code = X.extract_code("reply")
+    staged = replies.withColumn("_code", code).withColumn(
+        "_status", F.when(~blank, python_parse_status(F.col("_code"))))
     message = (F.when(blank, F.lit(EMPTY_REPLY_MESSAGE))
                .when(F.col("_status") == "syntax",
                      F.concat(F.lit(SYNTAX_MESSAGE_PREFIX + "'"), X.reply_preview("reply"), F.lit("'")))
                .when(F.col("_status") == "other", F.lit("unexpected parser error")))
-    staged = (staged.withColumn("fail_reason", F.when(message.isNotNull(), C.classify_gen_failure(message)))
-              .withColumn("latency_s", F.when(~blank, round_to("latency_s", 3)))
-              .withColumn("completion_tokens", F.when(~blank, F.col("completion_tokens")))
-              .withColumn("finish_reason", F.when(~blank, F.col("finish_reason"))))
+    return (staged.withColumn("_message", message)
+            .withColumn("fail_reason", F.when(F.col("_message").isNotNull(), C.classify_gen_failure("_message")))
+            .withColumn("predict", F.when(F.col("_message").isNotNull(), X.failed_stub("_message"))
+                        .otherwise(F.col("_code")))
+            .withColumn("latency_s", F.when(~blank, round_to("latency_s", 3)))
+            .withColumn("completion_tokens", F.when(~blank, F.col("completion_tokens")))
+            .withColumn("truncated", ~blank & C.truncated_flag("finish_reason"))
+            .withColumn("finish_reason", F.when(~blank, F.col("finish_reason")))
+            .drop("_code", "_status", "_message"))
+
+
+def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
+    """Per-group report over ``generation_items``: failures by reason, latency, tokens, truncation."""
+    keys = list(keys)
+    staged = generation_items(replies)
     tele = ST.generation_telemetry(staged, keys)
     pct = ST.latency_percentiles(staged, keys, "latency_s").drop("n")
     hist = (ST.histogram_text(staged.where(F.col("fail_reason").isNotNull()), keys, "fail_reason", "by_reason")

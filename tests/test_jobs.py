@@ -71,3 +71,23 @@ def test_generation_report_brute_force(spark):
         assert g.total_completion == sum(tok)
         assert math.isclose(g.mean_completion, round(statistics.fmean(tok), 1), abs_tol=1e-9)
         assert g.truncated_count == sum(m["truncated"] for m in ms)
+
+
+def test_generation_items_predictions(spark):
+    from gauntlet.plans import jobs
+    items = {r.idx: r for r in jobs.generation_items(fixture(spark, SF_SMALL, "replies")).collect()}
+    for idx, r in items.items():
+        if r.fail_reason is None:
+            assert r.predict == py_extract(fixture_reply(spark, idx))
+        else:
+            assert r.predict.startswith("# generation failed: ") and r.predict.endswith("\n")
+        assert (r.latency_s is None) == (r.fail_reason == "empty_response")
+
+
+_REPLIES = {}
+
+
+def fixture_reply(spark, idx):
+    if not _REPLIES:
+        _REPLIES.update({r.idx: r.reply for r in fixture(spark, SF_SMALL, "replies").select("idx", "reply").collect()})
+    return _REPLIES[idx]
