@@ -62,6 +62,20 @@ def read_task_arrays(spark: SparkSession, root: str, datasets=VALID_DATASETS) ->
                     F.col("_it.instruction").alias("instruction"), F.col("_it.input").alias("input")))
 
 
+def read_task_file(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """A1, single-file form: one JSON array per dataset file; the index is the array position.
+
+    A single array is one value, so it is read by one task; large task sets
+    belong in the sharded layout of ``write_task_arrays``.
+    """
+    if dataset not in VALID_DATASETS:
+        raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {dataset!r}")
+    arr = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(TASK_ITEM)).alias("_items"))
+    return (arr.select(F.posexplode("_items").alias("idx", "_it"))
+            .select(F.lit(dataset).alias("dataset"), F.col("idx").cast("bigint").alias("idx"),
+                    F.col("_it.instruction").alias("instruction"), F.col("_it.input").alias("input")))
+
+
 # ---- A2 / A9: JSONL ---------------------------------------------------------------
 
 def write_jsonl(df: DataFrame, root: str, keep_nulls: bool = True) -> None:

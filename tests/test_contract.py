@@ -122,3 +122,13 @@ def test_summary_document_is_nested_and_keeps_nulls(spark):
     fa = d["failure_analysis"]
     assert fa["total_failures"] == fa["hardware_failures"] + fa["code_failures"] == sum(fa["by_type"].values())
     assert docs["run_0"]["generation"]["latency_s"]["p50"] is not None
+
+
+def test_task_file_single_array(spark):
+    root = scratch_dir(spark, "t-taskfile")
+    items = [{"instruction": "a"}, {"instruction": "b", "input": None}, {"instruction": "c", "input": "x"}]
+    spark.createDataFrame([(json.dumps(items),)], "value string").coalesce(1).write.text(root)
+    got = sorted(tuple(r) for r in IO.read_task_file(spark, root, "simp").collect())
+    assert got == [("simp", 0, "a", None), ("simp", 1, "b", None), ("simp", 2, "c", "x")]
+    with pytest.raises(ValueError):
+        IO.read_task_file(spark, root, "other")
