@@ -139,5 +139,5 @@ def fallback_union(primary: DataFrame, fallback: DataFrame, keys: list[str] | No
     if keys:
         present = primary.select(*keys).distinct()
         return primary.unionByName(fallback.join(present, keys, "left_anti"))
-    flag = primary.select(F.lit(1).alias("_p")).limit(1)
-    return primary.unionByName(fallback.join(flag, how="left_anti"))
+    # whole-relation form: a one-row emptiness probe picks the side, no keyless join
+    return fallback if primary.isEmpty() else primary
