@@ -552,7 +552,7 @@ def q_baseline_join(spark, sf):
 def q_device_join(spark, sf):
     items = _items(spark, sf)
     recs = FN.phase1_records(items, _probes(spark, sf), _passed1())
-    return recs.join(fx(spark, sf, "devices"), "run_id", "left").select(*FN.KEYS, "gpu", "compute_cap")
+    return recs.join(FN.small_dimension(fx(spark, sf, "devices")), "run_id", "left").select(*FN.KEYS, "gpu", "compute_cap")
 
 
 def _generation_per_run(spark, sf):
