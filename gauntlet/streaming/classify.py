@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gauntlet.functions.classify import is_hardware_failure, kernel_failure_type
+from gauntlet.functions.classify import classify_gen_failure, is_hardware_failure, kernel_failure_type
 from gauntlet.functions.text import stderr_excerpt
 from gauntlet.session import scratch_dir
 from gauntlet.sources.tables import fixture
@@ -25,20 +25,39 @@ def classify_stream(probes: DataFrame) -> DataFrame:
                         stderr_excerpt("stderr").alias("stderr_excerpt"))
 
 
-def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landing = scratch_dir(spark, "probes-in")
-    probes = fixture(spark, sf_dir, "probes")
-    probes.repartition(4).write.mode("overwrite").parquet(landing)
-    stream = spark.readStream.schema(probes.schema).option("maxFilesPerTrigger", 2).parquet(landing)
-    sink, ckpt = scratch_dir(spark, "failures-out"), scratch_dir(spark, "failures-ckpt")
+def classify_attempt_stream(attempts: DataFrame) -> DataFrame:
+    """B18 on a stream of generation attempts: every non-ok attempt with its failure reason."""
+    failed = attempts.where(F.col("kind") != "ok")
+    return failed.select("run_id", "item", "attempt",
+                         classify_gen_failure("message", "status_code").alias("reason"))
+
+
+def run_stateless(spark: SparkSession, table: DataFrame, transform, read_schema: str, label: str) -> DataFrame:
+    """Land ``table`` as parquet files, stream them through ``transform`` into an epoch-idempotent JSONL sink."""
+    landing = scratch_dir(spark, f"{label}-in")
+    table.repartition(4).write.mode("overwrite").parquet(landing)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    sink, ckpt = scratch_dir(spark, f"{label}-out"), scratch_dir(spark, f"{label}-ckpt")
 
     def write(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch, overwritten: a replayed epoch rewrites instead of duplicating
         batch.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{sink}/epoch={epoch}")
 
-    q = (classify_stream(stream).writeStream.outputMode("append").foreachBatch(write)
+    q = (transform(stream).writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return (spark.read.schema("run_id string, kernel_id string, seq int, failure_type string, "
-                              "is_hardware_failure boolean, stderr_excerpt string, epoch bigint").json(sink)
-            .select("run_id", "kernel_id", "seq", "failure_type", "is_hardware_failure"))
+    return spark.read.schema(read_schema + ", epoch bigint").json(sink).drop("epoch")
+
+
+def stream_attempt_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 for generation attempts."""
+    return run_stateless(spark, fixture(spark, sf_dir, "attempts"), classify_attempt_stream,
+                         "run_id string, item bigint, attempt int, reason string", "attempts")
+
+
+def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 for kernel probes: failing probes classified, read back from the JSONL sink."""
+    out = run_stateless(spark, fixture(spark, sf_dir, "probes"), classify_stream,
+                        "run_id string, kernel_id string, seq int, failure_type string, "
+                        "is_hardware_failure boolean, stderr_excerpt string", "probes")
+    return out.select("run_id", "kernel_id", "seq", "failure_type", "is_hardware_failure")

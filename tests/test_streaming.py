@@ -31,3 +31,14 @@ def test_late_rows_dropped_and_open_window_withheld(spark):
     got = sorted((r.window_start, r.n, r.failures) for r in out.collect())
     day = lambda d: int(dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc).timestamp())
     assert got == [(day(10), 2, 1), (day(11), 1, 0)]
+
+
+def test_attempt_stream_matches_batch(spark):
+    from conftest import SF_SMALL
+    from pyspark.sql import functions as F
+    from gauntlet.functions.classify import classify_gen_failure
+    from gauntlet.sources.tables import fixture
+    from gauntlet.streaming.classify import stream_attempt_failures
+    batch = (fixture(spark, SF_SMALL, "attempts").where(F.col("kind") != "ok")
+             .select("run_id", "item", "attempt", classify_gen_failure("message", "status_code").alias("reason")))
+    assert sorted(map(tuple, stream_attempt_failures(spark, SF_SMALL).collect())) == sorted(map(tuple, batch.collect()))
