@@ -1,7 +1,8 @@
-"""H2: live failure classification over a stream of probe results.
+"""H2: live failure classification over streams of probe results and generation attempts.
 
-Stateless: the same Column functions as the batch classifier run on each
-micro-batch, and failures append to a JSONL sink (nulls kept).  The probe
+Stateless: the same Column functions as the batch classifiers (kernel
+failures, generation failures) run on each micro-batch, and failures go to a
+JSONL sink with nulls kept, one overwritten folder per epoch.  The input
 table is first landed as parquet files in the shared scratch folder, which
 the file source then streams.
 """
