@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 TASK_ITEM = T.StructType([T.StructField("instruction", T.StringType()), T.StructField("input", T.StringType())])
 PREDICTION = T.StructType([T.StructField("instruction", T.StringType()), T.StructField("predict", T.StringType())])
@@ -142,10 +143,12 @@ def read_corpus_with_fallback(spark: SparkSession, primary: str, fallback: str,
 
 
 def has_files(spark: SparkSession, root: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(path)
+    """Whether ``root`` exists: resolving a reader on a missing path raises at once, reading nothing."""
+    try:
+        spark.read.format("text").load(root)
+        return True
+    except AnalysisException:
+        return False
 
 
 # ---- A5: optional sidecars ------------------------------------------------------------

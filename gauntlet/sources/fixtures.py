@@ -3,7 +3,8 @@
 Each fixture is one SQL text that runs unchanged on Spark and DuckDB, so the
 Spark queries and the DuckDB oracle start from identical inputs; the operator
 logic itself is written separately on each side.  The first eight are the
-fixtures of FIXTURES.md; ``kernels``, ``runlogs`` and ``devices`` add the
+fixtures of FIXTURES.md (``mutation_outcomes`` restated as a UNION ALL with
+the same rows, so no cross product is planned); ``kernels``, ``runlogs`` and ``devices`` add the
 generated modules, phase-3 run logs and the device dimension that the
 evaluation job needs.
 """
