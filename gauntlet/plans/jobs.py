@@ -70,6 +70,29 @@ def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
                     "truncated_count"))
 
 
+def _text_map(col: str) -> Column:
+    """``k=v,k=v`` text (as written by ``stats.map_text``) back to a map; '' or null -> {}."""
+    pairs = F.transform(F.split(F.col(col), ","),
+                        lambda e: F.struct(F.split_part(e, F.lit("="), F.lit(1)).alias("k"),
+                                           F.split_part(e, F.lit("="), F.lit(2)).cast("bigint").alias("v")))
+    return F.when(F.coalesce(F.col(col), F.lit("")) == "", F.create_map().cast("map<string,bigint>")) \
+        .otherwise(F.map_from_entries(pairs))
+
+
+def generation_document(report: DataFrame, keys=("model",)) -> DataFrame:
+    """A10: the nested generation document per group from ``generation_report`` (JSON, nulls kept)."""
+    keys = list(keys)
+    doc = F.struct(
+        *keys,
+        F.struct(F.col("latency_p50").alias("p50"), F.col("latency_p95").alias("p95"),
+                 F.col("latency_mean").alias("mean")).alias("latency_s"),
+        F.struct(F.col("failures_total").alias("total"), _text_map("failures_by_reason").alias("by_reason"))
+        .alias("failures"),
+        F.struct("total_completion", "mean_completion").alias("tokens"),
+        "truncated_count")
+    return report.select(*keys, F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def generation_sidecar(replies: DataFrame, keys=("run_id",)) -> DataFrame:
     """The ``generation`` block J2 reads: latency p50 / p95 and completion-token total per group."""
     keys = list(keys)
@@ -146,11 +169,7 @@ def summary_document(report: DataFrame) -> DataFrame:
     ``failure_analysis.by_type`` is a JSON object; ``generation`` is null when
     the run has no generation telemetry (bring-your-own predictions).
     """
-    pairs = F.transform(F.split(F.col("failures_by_type"), ","),
-                        lambda e: F.struct(F.split_part(e, F.lit("="), F.lit(1)).alias("k"),
-                                           F.split_part(e, F.lit("="), F.lit(2)).cast("bigint").alias("v")))
-    by_type = F.when(F.col("failures_by_type") == "", F.create_map().cast("map<string,bigint>")) \
-        .otherwise(F.map_from_entries(pairs))
+    by_type = _text_map("failures_by_type")
     has_gen = F.col("gen_latency_p50").isNotNull() | F.col("gen_total_completion").isNotNull()
     generation = F.when(has_gen, F.struct(
         F.struct(F.col("gen_latency_p50").alias("p50"), F.col("gen_latency_p95").alias("p95")).alias("latency_s"),

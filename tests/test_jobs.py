@@ -91,3 +91,15 @@ def fixture_reply(spark, idx):
     if not _REPLIES:
         _REPLIES.update({r.idx: r.reply for r in fixture(spark, SF_SMALL, "replies").select("idx", "reply").collect()})
     return _REPLIES[idx]
+
+
+def test_generation_document(spark):
+    import json
+    from gauntlet.plans import jobs
+    report = entry_mod.queries()["job_generation_report"](spark, SF_SMALL)
+    docs = {r.model: json.loads(r.document) for r in jobs.generation_document(report).collect()}
+    for r in report.collect():
+        d = docs[r.model]
+        assert d["failures"]["total"] == r.failures_total == sum(d["failures"]["by_reason"].values())
+        assert d["latency_s"] == {"p50": r.latency_p50, "p95": r.latency_p95, "mean": r.latency_mean}
+        assert d["tokens"]["total_completion"] == r.total_completion and d["truncated_count"] == r.truncated_count
