@@ -191,7 +191,7 @@ def summary_document(report: DataFrame) -> DataFrame:
 
 def mutation_report(corpus: DataFrame, outcomes: DataFrame, timings: DataFrame,
                     registry=V.DEFAULT_REGISTRY) -> dict[str, DataFrame]:
-    """The mutation dataset, its per-device summary, and the skip rows.
+    """The mutation dataset, its per-device summary and totals, the skip rows, and the summary document.
 
     ``corpus``: kernel_id, path, source; ``outcomes``: kernel_id,
     mutation_type, gpu, compute_cap, returncode, stdout, stderr (one row per
@@ -201,4 +201,26 @@ def mutation_report(corpus: DataFrame, outcomes: DataFrame, timings: DataFrame,
     attempts = V.attempt_rows(gated, outcomes, timings)
     skips = gated.where(F.col("skip_reason").isNotNull()).select(
         "kernel_id", "mutation_type", F.col("skip_reason").alias("reason"))
-    return {"rows": V.mutation_rows(attempts), "summary": V.mutation_summary(attempts), "skips": skips}
+    summary = V.mutation_summary(attempts)
+    totals = attempts.groupBy("gpu", "compute_cap").agg(
+        F.countDistinct("kernel_id").alias("total_kernels_processed"),
+        F.count(F.lit(1)).alias("total_mutations_attempted"),
+        F.count_if("applicable").alias("total_mutations_applicable"))
+    return {"rows": V.mutation_rows(attempts), "summary": summary, "skips": skips, "totals": totals,
+            "document": mutation_summary_document(summary, totals)}
+
+
+def mutation_summary_document(summary: DataFrame, totals: DataFrame) -> DataFrame:
+    """A10: the per-device mutation summary document (JSON, nulls kept).
+
+    ``by_mutation`` holds one entry per registry mutation, so collecting it per
+    device is bounded; the skip rows stay a table of their own (``skips``)
+    rather than an unbounded list inside one document.
+    """
+    entry = F.struct("attempted", "applicable", "validated", "validation_rate", "applicability_rate")
+    by_mut = summary.groupBy("gpu", "compute_cap").agg(
+        F.map_from_entries(F.collect_list(F.struct("mutation_type", entry))).alias("by_mutation"))
+    doc = F.struct("gpu", "compute_cap", "total_kernels_processed", "total_mutations_attempted",
+                   "total_mutations_applicable", "by_mutation")
+    return (totals.join(by_mut, ["gpu", "compute_cap"])
+            .select("gpu", "compute_cap", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document")))

@@ -103,3 +103,19 @@ def test_generation_document(spark):
         assert d["failures"]["total"] == r.failures_total == sum(d["failures"]["by_reason"].values())
         assert d["latency_s"] == {"p50": r.latency_p50, "p95": r.latency_p95, "mean": r.latency_mean}
         assert d["tokens"]["total_completion"] == r.total_completion and d["truncated_count"] == r.truncated_count
+
+
+def test_mutation_summary_document(spark):
+    import json
+    from pyspark.sql import functions as F
+    from gauntlet.plans import jobs
+    gold = fixture(spark, SF_SMALL, "gold").select("kernel_id", F.concat(F.lit("gold/"), "kernel_id").alias("path"),
+                                                   "source")
+    out = jobs.mutation_report(gold, fixture(spark, SF_SMALL, "mutation_outcomes"), fixture(spark, SF_SMALL, "timings"))
+    docs = [json.loads(r.document) for r in out["document"].collect()]
+    assert {d["gpu"] for d in docs} == {"Tesla T4", "NVIDIA A10"}
+    for d in docs:
+        assert set(d["by_mutation"]) == {"shared_mem_overflow", "force_fp8", "force_bf16", "non_pow2_block"}
+        assert sum(m["attempted"] for m in d["by_mutation"].values()) == d["total_mutations_attempted"]
+        assert sum(m["applicable"] for m in d["by_mutation"].values()) == d["total_mutations_applicable"]
+        assert "skipped" not in d
