@@ -19,6 +19,7 @@ from gauntlet.operators import efficiency as EF
 from gauntlet.operators import funnel as FN
 from gauntlet.operators import stats as ST
 from gauntlet.operators import variants as V
+from gauntlet.session import checkpoint_root
 
 # ---- fixed values (must equal the evaluated pipeline's) -------------------
 EMPTY_REPLY_MESSAGE = "generation failed after 2 retries: API returned empty content (model at capacity)"
@@ -58,7 +59,12 @@ def generation_items(replies: DataFrame) -> DataFrame:
 def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
     """Per-group report over ``generation_items``: failures by reason, latency, tokens, truncation."""
     keys = list(keys)
-    staged = generation_items(replies)
+    checkpoint_root(replies.sparkSession)
+    # four aggregations read the items: materialise the narrow columns once (reliable checkpoint in the
+    # shared folder) instead of re-running extraction and the parser for each of them
+    staged = (generation_items(replies)
+              .select(*keys, "latency_s", "completion_tokens", "finish_reason", "fail_reason")
+              .checkpoint(eager=True))
     tele = ST.generation_telemetry(staged, keys)
     pct = ST.latency_percentiles(staged, keys, "latency_s").drop("n")
     hist = (ST.histogram_text(staged.where(F.col("fail_reason").isNotNull()), keys, "fail_reason", "by_reason")
