@@ -130,16 +130,36 @@ def funnel_rates(counts: DataFrame) -> DataFrame:
             .withColumn("phase2_rate_among_phase1", rate("phase2_passed", "phase1_passed")))
 
 
+def _survivor_flags(items: DataFrame, *listings):
+    """Turn survivor listings (DataFrames of run_id, kernel_id) into flag columns on the items.
+
+    A listing that is already a Column (a predicate on the items) is used as is.
+    Listings are de-duplicated key sets, joined on the item keys.
+    """
+    flags = []
+    for i, listing in enumerate(listings):
+        if isinstance(listing, DataFrame):
+            name = f"_survived{i}"
+            keys = listing.select(*FN.KEYS).distinct().withColumn(name, F.lit(True))
+            items = items.join(keys, FN.KEYS, "left")
+            flags.append(F.coalesce(F.col(name), F.lit(False)))
+        else:
+            flags.append(listing)
+    return (items, *flags)
+
+
 def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, passed1: Column, passed2: Column,
                       lines: DataFrame, line_order: list[str], generation: DataFrame | None = None) -> DataFrame:
     """J2 (and J4 when ``generation`` is None): one flat summary row per run.
 
-    ``items``: run_id, kernel_id, predict, test (+ the columns ``passed1`` /
-    ``passed2`` read); ``probes``: run_id, kernel_id, seq, returncode, stderr;
+    ``items``: run_id, kernel_id, predict, test; ``passed1`` / ``passed2``: the
+    phase survivor listings, either DataFrames of (run_id, kernel_id) or
+    Columns evaluated on the items; ``probes``: run_id, kernel_id, seq, returncode, stderr;
     ``devices``: run_id, gpu, compute_cap; ``lines``: run_id, ``line_order``
     columns and line (the phase-3 stdout); ``generation``: run_id and the
     ``generation_sidecar`` columns, or None for bring-your-own predictions.
     """
+    items, passed1, passed2 = _survivor_flags(items, passed1, passed2)
     base = funnel_rates(run_counts(items, passed1, passed2))
     ratios = ST.ratio_stats(EF.parse_speedups(lines), ["run_id"], "ratio").drop("n_nonpositive")
     mean = EF.reported_mean(lines, ["run_id"], line_order)

@@ -119,3 +119,18 @@ def test_mutation_summary_document(spark):
         assert sum(m["attempted"] for m in d["by_mutation"].values()) == d["total_mutations_attempted"]
         assert sum(m["applicable"] for m in d["by_mutation"].values()) == d["total_mutations_applicable"]
         assert "skipped" not in d
+
+
+def test_evaluation_report_accepts_survivor_listings(spark):
+    from pyspark.sql import functions as F
+    from gauntlet.plans import catalog, jobs
+    items = fixture(spark, SF_SMALL, "kernels")
+    lines = fixture(spark, SF_SMALL, "speedup_lines").withColumn("run_id", F.concat(F.lit("run_"), (F.col("run_id") % 4)
+                                                                                      .cast("string")))
+    args = (fixture(spark, SF_SMALL, "probes"), fixture(spark, SF_SMALL, "devices"))
+    by_column = jobs.evaluation_report(items, *args, F.col("o_orderstatus") != "F", F.col("o_orderstatus") == "P",
+                                       lines, ["line_no"])
+    listing1 = items.where(F.col("o_orderstatus") != "F").select("run_id", "kernel_id")
+    listing2 = items.where(F.col("o_orderstatus") == "P").select("run_id", "kernel_id")
+    by_listing = jobs.evaluation_report(items.drop("o_orderstatus"), *args, listing1, listing2, lines, ["line_no"])
+    assert sorted(map(tuple, by_column.collect())) == sorted(map(tuple, by_listing.collect()))
