@@ -216,15 +216,22 @@ def summary_document(report: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ J3
 
 def mutation_report(corpus: DataFrame, outcomes: DataFrame, timings: DataFrame,
-                    registry=V.DEFAULT_REGISTRY) -> dict[str, DataFrame]:
+                    registry=V.DEFAULT_REGISTRY, checkpoint: bool = False) -> dict[str, DataFrame]:
     """The mutation dataset, its per-device summary and totals, the skip rows, and the summary document.
 
     ``corpus``: kernel_id, path, source; ``outcomes``: kernel_id,
     mutation_type, gpu, compute_cap, returncode, stdout, stderr (one row per
     kernel, mutation and device); ``timings``: kernel_id, side, sample_ms.
+    Outputs are lazy and each recomputes the rewrites and the parser; with
+    ``checkpoint=True`` the attempts are materialised once for callers that
+    use several outputs.
     """
     gated = V.with_parse_gate(V.expand_registry(corpus, registry))
     attempts = V.attempt_rows(gated, outcomes, timings)
+    if checkpoint:
+        # several outputs read the attempts: write them once to the shared checkpoint folder
+        checkpoint_root(corpus.sparkSession)
+        attempts = attempts.checkpoint(eager=True)
     skips = gated.where(F.col("skip_reason").isNotNull()).select(
         "kernel_id", "mutation_type", F.col("skip_reason").alias("reason"))
     summary = V.mutation_summary(attempts)

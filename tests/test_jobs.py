@@ -111,7 +111,8 @@ def test_mutation_summary_document(spark):
     from gauntlet.plans import jobs
     gold = fixture(spark, SF_SMALL, "gold").select("kernel_id", F.concat(F.lit("gold/"), "kernel_id").alias("path"),
                                                    "source")
-    out = jobs.mutation_report(gold, fixture(spark, SF_SMALL, "mutation_outcomes"), fixture(spark, SF_SMALL, "timings"))
+    out = jobs.mutation_report(gold, fixture(spark, SF_SMALL, "mutation_outcomes"), fixture(spark, SF_SMALL, "timings"),
+                               checkpoint=True)
     docs = [json.loads(r.document) for r in out["document"].collect()]
     assert {d["gpu"] for d in docs} == {"Tesla T4", "NVIDIA A10"}
     for d in docs:
