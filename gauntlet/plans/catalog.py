@@ -480,14 +480,8 @@ def q_reported_mean_speedup(spark, sf):
 
 
 def _mutation_totals(spark, sf):
-    """D13 per device; every (kernel, mutation) has an outcome per device, so an equi-join
-    on (kernel, mutation) spreads the attempt rows over devices without a cross product."""
-    gated = _gated(spark, sf).select("kernel_id", "mutation_type", "skip_reason")
-    devs = fx(spark, sf, "mutation_outcomes").select("kernel_id", "mutation_type", "gpu", "compute_cap")
-    return gated.join(devs, ["kernel_id", "mutation_type"]).groupBy("gpu", "compute_cap").agg(
-        F.countDistinct("kernel_id").alias("total_kernels_processed"),
-        F.count(F.lit(1)).alias("total_mutations_attempted"),
-        F.count_if(F.col("skip_reason").isNull()).alias("total_mutations_applicable"))
+    """D13 per device, from the mutation job's totals."""
+    return J.mutation_report(_corpus(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))["totals"]
 
 
 def q_summary_project(spark, sf):
