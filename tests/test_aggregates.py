@@ -102,3 +102,22 @@ def test_hot_group_is_split_across_ranges(spark):
     assert all(rt[float(v)] == i for i, v in enumerate(hot, 1))
     um = ST.upper_median(df, ["g"], "v").where("g = 'hot'").first()
     assert um.upper_median == float(hot[len(hot) // 2]) and um.n == len(hot)
+
+
+def test_empty_input_defaults_for_funnel_and_mutation_summary(spark):
+    from gauntlet.operators import variants as V
+    from gauntlet.plans import jobs
+    counts = spark.createDataFrame([("r0", 0, 0, 0), ("r1", 5, 0, 0), ("r2", 4, 2, 1)],
+                                   "run_id string, total_predictions bigint, phase1_passed bigint, phase2_passed bigint")
+    got = {r.run_id: r for r in jobs.funnel_rates(counts).collect()}
+    assert (got["r0"].phase1_rate, got["r0"].phase2_rate, got["r0"].phase2_rate_among_phase1) == (0.0, 0.0, None)
+    assert (got["r1"].phase1_rate, got["r1"].phase2_rate_among_phase1) == (0.0, None)
+    assert (got["r2"].phase1_rate, got["r2"].phase2_rate, got["r2"].phase2_rate_among_phase1) == (50.0, 25.0, 50.0)
+    attempts = spark.createDataFrame([("T4", "7.5", "force_fp8", False, False), ("T4", "7.5", "force_fp8", False, False),
+                                      ("T4", "7.5", "force_bf16", True, True)],
+                                     "gpu string, compute_cap string, mutation_type string, applicable boolean, "
+                                     "validated boolean")
+    s = {r.mutation_type: r for r in V.mutation_summary(attempts).collect()}
+    assert (s["force_fp8"].applicable, s["force_fp8"].validated, s["force_fp8"].validation_rate,
+            s["force_fp8"].applicability_rate) == (0, 0, None, 0.0)
+    assert (s["force_bf16"].validation_rate, s["force_bf16"].applicability_rate) == (1.0, 1.0)
