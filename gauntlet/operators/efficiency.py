@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gauntlet.functions.classify import perf_run_status
 from gauntlet.functions.text import splitlines, ustrip
 
 
@@ -22,6 +23,8 @@ def stdout_lines(df: DataFrame, keys: list[str], stdout: str = "stdout") -> Data
 # ---- fixed values (must equal the evaluated pipeline's) -------------------
 SPEEDUP_LINE = r"^(\S+):\s+([0-9]*\.?[0-9]+)\s*$"
 REPORTED_MEAN_PREFIX = "speed up:"
+NO_SURVIVORS_STATUS = "skipped (no surviving operators)"
+ALL_SKIPPED_STATUS = "skipped: all perf scripts failed or timed out (%d/%d skipped)"
 # ---------------------------------------------------------------------------
 
 
@@ -46,3 +49,20 @@ def reported_mean(lines: DataFrame, keys, order) -> DataFrame:
     return good.groupBy(*keys).agg(F.max_by("_v", F.struct(*order, "line")).alias("mean_speedup"))
 
 
+
+
+def perf_completion(runs: DataFrame, runlogs: DataFrame) -> DataFrame:
+    """Perf scripts per run, how many were skipped (not OK) or completed, and the phase status.
+
+    ``runs``: run_id, survivors (phase-2 survivors); ``runlogs``: run_id,
+    returncode, duration_s.  No survivors and all-skipped get their own texts.
+    """
+    skipped = perf_run_status("returncode", "duration_s") != "OK"
+    c = runlogs.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(skipped).alias("_sk"))
+    n, sk = F.coalesce(F.col("_n"), F.lit(0)), F.coalesce(F.col("_sk"), F.lit(0))
+    status = (F.when(F.col("survivors") == 0, F.lit(NO_SURVIVORS_STATUS))
+              .when(n - sk == 0, F.format_string(ALL_SKIPPED_STATUS, sk, n))
+              .otherwise(F.lit("measured")))
+    return runs.join(c, "run_id", "left").select(
+        "run_id", n.cast("bigint").alias("n_scripts"), sk.cast("bigint").alias("n_skipped"),
+        (n - sk).cast("bigint").alias("n_completed"), status.alias("status"))

@@ -667,19 +667,8 @@ def q_low_applicability(spark, sf):
 
 
 def q_perf_completion(spark, sf):
-    r = fx(spark, sf, "runlogs")
-    skipped = C.perf_run_status("returncode", "duration_s") != "OK"
-    c = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_scripts"), F.count_if(skipped).alias("n_skipped"))
-    runs = _items(spark, sf).groupBy("run_id").agg(F.count_if(_passed2()).alias("_survivors"))
-    j = runs.join(c, "run_id", "left")
-    n = F.coalesce(F.col("n_scripts"), F.lit(0))
-    sk = F.coalesce(F.col("n_skipped"), F.lit(0))
-    status = (F.when(F.col("_survivors") == 0, F.lit("skipped (no surviving operators)"))
-              .when(n - sk == 0, F.concat(F.lit("skipped: all perf scripts failed or timed out ("),
-                                          sk.cast("string"), F.lit("/"), n.cast("string"), F.lit(" skipped)")))
-              .otherwise(F.lit("measured")))
-    return j.select("run_id", n.cast("bigint").alias("n_scripts"), sk.cast("bigint").alias("n_skipped"),
-                    (n - sk).cast("bigint").alias("n_completed"), status.alias("status"))
+    runs = _items(spark, sf).groupBy("run_id").agg(F.count_if(_passed2()).alias("survivors"))
+    return EF.perf_completion(runs, fx(spark, sf, "runlogs"))
 
 
 def q_mutation_totals(spark, sf):

@@ -121,3 +121,14 @@ def test_empty_input_defaults_for_funnel_and_mutation_summary(spark):
     assert (s["force_fp8"].applicable, s["force_fp8"].validated, s["force_fp8"].validation_rate,
             s["force_fp8"].applicability_rate) == (0, 0, None, 0.0)
     assert (s["force_bf16"].validation_rate, s["force_bf16"].applicability_rate) == (1.0, 1.0)
+
+
+def test_perf_completion_texts(spark):
+    from gauntlet.operators.efficiency import perf_completion
+    runs = spark.createDataFrame([("a", 0), ("b", 3), ("c", 2)], "run_id string, survivors bigint")
+    logs = spark.createDataFrame([("b", 1, 1.0), ("b", None, 1.0), ("c", 0, 1.0), ("c", 0, 90.0)],
+                                 "run_id string, returncode int, duration_s double")
+    got = {r.run_id: r for r in perf_completion(runs, logs).collect()}
+    assert (got["a"].n_scripts, got["a"].status) == (0, "skipped (no surviving operators)")
+    assert got["b"].status == "skipped: all perf scripts failed or timed out (2/2 skipped)"
+    assert (got["c"].n_completed, got["c"].n_skipped, got["c"].status) == (1, 1, "measured")
