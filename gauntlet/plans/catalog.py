@@ -229,13 +229,11 @@ def q_sink_overwrite(spark, sf):
     root = scratch_dir(spark, "failures")
     recs = FN.phase1_records(fx(spark, sf, "kernels"), fx(spark, sf, "probes"), _passed1()).select(
         "run_id", "kernel_id", "failure_type")
-    writer = lambda df: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                         .partitionBy("run_id").parquet(root))
-    writer(recs)
+    IO.write_run_partitions(recs, root)
     # a second run rewrites run_0 and run_1 only; the other partitions stay as written
     redo = recs.where(F.col("run_id").isin("run_0", "run_1") & (F.regexp_extract("kernel_id", r"(\d+)", 1)
                                                                  .cast("bigint") % 2 == 0))
-    writer(redo)
+    IO.write_run_partitions(redo, root)
     back = spark.read.parquet(root)
     return back.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 

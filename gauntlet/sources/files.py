@@ -84,6 +84,11 @@ def write_jsonl(df: DataFrame, root: str, keep_nulls: bool = True) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower()).json(root)
 
 
+def write_run_partitions(df: DataFrame, root: str, by: str = "run_id") -> None:
+    """Replace only the runs present in ``df``; partitions of other runs stay as written."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(root)
+
+
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     """A2: explicit schema, a malformed line fails the read; missing ``predict`` -> ''."""
     df = spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(root)
