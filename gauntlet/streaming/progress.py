@@ -41,22 +41,30 @@ def progress_by_window(events: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failures")))
 
 
+def progress_to_sink(events: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
+    """Start H1 on any streaming DataFrame of events (event_id, ts, event_type); returns the query.
+
+    Closed windows land in ``sink/epoch=<id>`` (overwritten per epoch, so a
+    replayed epoch is idempotent); ``checkpoint`` should sit in the shared folder.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        (batch.select(F.unix_seconds(F.col("w.start")).alias("window_start"), "n", "failures")
+         .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}"))
+
+    writer = (progress_by_window(events).writeStream.outputMode("append").foreachBatch(write)
+              .option("checkpointLocation", checkpoint))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def progress_stream(spark: SparkSession, src: str, schema, glob: str | None = None) -> DataFrame:
     """Run H1 over the parquet files under ``src`` (one file per micro-batch) and return the closed windows."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(src)
     sink, ckpt = scratch_dir(spark, "progress-out"), scratch_dir(spark, "progress-ckpt")
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        # one folder per epoch, overwritten: a replayed epoch rewrites instead of duplicating
-        (batch.select(F.unix_seconds(F.col("w.start")).alias("window_start"), "n", "failures")
-         .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}"))
-
-    q = (progress_by_window(stream).writeStream.outputMode("append").foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    progress_to_sink(reader.parquet(src), sink, ckpt).awaitTermination()
     if not has_files(spark, sink):  # nothing closed yet
         return spark.createDataFrame([], "window_start bigint, n bigint, failures bigint")
     return spark.read.parquet(sink).select("window_start", F.col("n").cast("bigint").alias("n"),
