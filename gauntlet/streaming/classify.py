@@ -33,20 +33,26 @@ def classify_attempt_stream(attempts: DataFrame) -> DataFrame:
                          classify_gen_failure("message", "status_code").alias("reason"))
 
 
+def stateless_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str, available_now: bool = True):
+    """Start ``transform`` on any streaming DataFrame into a JSONL sink (nulls kept); returns the query."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        # one folder per epoch, overwritten: a replayed epoch rewrites instead of duplicating
+        batch.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{sink}/epoch={epoch}")
+
+    writer = (transform(stream).writeStream.outputMode("append").foreachBatch(write)
+              .option("checkpointLocation", checkpoint))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def run_stateless(spark: SparkSession, table: DataFrame, transform, read_schema: str, label: str) -> DataFrame:
-    """Land ``table`` as parquet files, stream them through ``transform`` into an epoch-idempotent JSONL sink."""
+    """Land ``table`` as parquet files, stream them through ``transform``, read the JSONL sink back."""
     landing = scratch_dir(spark, f"{label}-in")
     table.repartition(4).write.mode("overwrite").parquet(landing)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(landing)
     sink, ckpt = scratch_dir(spark, f"{label}-out"), scratch_dir(spark, f"{label}-ckpt")
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        # one folder per epoch, overwritten: a replayed epoch rewrites instead of duplicating
-        batch.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{sink}/epoch={epoch}")
-
-    q = (transform(stream).writeStream.outputMode("append").foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    stateless_to_sink(stream, transform, sink, ckpt).awaitTermination()
     return spark.read.schema(read_schema + ", epoch bigint").json(sink).drop("epoch")
 
 
