@@ -42,10 +42,6 @@ def nearest_rank(p: float):
     return rank
 
 
-def lower_middle(n: Column) -> Column:
-    return F.floor((n - 1) / 2).cast("bigint")
-
-
 def upper_middle(n: Column) -> Column:
     """sorted[n // 2]."""
     return F.floor(n / 2).cast("bigint")

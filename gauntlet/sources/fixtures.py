@@ -160,8 +160,3 @@ FIXTURE_TABLES: dict[str, tuple[str, ...]] = {
     "runlogs": ("orders",), "devices": (),
 }
 
-
-def with_fixtures(names, body: str) -> str:
-    """Prefix ``body`` with one CTE per fixture (used by the DuckDB oracle)."""
-    ctes = ",\n".join(f"{n} AS (\n{FIXTURE_SQL[n]}\n)" for n in names)
-    return f"WITH {ctes}\n{body}"
