@@ -102,20 +102,18 @@ def classified_probes(probes: DataFrame) -> DataFrame:
 def failure_dataset(items, probes, devices, passed1, passed2) -> DataFrame:
     """G2 + C7 as one keyed pipeline (8 fields + run).
 
-    Items, both survivor listings and the latest probe per key are each
-    shuffled once on (run_id, kernel_id); the left joins that follow are
-    co-partitioned.  A key missing from the phase-1 listing failed phase 1; one
-    present there but missing from the phase-2 listing failed phase 2.  Missing
+    The failing items and the latest probe per key are each shuffled once on
+    (run_id, kernel_id) for one left join.  An item not passing phase 1 failed
+    phase 1; one passing phase 1 but not phase 2 failed phase 2.  Missing
     probes read as (-1, ''), a clean phase-2 exit as numerical_mismatch with no stderr.
     """
-    s1 = items.where(passed1).select(*KEYS).distinct().withColumn("_p1", F.lit(True))
-    s2 = items.where(passed2).select(*KEYS).distinct().withColumn("_p2", F.lit(True))
-    staged = (items.select(*KEYS, "predict", "test")
-              .join(s1, KEYS, "left").join(s2, KEYS, "left")
-              .join(classified_probes(probes), KEYS, "left")
-              .withColumn("phase_failed", F.when(F.col("_p1").isNull(), F.lit(1))
-                          .when(F.col("_p2").isNull(), F.lit(2)))
-              .where(F.col("phase_failed").isNotNull()))
+    # the survivor predicates are evaluated on each item row (one item per key), so no self-join is needed;
+    # survivor listings given as tables are turned into such flags by ``jobs.evaluation_report``
+    staged = (items.select(*KEYS, "predict", "test", F.coalesce(passed1, F.lit(False)).alias("_p1"),
+                           F.coalesce(passed2, F.lit(False)).alias("_p2"))
+              .withColumn("phase_failed", F.when(~F.col("_p1"), F.lit(1)).when(~F.col("_p2"), F.lit(2)))
+              .where(F.col("phase_failed").isNotNull())
+              .join(classified_probes(probes), KEYS, "left"))
     rc = F.coalesce(F.col("returncode"), F.lit(-1))
     clean2 = (F.col("phase_failed") == 2) & (rc == 0)
     empty_type = kernel_failure_type(F.lit(""))
