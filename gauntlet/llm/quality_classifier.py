@@ -1,13 +1,15 @@
 """Quality classifier: supervised subword embeddings, averaged per document, softmax output.
 
-Words and character n-grams (bytes, whole text, case kept) are hashed into
-buckets.  Each bucket has a learned vector; a document is the mean of its
-features' vectors, and a linear layer with softmax gives the label.  Training
+Words, word pairs and character n-grams (bytes, whole text, case kept) are
+hashed into buckets; pairs of the same word share one bucket, so that
+repetition is learned from any word.  Each bucket has a learned vector; a
+document is the mean of its features' vectors, every kind of feature weighing
+the same, and a linear layer with softmax gives the label.  Training
 is stochastic gradient descent in numpy over a bounded sample of labelled
 rows: ``max_per_class`` documents of either label, by hash of the id, whole
 texts.  Scoring runs over all documents; since the layer is linear, each
 bucket's share of the logit is one number, and that table is broadcast
-(``2 * BUCKETS`` floats).
+(``KINDS * BUCKETS`` floats).
 
 Cases: null and empty texts have no feature and get the score of the bias;
 labels that are null or not 0/1 are ignored; a document with both labels
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gauntlet.llm.common import held_out
-from gauntlet.llm.textkernel import Chunk, chunks, span_hashes
+from gauntlet.llm.textkernel import Chunk, chunks, span_hashes, window_hashes
 
-BUCKETS = 1 << 16      # of words, and again of character n-grams
+BUCKETS = 1 << 16      # of each kind of feature
 NGRAMS = (3, 4)        # bytes
+KINDS = 2 + len(NGRAMS)
 MAX_PER_CLASS = 1500
 _K = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 
@@ -46,12 +49,14 @@ def _ngram_ids(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(chunk: Chunk) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words and each n-gram size: bucket ids, and where each row's ids begin and end."""
+    """For each kind of feature: bucket ids, and where each row's ids begin and end."""
     starts, ends, rows = chunk.words()
-    words = (span_hashes(chunk.data, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    out = [(words, rows[:-1], rows[1:])]
-    for n in NGRAMS:
-        ids = _ngram_ids(chunk.data, n).astype(np.int64) + BUCKETS
+    words, last = span_hashes(chunk.data, starts, ends), np.uint64(BUCKETS - 1)
+    pairs = np.where(words[1:] == words[:-1], 0, window_hashes(words, 2) & last).astype(np.int64) + BUCKETS
+    first = np.minimum(rows[:-1], len(pairs))
+    out = [((words & last).astype(np.int64), rows[:-1], rows[1:]), (pairs, first, np.maximum(first, rows[1:] - 1))]
+    for kind, n in enumerate(NGRAMS, 2):
+        ids = _ngram_ids(chunk.data, n).astype(np.int64) + kind * BUCKETS
         first = np.minimum(chunk.offsets[:-1], len(ids))
         out.append((ids, first, np.maximum(first, np.minimum(chunk.offsets[1:] - n + 1, len(ids)))))
     return out
@@ -65,25 +70,24 @@ class Model:
     bias: float
 
     def score(self, chunk: Chunk) -> np.ndarray:
-        total, n = np.zeros(len(chunk)), np.zeros(len(chunk), np.int64)
+        total = np.zeros(len(chunk))
         for ids, first, last in features(chunk):
             sums = np.zeros(len(ids) + 1)
             np.cumsum(self.weights[ids], out=sums[1:])
-            total += sums[last] - sums[first]
-            n += last - first
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -500, 500)))
+            total += (sums[last] - sums[first]) / np.maximum(last - first, 1) / KINDS
+        return 1 / (1 + np.exp(-np.clip(total + self.bias, -500, 500)))
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim: int = 16, epochs: int = 12,
           rate: float = 2.0, batch: int = 16, seed: int = 1) -> Model:
-    """Fit by stochastic gradient descent; a bag is (distinct bucket ids, how often each occurs)."""
-    weights = np.zeros(2 * BUCKETS)
+    """Fit by stochastic gradient descent; a bag is (distinct bucket ids, the share of each)."""
+    weights = np.zeros(KINDS * BUCKETS)
     if len(set(labels.tolist())) < 2:
         share = float(np.mean(labels)) if len(labels) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(weights, float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (2 * BUCKETS, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (KINDS * BUCKETS, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     steps, step = epochs * -(-len(bags) // batch), 0
     for _ in range(epochs):
@@ -95,7 +99,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim:
             if not own:
                 continue
             ids = np.concatenate([bags[j][0] for j in own])
-            share = np.concatenate([bags[j][1] / bags[j][1].sum() for j in own]).astype(np.float32)[:, None]
+            share = np.concatenate([bags[j][1] for j in own]).astype(np.float32)[:, None]
             first = np.cumsum([0, *(len(bags[j][0]) for j in own[:-1])])
             mean = np.add.reduceat(vectors[ids] * share, first, axis=0)
             logits = mean @ layer + bias
@@ -113,7 +117,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim:
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, max_per_class: int) -> DataFrame:
-    """Feature bags of the bounded sample: quality, ids, counts."""
+    """Feature bags of the bounded sample: quality, ids, shares."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
     usable = usable.where(~held_out("doc_id", 4, 2))
@@ -127,26 +131,25 @@ def training_bags(docs: DataFrame, labels: DataFrame, max_per_class: int) -> Dat
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 found = features(chunk)
-                ids, counts = [], []
+                ids, shares = [], []
                 for r in range(len(chunk)):
-                    own = np.concatenate([x[first[r]:last[r]] for x, first, last in found])
-                    distinct, n = np.unique(own, return_counts=True)
-                    ids.append(distinct.astype(np.int32))
-                    counts.append(n.astype(np.int32))
+                    own = [np.unique(x[first[r]:last[r]], return_counts=True) for x, first, last in found]
+                    ids.append(np.concatenate([distinct for distinct, _ in own]).astype(np.int32))
+                    shares.append(np.concatenate([n / max(1, n.sum()) / KINDS for _, n in own]).astype(np.float32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(chunk.first, len(chunk)),
                      batch.column("quality").slice(chunk.first, len(chunk)),
-                     pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                    ["doc_id", "quality", "ids", "counts"])
+                     pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
+                    ["doc_id", "quality", "ids", "shares"])
 
     return chosen.select("doc_id", "text", "quality").mapInArrow(
-        run, "doc_id long, quality int, ids array<int>, counts array<int>")
+        run, "doc_id long, quality int, ids array<int>, shares array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CLASS) -> Model:
     sample = training_bags(docs, labels, max_per_class).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    bags = [(i.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(float))
-            for i, n in zip(sample.column("ids"), sample.column("counts"))]
+    bags = [(i.values.to_numpy().astype(np.int64), n.values.to_numpy())
+            for i, n in zip(sample.column("ids"), sample.column("shares"))]
     return train(bags, sample.column("quality").to_numpy().astype(np.int64))
 
 
