@@ -41,3 +41,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_warc_derivatives, op5_url_filter,
                             op6_language_id, op10_quality_rules)}
+
+ORACLE_SQL: dict[str, str] = {}
