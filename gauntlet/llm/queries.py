@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gauntlet.llm import (language_id, quality_classifier, quality_rules, sentencepiece_codec, url_filter,
+from gauntlet.llm import (language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, url_filter,
                           warc_derivatives)
 from gauntlet.llm.common import read_table
 
@@ -34,12 +34,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_warc_derivatives, op5_url_filter,
-                            op6_language_id, op10_quality_rules)}
+                            op6_language_id, op9_ngram_join, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
