@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gauntlet.llm import (language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, url_filter,
-                          warc_derivatives)
+from gauntlet.llm import (decontamination, language_id, ngram_join, quality_classifier, quality_rules,
+                          sentencepiece_codec, substring_dedup, url_filter, warc_derivatives)
 from gauntlet.llm.common import read_table
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -34,6 +34,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_warc_derivatives, op5_url_filter,
-                            op6_language_id, op9_ngram_join, op10_quality_rules)}
+                            op6_language_id, op7_decontamination, op8_substring_dedup,
+                            op9_ngram_join, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
