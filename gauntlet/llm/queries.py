@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gauntlet.llm import (decontamination, language_id, ngram_join, quality_classifier, quality_rules,
-                          sentencepiece_codec, substring_dedup, url_filter, warc_derivatives)
+from gauntlet.llm import (decontamination, language_id, lm_scoring, ngram_join, quality_classifier,
+                          quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc_derivatives)
 from gauntlet.llm.common import read_table
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -26,6 +26,10 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derive_records(warc_derivatives.page_responses(read_table(spark, sf_dir, "pages")))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_ALLOW, URL_BLOCK)
 
@@ -51,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_warc_derivatives, op5_url_filter,
+    f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_warc_derivatives, op4_lm_scoring, op5_url_filter,
                             op6_language_id, op7_decontamination, op8_substring_dedup,
                             op9_ngram_join, op10_quality_rules)}
 
