@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gauntlet.llm import (decontamination, language_id, lm_scoring, ngram_join, quality_classifier,
                           quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc_derivatives)
 from gauntlet.llm.common import read_table
+from gauntlet.llm.oracle import ORACLE_SQL  # noqa: F401  (read with QUERIES)
 
 URL_ALLOW = ("com/", "www.example.com/en/")
 URL_BLOCK = ("example.com/en/", "net/es/", "net/fr/")
@@ -58,5 +59,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_warc_derivatives, op4_lm_scoring, op5_url_filter,
                             op6_language_id, op7_decontamination, op8_substring_dedup,
                             op9_ngram_join, op10_quality_rules)}
-
-ORACLE_SQL: dict[str, str] = {}
