@@ -79,7 +79,7 @@ class Model:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim: int = 16, epochs: int = 12,
-          rate: float = 2.0, batch: int = 16, seed: int = 1) -> Model:
+          least_steps: int = 1500, rate: float = 2.0, batch: int = 16, seed: int = 1) -> Model:
     """Fit by stochastic gradient descent; a bag is (distinct bucket ids, the share of each)."""
     weights = np.zeros(KINDS * BUCKETS)
     if len(set(labels.tolist())) < 2:
@@ -89,6 +89,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (KINDS * BUCKETS, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-least_steps * batch // len(bags)))      # a small sample is gone over more often
     steps, step = epochs * -(-len(bags) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
