@@ -3,8 +3,8 @@
 Arrow-batched pandas UDF around ``ast.parse``.  Returns a status string:
 ``ok``, ``syntax`` (SyntaxError and its subclasses) or ``other`` (anything
 else ``ast.parse`` raises, e.g. RecursionError / MemoryError on pathological
-input).  Callers put cheap filters before it: Catalyst does not move work
-across a Python UDF boundary.
+input).  Callers pass null for rows that need no parse: Spark evaluates a
+Python UDF for every row, whatever condition stands around the call.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -33,7 +32,3 @@ def _status(code) -> str | None:
 def python_parse_status(codes: pd.Series) -> pd.Series:
     return codes.map(_status)
 
-
-def is_valid_python(code) -> Column:
-    col = F.col(code) if isinstance(code, str) else code
-    return python_parse_status(col) == F.lit("ok")

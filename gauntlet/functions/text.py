@@ -22,6 +22,9 @@ SNIPPET_CHARS = 120
 FENCED_BLOCK = r"(?sU)```(?:python|py)?\s*\n(.*?)\n```"
 OPENING_FENCE = r"(?U)\A```(?:python|py)?\s*\n?"
 TRAILING_FENCE = r"(?s)\n?```.*\z"
+# characters for which Python's str.isspace holds
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 # line breaks recognised by Python's str.splitlines
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 # ---------------------------------------------------------------------------
@@ -39,12 +42,12 @@ def normalize_newlines(c) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Unicode-aware strip (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(c), r"(?U)\A\s+|\s+\z", "")
+    """Strip all white space that Python knows (``trim`` only removes spaces), in linear time."""
+    return F.btrim(_c(c), F.lit(WHITE_SPACE))
 
 
 def urstrip_newlines(c) -> Column:
-    return F.regexp_replace(_c(c), r"\n+\z", "")
+    return F.rtrim(_c(c), F.lit("\n"))
 
 
 def last_fenced_block(c) -> Column:
@@ -77,7 +80,7 @@ def failed_stub(message) -> Column:
 
 
 def is_failed_stub(predict) -> Column:
-    return F.startswith(ustrip(F.coalesce(_c(predict), F.lit(""))), F.lit(FAILED_STUB_PREFIX))
+    return F.startswith(F.ltrim(F.coalesce(_c(predict), F.lit("")), F.lit(WHITE_SPACE)), F.lit(FAILED_STUB_PREFIX))
 
 
 def reply_preview(c) -> Column:

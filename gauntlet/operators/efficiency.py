@@ -23,6 +23,7 @@ def stdout_lines(df: DataFrame, keys: list[str], stdout: str = "stdout") -> Data
 # ---- fixed values (must equal the evaluated pipeline's) -------------------
 SPEEDUP_LINE = r"^(\S+):\s+([0-9]*\.?[0-9]+)\s*$"
 REPORTED_MEAN_PREFIX = "speed up:"
+NUMBER = r"(?i)\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?\z|\A[+-]?(?:inf|infinity|nan)\z"
 NO_SURVIVORS_STATUS = "skipped (no surviving operators)"
 ALL_SKIPPED_STATUS = "skipped: all perf scripts failed or timed out (%d/%d skipped)"
 # ---------------------------------------------------------------------------
@@ -41,8 +42,9 @@ def parse_speedups(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def reported_mean(lines: DataFrame, keys, order) -> DataFrame:
-    """Last parseable ``speed up:`` value per group."""
-    val = ustrip(F.expr("substr(line, instr(line, ':') + 1)")).try_cast("double")
+    """Last parseable ``speed up:`` value per group; a number with a type suffix is not one."""
+    text = ustrip(F.expr("substr(line, instr(line, ':') + 1)"))
+    val = F.when(F.rlike(text, F.lit(NUMBER)), text.try_cast("double"))
     good = lines.where(F.startswith(F.col("line"), F.lit(REPORTED_MEAN_PREFIX))).withColumn("_v", val).where(
         F.col("_v").isNotNull())
     # lines sharing a number keep the text order, as in the assembled stdout

@@ -2,8 +2,8 @@
 
 Joins run on narrow keys (``run_id``, ``kernel_id``); wide text (stderr,
 code) is joined back only for the rows that need it.  The device dimension
-is broadcast only after a bounded row-count check (``small_dimension``);
-above the bound it is a normal join that AQE can re-plan.
+is an ordinary join: Spark broadcasts it when its size is below the
+session's threshold, and splits skew otherwise.
 """
 
 from __future__ import annotations
@@ -18,21 +18,6 @@ from gauntlet.operators.progress import last_write_wins
 KEYS = ["run_id", "kernel_id"]
 
 
-SMALL_DIMENSION_ROWS = 100_000
-
-
-def small_dimension(df: DataFrame, max_rows: int = SMALL_DIMENSION_ROWS) -> DataFrame:
-    """Broadcast a dimension only behind a size check; above the bound it joins normally.
-
-    The probe counts at most ``max_rows + 1`` rows, so the check is bounded too.
-    A low-cardinality join key (a handful of runs) would otherwise put each
-    run's rows in one task of a sort-merge join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def with_failure_type(df: DataFrame, stderr: str = "stderr", out: str = "failure_type") -> DataFrame:
     """B16 + B17 with ``lower(stderr)`` projected once and read by the whole cascade."""
     return (df.withColumn("_s", F.lower(F.coalesce(F.col(stderr), F.lit(""))))
@@ -41,9 +26,8 @@ def with_failure_type(df: DataFrame, stderr: str = "stderr", out: str = "failure
 
 
 def survivors(items: DataFrame, passed) -> DataFrame:
-    """Items whose module survived a phase (semi join on the survivor keys)."""
-    keys = items.where(passed).select(*KEYS)
-    return items.join(keys, KEYS, "left_semi")
+    """Items whose module survived a phase; ``passed`` is evaluated on the item's own row."""
+    return items.where(passed)
 
 
 def phase_failures(candidates: DataFrame, survived: DataFrame) -> DataFrame:
@@ -124,7 +108,7 @@ def failure_dataset(items, probes, devices, passed1, passed2) -> DataFrame:
     recs = staged.select(*KEYS, "phase_failed", ftype.alias("failure_type"), excerpt.alias("stderr_excerpt"),
                          code.alias("kernel_code"), rc.alias("returncode"))
     return (recs.withColumn("is_hardware_failure", is_hardware_failure(F.col("failure_type")))
-            .join(small_dimension(devices), "run_id", "left")
+            .join(devices, "run_id", "left")
             .select("run_id", "kernel_id", "gpu", "compute_cap", "phase_failed", "failure_type",
                     "is_hardware_failure", "stderr_excerpt", "kernel_code", "returncode"))
 

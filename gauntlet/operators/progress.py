@@ -24,8 +24,7 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], flag: str
     ``_running`` (running count of ``flag``) and ``_total`` (group sum of ``weight``)."""
     spark = df.sparkSession
     checkpoint_root(spark)  # the session's shared folder; a temporary one only when unset
-    # ranges at least as many as the input's partitions, so one range stays about one split in size
-    n_ranges = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     flag_col = F.col(flag).cast("int") if flag else F.lit(0)
     weight_col = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     ranged = (df.withColumn("_flag", F.coalesce(flag_col, F.lit(0))).withColumn("_w", weight_col)
@@ -75,8 +74,8 @@ def last_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.join(top, [*keys, seq], "left_semi")
 
 
-def retry_outcome(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """Replay the attempt ledger per item (attempts 0..MAX_ATTEMPTS-1).
+def retry_outcome(attempts: DataFrame, keys: list[str], max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Replay the attempt ledger per item (attempts 0..max_attempts-1; later ones are counted as ignored).
 
     Per attempt: ``ok`` ends with success; a daily-quota rate limit ends with
     the quota message; other rate limits wait for the reset token (else
@@ -84,7 +83,9 @@ def retry_outcome(attempts: DataFrame, keys: list[str]) -> DataFrame:
     with the original error.  Without a terminal attempt the item fails after
     all attempts, and the last wait is still spent.
     """
-    a = attempts.where(F.col("attempt") < MAX_ATTEMPTS)
+    late = (F.col("attempt") >= max_attempts).cast("int")
+    a = attempts.withColumn("attempts_ignored", F.sum(late).over(Window.partitionBy(*keys)).cast("int")).where(
+        F.col("attempt") < max_attempts)
     kind, msg, status = F.col("kind"), F.coalesce(F.col("message"), F.lit("")), F.col("status_code")
     quota = (kind == "rate_limit") & msg.contains("free-models-per-day")
     transient = F.coalesce(status.isin(503, 529), F.lit(False))
@@ -111,12 +112,12 @@ def retry_outcome(attempts: DataFrame, keys: list[str]) -> DataFrame:
     success = F.col("kind") == "ok"
     message = (F.when(success, F.lit(None).cast("string"))
                .when(F.col("_terminal"), F.col("_msg"))
-               .otherwise(F.concat(F.lit(f"generation failed after {MAX_ATTEMPTS} retries: "), F.col("_msg"))))
+               .otherwise(F.concat(F.lit(f"generation failed after {max_attempts} retries: "), F.col("_msg"))))
     status_for_reason = F.when(F.col("_terminal"), F.col("_status"))
     return last.select(
         *keys,
         F.when(success, F.lit("success")).otherwise(F.lit("failed")).alias("outcome"),
-        "attempts_used",
+        "attempts_used", "attempts_ignored",
         round_to("total_wait_s", 3).alias("total_wait_s"),
         message.alias("final_message"),
         F.when(success, F.lit(None).cast("string"))

@@ -49,7 +49,9 @@ def upper_middle(n: Column) -> Column:
 
 def latency_percentiles(df: DataFrame, keys: list[str], value: str, digits: int = 3) -> DataFrame:
     """Nearest-rank p50 / p95 per group, rounded; null when a group has no values."""
-    stats = order_statistics(df, keys, value, {"p50": nearest_rank(50), "p95": nearest_rank(95)})
+    # rounding keeps the order, and makes the distinct values to walk far fewer
+    rounded = df.withColumn(value, round_to(value, digits))
+    stats = order_statistics(rounded, keys, value, {"p50": nearest_rank(50), "p95": nearest_rank(95)})
     groups = df.select(*keys).distinct()
     return (groups.join(stats, keys, "left")
             .select(*keys, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
@@ -69,14 +71,15 @@ def ratio_stats(df: DataFrame, keys: list[str], value: str, groups: DataFrame |
     (log of 0 is undefined).
     """
     v = F.col(value)
-    # one partial-aggregating pass; median interpolates the two middle values
     out = (df.where(v.isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_kernels_measured"),
         F.exp(F.avg(F.when(v > 0, F.ln(v)))).alias("_geo"),
-        F.median(v).alias("_median"),
         F.min(v).alias("_min"), F.max(v).alias("_max"),
         F.count_if(v > 1.0).alias("_faster"),
         F.count_if(v <= 0).alias("n_nonpositive")))
+    # the median is the mean of the two middle ranks, so that no task holds a group's distinct values
+    middle = order_statistics(df, keys, value, {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.floor(n / 2)})
+    out = out.join(middle.select(*keys, ((F.col("_lower") + F.col("_upper")) / 2).alias("_median")), keys)
     if groups is not None:
         out = groups.join(out, keys, "left")
     n = F.coalesce(F.col("n_kernels_measured"), F.lit(0))

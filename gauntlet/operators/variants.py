@@ -90,21 +90,25 @@ def expand_registry(corpus: DataFrame, registry=DEFAULT_REGISTRY, source: str =
 def with_parse_gate(expanded: DataFrame) -> DataFrame:
     """Skip reason per (kernel, mutation); the parser runs only on applicable variants."""
     applicable = F.col("error").isNull() & F.col("variant").isNotNull()
-    status = F.when(applicable, python_parse_status(F.col("variant")))
+    # a null argument is not parsed; a condition around the call would not keep rows from the parser
+    status = python_parse_status(F.when(applicable, F.col("variant")))
     reason = (F.when(F.col("error").isNotNull(), F.concat(F.lit(SKIP_MUTATOR_ERROR), F.col("error")))
               .when(F.col("variant").isNull(), F.lit(SKIP_NOT_APPLICABLE))
               .when(F.col("_parse") != "ok", F.lit(SKIP_PARSE_FAILED)))
     return expanded.withColumn("_parse", status).withColumn("skip_reason", reason).drop("_parse")
 
 
-def attempt_rows(gated: DataFrame, outcomes: DataFrame, timings: DataFrame) -> DataFrame:
+def attempt_rows(gated: DataFrame, outcomes: DataFrame, timings: DataFrame, devices: list[tuple[str, str]]) -> DataFrame:
     """Every attempted (kernel, mutation, device) with the J3 fields and an ``applicable`` flag.
 
-    The device dimension comes from the outcome table (one outcome per kernel,
-    mutation and device), so the summary and the dataset share this single
-    pass over the gated variants instead of recomputing rewrites and parses.
+    ``devices``: the (gpu, compute_cap) pairs, exploded row by row.  A variant
+    that does not apply is never run and has no outcome, yet counts as
+    attempted; an applicable one without an outcome reads as (-1, '').
     """
-    per_dev = gated.join(outcomes, ["kernel_id", "mutation_type"])
+    pairs = F.array(*[F.struct(F.lit(gpu).alias("gpu"), F.lit(cap).alias("compute_cap")) for gpu, cap in devices])
+    per_dev = gated.withColumn("_d", F.explode(pairs)).select("*", "_d.*").drop("_d")
+    per_dev = per_dev.join(outcomes, ["kernel_id", "mutation_type", "gpu", "compute_cap"], "left").withColumn(
+        "returncode", F.coalesce("returncode", F.lit(-1)))
     predicted, is_perf = predict_by_device(F.col("mutation_type"), F.col("predicted"), F.col("is_perf"),
                                            F.col("compute_cap"))
     per_dev = per_dev.withColumn("predicted", predicted).withColumn("is_perf", is_perf)

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from gauntlet.functions import classify as C
 from gauntlet.functions import rewrite as R
 from gauntlet.functions import text as X
-from gauntlet.functions.pyparse import python_parse_status
 from gauntlet.operators import efficiency as EF
 from gauntlet.operators import funnel as FN
 from gauntlet.operators import progress as PG
@@ -23,6 +22,7 @@ from gauntlet.operators import variants as V
 from gauntlet.plans import jobs as J
 from gauntlet.session import scratch_dir
 from gauntlet.sources import files as IO
+from gauntlet.sources.fixtures import DEVICES
 from gauntlet.sources.tables import fixture, table
 from gauntlet.functions.num import round_to
 
@@ -293,11 +293,6 @@ def q_extract_code(spark, sf):
     return _replies(spark, sf).select("idx", X.extract_code("reply").alias("code"))
 
 
-def q_valid_python(spark, sf):
-    r = _replies(spark, sf).select("idx", X.extract_code("reply").alias("code"))
-    return r.select("idx", python_parse_status("code").alias("status"))
-
-
 def q_stub_filter(spark, sf):
     k = fx(spark, sf, "kernels")
     return k.select("run_id", "kernel_id", X.is_failed_stub("predict").alias("is_stub"))
@@ -443,7 +438,11 @@ def _gated(spark, sf):
 
 
 def _attempts(spark, sf):
-    return V.attempt_rows(_gated(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))
+    return V.attempt_rows(_gated(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"), DEVICES)
+
+
+def _mutation_report(spark, sf):
+    return J.mutation_report(_corpus(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"), DEVICES)
 
 
 def _mutation_rows(spark, sf):
@@ -479,7 +478,7 @@ def q_reported_mean_speedup(spark, sf):
 
 def _mutation_totals(spark, sf):
     """D13 per device, from the mutation job's totals."""
-    return J.mutation_report(_corpus(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))["totals"]
+    return _mutation_report(spark, sf)["totals"]
 
 
 def q_summary_project(spark, sf):
@@ -521,12 +520,11 @@ def q_probe_lookup_default(spark, sf):
 
 def q_zip_by_index(spark, sf):
     g = _gold(spark, sf)
-    n = g.count()  # list lengths are scalars; the lists themselves stay distributed
     k, _, t = X.gold_split("source")
     codes = g.select(F.col("p_partkey").alias("idx"), k.alias("code"))
-    tests = g.where(F.col("p_partkey") < int(n * 0.9)).select(F.col("p_partkey").alias("idx"), t.alias("test"))
-    names = g.where(F.col("p_partkey") < int(n * 0.8)).select(F.col("p_partkey").alias("idx"),
-                                                              F.col("kernel_id").alias("name"))
+    # the other lists lack some indices: those have no partner
+    tests = g.where(F.col("p_partkey") % 10 != 9).select(F.col("p_partkey").alias("idx"), t.alias("test"))
+    names = g.where(F.col("p_partkey") % 5 != 4).select(F.col("p_partkey").alias("idx"), F.col("kernel_id").alias("name"))
     return codes.join(tests, "idx").join(names, "idx").select("idx", "name", "code", "test")
 
 
@@ -544,20 +542,23 @@ def q_baseline_join(spark, sf):
 def q_device_join(spark, sf):
     items = _items(spark, sf)
     recs = FN.phase1_records(items, _probes(spark, sf), _passed1())
-    return recs.join(FN.small_dimension(fx(spark, sf, "devices")), "run_id", "left").select(*FN.KEYS, "gpu", "compute_cap")
+    return recs.join(fx(spark, sf, "devices"), "run_id", "left").select(*FN.KEYS, "gpu", "compute_cap")
 
 
-def _generation_per_run(spark, sf):
-    r = _replies(spark, sf).withColumn("run_id", F.concat(F.lit("run_"), F.substring_index("model", "_", -1)))
-    tele = ST.generation_telemetry(r, ["run_id"])
-    pct = ST.latency_percentiles(r, ["run_id"], "latency_s").drop("n")
-    return tele.join(pct, "run_id")
+def _run_replies(spark, sf):
+    return _replies(spark, sf).withColumn("run_id", F.concat(F.lit("run_"), F.substring_index("model", "_", -1)))
 
 
 def q_sidecar_join(spark, sf):
-    runs = _items(spark, sf).select("run_id").distinct()
-    gen = _generation_per_run(spark, sf)
-    return runs.join(gen, "run_id", "left").select("run_id", "n_items", "latency_mean", "total_completion")
+    """Generation documents written as sidecar files, read back and joined to the runs."""
+    root = scratch_dir(spark, "generation-sidecars")
+    docs = J.generation_document(J.generation_report(_run_replies(spark, sf), ["run_id"]), ["run_id"])
+    IO.write_named_files(docs.select(F.concat("run_id", F.lit(".gen_meta.json")).alias("name"), F.col("document").alias("text")),
+                         root, "name", "text")
+    read = IO.read_sidecars(spark, root, J.GENERATION_SCHEMA).select("run_id", "generation.*")
+    return _items(spark, sf).select("run_id").distinct().join(read, "run_id", "left").select(
+        "run_id", "n_items", F.col("latency_s.mean").alias("latency_mean"),
+        F.col("tokens.total_completion").alias("total_completion"), F.col("tokens.total_prompt").alias("total_prompt"))
 
 
 def q_order_restore(spark, sf):
@@ -645,7 +646,7 @@ def q_upper_median_runtime(spark, sf):
 
 
 def q_mutation_summary(spark, sf):
-    return J.mutation_report(_corpus(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))["summary"]
+    return _mutation_report(spark, sf)["summary"]
 
 
 def _sample_reasons(spark, sf, k=3):
@@ -684,7 +685,8 @@ def q_metric_report(spark, sf):
     metrics = F.array(*[F.lit(m) for m in METRICS_REPORTED])
     long = docs.select("run_id", "document", F.explode(metrics).alias("metric"))
     value = F.expr("get_json_object(document, concat('$.', metric))")
-    return long.select("run_id", "metric", _try_cast(value, "double").alias("value"))
+    return long.select("run_id", "metric", _try_cast(value, "double").alias("value"),
+                       F.when(F.startswith(value, F.lit("{")), value).alias("detail"))
 
 
 # =========================== E / F / G ===========================
@@ -755,8 +757,7 @@ def _evaluation_summary(spark, sf, with_generation: bool):
     lines = fx(spark, sf, "speedup_lines").withColumnRenamed("run_id", "run_order").join(orders, "run_order")
     generation = None
     if with_generation:
-        replies = _replies(spark, sf).withColumn("run_id", F.concat(F.lit("run_"), F.substring_index("model", "_", -1)))
-        generation = J.generation_sidecar(replies, ["run_id"])
+        generation = J.generation_sidecar(_run_replies(spark, sf), ["run_id"])
     return J.evaluation_report(_items(spark, sf), _probes(spark, sf), fx(spark, sf, "devices"), _passed1(),
                                _passed2(), lines, ["run_order", "line_no"], generation)
 
@@ -774,7 +775,7 @@ def _corpus(spark, sf):
 
 
 def q_job_mutation_report(spark, sf):
-    return J.mutation_report(_corpus(spark, sf), fx(spark, sf, "mutation_outcomes"), fx(spark, sf, "timings"))["rows"]
+    return _mutation_report(spark, sf)["rows"]
 
 
 # =========================== H: streaming ===========================
@@ -784,6 +785,11 @@ def q_stream_progress(spark, sf):
     return windowed_progress(spark, sf)
 
 
+def q_stream_attempts(spark, sf):
+    from gauntlet.streaming.classify import stream_attempt_failures
+    return stream_attempt_failures(spark, sf)
+
+
 def q_stream_classify(spark, sf):
     from gauntlet.streaming.classify import stream_failures
     return stream_failures(spark, sf)

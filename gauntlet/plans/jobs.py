@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gauntlet.functions import classify as C
 from gauntlet.functions import text as X
@@ -31,16 +32,18 @@ SYNTAX_MESSAGE_PREFIX = "SyntaxError after fence-strip — raw preview: "
 def generation_items(replies: DataFrame) -> DataFrame:
     """J1 per item: the prediction (code, or a failure stub) and the item's meta.
 
-    ``replies``: reply, latency_s, completion_tokens, finish_reason (+ any key
-    columns, kept).  A blank reply fails as an empty response with no
+    ``replies``: reply, latency_s, completion_tokens, finish_reason, optionally
+    prompt_tokens (+ any key columns, kept).  A blank reply fails as an empty response with no
     telemetry; a reply whose extracted code does not parse fails as a syntax
     error but keeps its telemetry.  The parser (the only Python) runs on
     non-blank replies only.
     """
     blank = X.ustrip(F.coalesce(F.col("reply"), F.lit(""))) == ""
     code = X.extract_code("reply")
-    staged = replies.withColumn("_code", code).withColumn(
-        "_status", F.when(~blank, python_parse_status(F.col("_code"))))
+    # a null argument is not parsed; a condition around the call would not keep rows from the parser
+    staged = replies.withColumn("_code", code).withColumn("_status", python_parse_status(F.when(~blank, F.col("_code"))))
+    if "prompt_tokens" not in staged.columns:
+        staged = staged.withColumn("prompt_tokens", F.lit(None).cast("bigint"))
     message = (F.when(blank, F.lit(EMPTY_REPLY_MESSAGE))
                .when(F.col("_status") == "syntax",
                      F.concat(F.lit(SYNTAX_MESSAGE_PREFIX + "'"), X.reply_preview("reply"), F.lit("'")))
@@ -51,6 +54,7 @@ def generation_items(replies: DataFrame) -> DataFrame:
                         .otherwise(F.col("_code")))
             .withColumn("latency_s", F.when(~blank, round_to("latency_s", 3)))
             .withColumn("completion_tokens", F.when(~blank, F.col("completion_tokens")))
+            .withColumn("prompt_tokens", F.when(~blank, F.col("prompt_tokens")))
             .withColumn("truncated", ~blank & C.truncated_flag("finish_reason"))
             .withColumn("finish_reason", F.when(~blank, F.col("finish_reason")))
             .drop("_code", "_status", "_message"))
@@ -63,17 +67,18 @@ def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
     # four aggregations read the items: materialise the narrow columns once (reliable checkpoint in the
     # shared folder) instead of re-running extraction and the parser for each of them
     staged = (generation_items(replies)
-              .select(*keys, "latency_s", "completion_tokens", "finish_reason", "fail_reason")
+              .select(*keys, "latency_s", "completion_tokens", "prompt_tokens", "finish_reason", "fail_reason")
               .checkpoint(eager=True))
     tele = ST.generation_telemetry(staged, keys)
     pct = ST.latency_percentiles(staged, keys, "latency_s").drop("n")
     hist = (ST.histogram_text(staged.where(F.col("fail_reason").isNotNull()), keys, "fail_reason", "by_reason")
             .select(*keys, F.col("by_reason_text").alias("failures_by_reason")))
-    tot = staged.groupBy(*keys).agg(F.count_if(F.col("fail_reason").isNotNull()).alias("failures_total"))
+    tot = staged.groupBy(*keys).agg(F.count_if(F.col("fail_reason").isNotNull()).alias("failures_total"),
+                                    F.coalesce(F.sum("prompt_tokens"), F.lit(0)).cast("bigint").alias("total_prompt"))
     return (tele.join(pct, keys).join(tot, keys).join(hist, keys, "left")
             .select(*keys, "n_items", "failures_total", "failures_by_reason", F.col("p50").alias("latency_p50"),
-                    F.col("p95").alias("latency_p95"), "latency_mean", "total_completion", "mean_completion",
-                    "truncated_count"))
+                    F.col("p95").alias("latency_p95"), "latency_mean", "total_prompt", "total_completion",
+                    "mean_completion", "truncated_count"))
 
 
 def _text_map(col: str) -> Column:
@@ -88,25 +93,35 @@ def _text_map(col: str) -> Column:
 def generation_document(report: DataFrame, keys=("model",)) -> DataFrame:
     """A10: the nested generation document per group from ``generation_report`` (JSON, nulls kept)."""
     keys = list(keys)
-    doc = F.struct(
-        *keys,
+    generation = F.struct(
+        "n_items",
         F.struct(F.col("latency_p50").alias("p50"), F.col("latency_p95").alias("p95"),
                  F.col("latency_mean").alias("mean")).alias("latency_s"),
         F.struct(F.col("failures_total").alias("total"), _text_map("failures_by_reason").alias("by_reason"))
         .alias("failures"),
-        F.struct("total_completion", "mean_completion").alias("tokens"),
+        F.struct("total_prompt", "total_completion", "mean_completion").alias("tokens"),
         "truncated_count")
+    doc = F.struct(*keys, generation.alias("generation"))
     return report.select(*keys, F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
 
 
+#: What a reader of the generation documents gets (per run).
+_long, _double = T.LongType(), T.DoubleType()
+GENERATION_SCHEMA = T.StructType().add("run_id", T.StringType()).add(
+    "generation", T.StructType().add("n_items", _long)
+    .add("latency_s", T.StructType().add("p50", _double).add("p95", _double).add("mean", _double))
+    .add("failures", T.StructType().add("total", _long).add("by_reason", T.MapType(T.StringType(), _long)))
+    .add("tokens", T.StructType().add("total_prompt", _long).add("total_completion", _long).add("mean_completion", _double))
+    .add("truncated_count", _long))
+
+
 def generation_sidecar(replies: DataFrame, keys=("run_id",)) -> DataFrame:
-    """The ``generation`` block J2 reads: latency p50 / p95 and completion-token total per group."""
+    """The ``generation`` block J2 reads, from J1's items: blank replies have no telemetry."""
     keys = list(keys)
-    tele = ST.generation_telemetry(replies, keys)
-    pct = ST.latency_percentiles(replies, keys, "latency_s").drop("n")
-    return tele.join(pct, keys).select(*keys, F.col("p50").alias("gen_latency_p50"),
-                                       F.col("p95").alias("gen_latency_p95"),
-                                       F.col("total_completion").alias("gen_total_completion"))
+    return generation_report(replies, keys).select(
+        *keys, F.col("latency_p50").alias("gen_latency_p50"), F.col("latency_p95").alias("gen_latency_p95"),
+        F.col("total_completion").alias("gen_total_completion"),
+        F.coalesce("failures_by_reason", F.lit("")).alias("gen_failures_by_reason"))
 
 
 # ------------------------------------------------------------------ J2 / J4
@@ -176,7 +191,8 @@ def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, p
     else:
         out = (out.withColumn("gen_latency_p50", F.lit(None).cast("double"))
                .withColumn("gen_latency_p95", F.lit(None).cast("double"))
-               .withColumn("gen_total_completion", F.lit(None).cast("bigint")))
+               .withColumn("gen_total_completion", F.lit(None).cast("bigint"))
+               .withColumn("gen_failures_by_reason", F.lit(None).cast("string")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     total, hw = F.coalesce(F.col("total_failures"), F.lit(0)), F.coalesce(F.col("hardware_failures"), F.lit(0))
     return out.select(
@@ -186,7 +202,7 @@ def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, p
         "max_speedup", "pct_faster_than_pytorch", zero("total_failures"), zero("hardware_failures"),
         (total - hw).cast("bigint").alias("code_failures"),
         F.coalesce(F.col("failures_by_type"), F.lit("")).alias("failures_by_type"),
-        "gen_latency_p50", "gen_latency_p95", "gen_total_completion")
+        "gen_latency_p50", "gen_latency_p95", "gen_total_completion", "gen_failures_by_reason")
 
 
 def summary_document(report: DataFrame) -> DataFrame:
@@ -199,7 +215,8 @@ def summary_document(report: DataFrame) -> DataFrame:
     has_gen = F.col("gen_latency_p50").isNotNull() | F.col("gen_total_completion").isNotNull()
     generation = F.when(has_gen, F.struct(
         F.struct(F.col("gen_latency_p50").alias("p50"), F.col("gen_latency_p95").alias("p95")).alias("latency_s"),
-        F.struct(F.col("gen_total_completion").alias("total_completion")).alias("tokens")))
+        F.struct(F.col("gen_total_completion").alias("total_completion")).alias("tokens"),
+        F.struct(_text_map("gen_failures_by_reason").alias("by_reason")).alias("failures")))
     doc = F.struct(
         "run_id", "total_predictions", "generation_failures", "usable_predictions",
         F.struct(F.col("phase1_passed").alias("passed"), F.col("phase1_rate").alias("rate")).alias("phase1_call_acc"),
@@ -215,19 +232,21 @@ def summary_document(report: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ J3
 
-def mutation_report(corpus: DataFrame, outcomes: DataFrame, timings: DataFrame,
+def mutation_report(corpus: DataFrame, outcomes: DataFrame, timings: DataFrame, devices: list[tuple[str, str]],
                     registry=V.DEFAULT_REGISTRY, checkpoint: bool = False) -> dict[str, DataFrame]:
     """The mutation dataset, its per-device summary and totals, the skip rows, and the summary document.
 
     ``corpus``: kernel_id, path, source; ``outcomes``: kernel_id,
-    mutation_type, gpu, compute_cap, returncode, stdout, stderr (one row per
-    kernel, mutation and device); ``timings``: kernel_id, side, sample_ms.
+    mutation_type, gpu, compute_cap, returncode, stdout, stderr (at most one row
+    per kernel, mutation and device that was run); ``timings``: kernel_id, side,
+    sample_ms; ``devices``: the (gpu, compute_cap) pairs of the run.  Every
+    kernel and mutation counts as attempted on every device.
     Outputs are lazy and each recomputes the rewrites and the parser; with
     ``checkpoint=True`` the attempts are materialised once for callers that
     use several outputs.
     """
     gated = V.with_parse_gate(V.expand_registry(corpus, registry))
-    attempts = V.attempt_rows(gated, outcomes, timings)
+    attempts = V.attempt_rows(gated, outcomes, timings, devices)
     if checkpoint:
         # several outputs read the attempts: write them once to the shared checkpoint folder
         checkpoint_root(corpus.sparkSession)

@@ -52,7 +52,7 @@ def read_task_arrays(spark: SparkSession, root: str, datasets=VALID_DATASETS) ->
         raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {bad}")
     files = (spark.read.text(root, wholetext=True)
              .where(F.col("dataset").isin(list(datasets)))
-             .withColumn("_items", F.from_json("value", T.ArrayType(TASK_ITEM))))
+             .withColumn("_items", F.from_json("value", T.ArrayType(TASK_ITEM), {"mode": "FAILFAST"})))
     # per-file sizes (one row per file) give each file's starting index
     sizes = files.select("dataset", "shard", F.size("_items").alias("_n"))
     w = Window.partitionBy("dataset").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +71,8 @@ def read_task_file(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """
     if dataset not in VALID_DATASETS:
         raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {dataset!r}")
-    arr = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(TASK_ITEM)).alias("_items"))
+    arr = spark.read.text(path, wholetext=True).select(
+        F.from_json("value", T.ArrayType(TASK_ITEM), {"mode": "FAILFAST"}).alias("_items"))
     return (arr.select(F.posexplode("_items").alias("idx", "_it"))
             .select(F.lit(dataset).alias("dataset"), F.col("idx").cast("bigint").alias("idx"),
                     F.col("_it.instruction").alias("instruction"), F.col("_it.input").alias("input")))
@@ -125,13 +126,20 @@ def write_named_files(df: DataFrame, root: str, name_col: str, text_col: str) ->
     return int(out or 0)
 
 
+def _input_path():
+    """The file a row comes from, as it is named (Spark gives it URL-encoded)."""
+    return F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+
+
 def read_corpus(spark: SparkSession, root: str, recursive: bool = False, glob: str = "*.py") -> DataFrame:
     """A3: every matching file as (path, kernel_id, source), whole text per file."""
     reader = spark.read.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.text(root, wholetext=True)
-    path = F.input_file_name()
+    if df.isEmpty():
+        raise FileNotFoundError(f"no {glob} files under {root}")
+    path = _input_path()
     return df.select(path.alias("path"), F.regexp_extract(path, r"([^/]*)\z", 1).alias("kernel_id"),
                      F.col("value").alias("source"))
 
@@ -139,9 +147,10 @@ def read_corpus(spark: SparkSession, root: str, recursive: bool = False, glob: s
 def read_corpus_with_fallback(spark: SparkSession, primary: str, fallback: str, glob: str = "*.py") -> DataFrame:
     """A4: recursive scan of ``primary``; if it is missing or holds no matching file, scan ``fallback``."""
     if has_files(spark, primary):
-        first = read_corpus(spark, primary, recursive=True, glob=glob)
-        if not first.isEmpty():  # a one-row probe, not a collect
-            return first
+        try:
+            return read_corpus(spark, primary, recursive=True, glob=glob)
+        except FileNotFoundError:
+            pass
     if not has_files(spark, fallback):
         raise FileNotFoundError(f"no {glob} files under {primary} or {fallback}")
     return read_corpus(spark, fallback, recursive=True, glob=glob)
@@ -166,6 +175,6 @@ def read_sidecars(spark: SparkSession, root: str, schema: T.StructType) -> DataF
     df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("multiLine", "true")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(root))
     ok = F.col("_corrupt_record").isNull()
-    return df.select(F.input_file_name().alias("path"),
+    return df.select(_input_path().alias("path"),
                      *[F.when(ok, F.col(f.name)).alias(f.name) for f in schema.fields],
                      "_corrupt_record")

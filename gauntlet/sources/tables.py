@@ -17,19 +17,8 @@ BASE_TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; a scan with fewer splits than task slots is spread by its key.
-
-    Large inputs already arrive in many splits, so this only triggers for
-    small single-file tables, where one task would otherwise carry all the
-    (text-expanding) work.  Hashing on the leading key column is deterministic
-    without the local sort a round-robin exchange needs, and Catalyst still
-    prunes the other columns below the exchange.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots, df.columns[0])
-    return df
+    """A base table, read whole and as it is split."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> None:

@@ -20,7 +20,8 @@ from gauntlet.sources.tables import fixture
 
 def classify_stream(probes: DataFrame) -> DataFrame:
     s = F.lower(F.coalesce(F.col("stderr"), F.lit("")))
-    typed = probes.where(F.col("returncode") != 0).withColumn("failure_type", kernel_failure_type(s))
+    # a probe without a return code did not end well
+    typed = probes.where(F.coalesce(F.col("returncode"), F.lit(-1)) != 0).withColumn("failure_type", kernel_failure_type(s))
     return typed.select("run_id", "kernel_id", "seq", "failure_type",
                         is_hardware_failure(F.col("failure_type")).alias("is_hardware_failure"),
                         stderr_excerpt("stderr").alias("stderr_excerpt"))
@@ -49,7 +50,7 @@ def stateless_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str,
 def run_stateless(spark: SparkSession, table: DataFrame, transform, read_schema: str, label: str) -> DataFrame:
     """Land ``table`` as parquet files, stream them through ``transform``, read the JSONL sink back."""
     landing = scratch_dir(spark, f"{label}-in")
-    table.repartition(4).write.mode("overwrite").parquet(landing)
+    table.write.mode("overwrite").parquet(landing)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(landing)
     sink, ckpt = scratch_dir(spark, f"{label}-out"), scratch_dir(spark, f"{label}-ckpt")
     stateless_to_sink(stream, transform, sink, ckpt).awaitTermination()

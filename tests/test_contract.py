@@ -9,8 +9,8 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
-from gauntlet.plans.catalog import PROMPT_HEADER
-from gauntlet.plans.oracle import HEADER_CHARS
+from gauntlet.plans.catalog import PROMPT_HEADER, QUERIES
+from gauntlet.plans.oracle import HEADER_CHARS, ORACLE_SQL
 from gauntlet.session import scratch_dir
 from gauntlet.sources import files as IO
 from gauntlet.sources.tables import BASE_TABLES
@@ -21,7 +21,7 @@ def test_entry_and_keys(spark):
     assert df.count() == 4
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"valid_python", "job_generation_report"}
+    assert set(QUERIES) == set(ORACLE_SQL) and set(QUERIES) <= set(q)
     assert HEADER_CHARS == len(PROMPT_HEADER)
 
 
@@ -61,7 +61,8 @@ def _canon(v):
 
 SAMPLE = ["extract_code", "classify_kernel_failure", "failure_dataset", "phase_funnel", "retry_outcome",
           "latency_percentiles", "speedup_stats", "job_mutation_report", "progress_running", "src_tasks",
-          "job_evaluation_report", "force_block_value", "stream_progress", "stream_classify"]
+          "job_evaluation_report", "force_block_value", "stream_progress", "stream_classify", "job_generation_report",
+          "metric_report", "sidecar_join", "mutation_totals", "low_applicability", "instrument_source", "zip_by_index"]
 
 
 @pytest.fixture(scope="module")
@@ -85,22 +86,6 @@ def test_spark_matches_oracle(spark, duck, key):
     assert s == d, json.dumps([str(list((s - d).elements())[:1]), str(list((d - s).elements())[:1])])[:2000]
 
 
-ORIGINAL_OUTCOMES = """SELECT 'g' || p_partkey || '.py' AS kernel_id, m.mutation_type, d.gpu, d.compute_cap,
-  CASE WHEN (p_partkey + m.pos) % 3 = 0 THEN 0 ELSE 1 END AS returncode,
-  CASE WHEN (p_partkey + m.pos) % 3 = 0 THEN 'MUT_RUNTIME_MS=' || p_size || '.5' ELSE '' END AS stdout,
-  CASE CAST((p_partkey + m.pos) % 6 AS INT)
-    WHEN 1 THEN 'out of resource: shared memory' WHEN 2 THEN 'fp8e4nv not supported'
-    WHEN 4 THEN 'arange size must be a power of 2' WHEN 5 THEN 'out of resource: registers' ELSE '' END AS stderr
-FROM part CROSS JOIN (VALUES ('shared_mem_overflow', 0), ('force_fp8', 1), ('force_bf16', 2), ('non_pow2_block', 3)) AS m(mutation_type, pos)
-CROSS JOIN (VALUES ('Tesla T4', '7.5'), ('NVIDIA A10', '8.6')) AS d(gpu, compute_cap)"""
-
-
-def test_outcome_fixture_equals_documented_rows(duck):
-    from gauntlet.sources.fixtures import FIXTURE_SQL
-    ours = Counter(duck.sql(FIXTURE_SQL["mutation_outcomes"]).fetchall())
-    assert ours == Counter(duck.sql(ORIGINAL_OUTCOMES).fetchall())
-
-
 def test_corpus_fallback_when_primary_missing(spark):
     root = scratch_dir(spark, "t-corpus")
     df = spark.createDataFrame([("a/k1.py", "x = 1\n"), ("b/k2.py", "y = 2\n")], "name string, text string")
@@ -132,3 +117,17 @@ def test_task_file_single_array(spark):
     assert got == [("simp", 0, "a", None), ("simp", 1, "b", None), ("simp", 2, "c", "x")]
     with pytest.raises(ValueError):
         IO.read_task_file(spark, root, "other")
+
+
+def test_broken_task_array_fails_and_file_names_are_decoded(spark):
+    root = scratch_dir(spark, "t-broken")
+    rows = [("simp", 0, '[{"instruction": "a"}]'), ("simp", 1, '[{"instruction": "b"')]
+    spark.createDataFrame(rows, "dataset string, shard bigint, value string").repartition("shard").write.partitionBy(
+        "dataset", "shard").text(root)
+    with pytest.raises(Exception):
+        IO.read_task_arrays(spark, root).collect()
+    names = scratch_dir(spark, "t-names")
+    IO.write_named_files(spark.createDataFrame([("a b+c.py", "x"), ("é%20.py", "y")], "name string, text string"), names, "name", "text")
+    assert sorted(r.kernel_id for r in IO.read_corpus(spark, names).collect()) == ["a b+c.py", "é%20.py"]
+    with pytest.raises(FileNotFoundError):
+        IO.read_corpus(spark, names, glob="*.txt")

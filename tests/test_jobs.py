@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
+from gauntlet.sources.fixtures import DEVICES
 from gauntlet.sources.tables import fixture
 from test_aggregates import py_pct
 from test_text import py_extract
@@ -35,11 +36,13 @@ def py_status(code):
         return "syntax"
 
 
-def test_valid_python_brute_force(spark):
-    replies = fixture(spark, SF_SMALL, "replies").select("idx", "reply").collect()
-    want = {r.idx: py_status(py_extract(r.reply)) for r in replies}
-    got = {r.idx: r.status for r in entry_mod.queries()["valid_python"](spark, SF_SMALL).collect()}
-    assert got == want
+def test_reply_shapes_that_parse(spark):
+    """The oracle takes shape 10 as the one that does not parse, and shape 11 as blank."""
+    for r in fixture(spark, SF_SMALL, "replies").select("idx", "reply").collect():
+        if r.idx % 12 == 11:
+            assert not r.reply.strip()
+        else:
+            assert (py_status(py_extract(r.reply)) == "ok") == (r.idx % 12 != 10)
 
 
 def test_generation_report_brute_force(spark):
@@ -100,6 +103,8 @@ def test_generation_document(spark):
     docs = {r.model: json.loads(r.document) for r in jobs.generation_document(report).collect()}
     for r in report.collect():
         d = docs[r.model]
+        d = d["generation"]
+        assert d["n_items"] == r.n_items and d["tokens"]["total_prompt"] == r.total_prompt
         assert d["failures"]["total"] == r.failures_total == sum(d["failures"]["by_reason"].values())
         assert d["latency_s"] == {"p50": r.latency_p50, "p95": r.latency_p95, "mean": r.latency_mean}
         assert d["tokens"]["total_completion"] == r.total_completion and d["truncated_count"] == r.truncated_count
@@ -112,7 +117,7 @@ def test_mutation_summary_document(spark):
     gold = fixture(spark, SF_SMALL, "gold").select("kernel_id", F.concat(F.lit("gold/"), "kernel_id").alias("path"),
                                                    "source")
     out = jobs.mutation_report(gold, fixture(spark, SF_SMALL, "mutation_outcomes"), fixture(spark, SF_SMALL, "timings"),
-                               checkpoint=True)
+                               DEVICES, checkpoint=True)
     docs = [json.loads(r.document) for r in out["document"].collect()]
     assert {d["gpu"] for d in docs} == {"Tesla T4", "NVIDIA A10"}
     for d in docs:
@@ -135,3 +140,31 @@ def test_evaluation_report_accepts_survivor_listings(spark):
     listing2 = items.where(F.col("o_orderstatus") == "P").select("run_id", "kernel_id")
     by_listing = jobs.evaluation_report(items.drop("o_orderstatus"), *args, listing1, listing2, lines, ["line_no"])
     assert sorted(map(tuple, by_column.collect())) == sorted(map(tuple, by_listing.collect()))
+
+
+def test_mutations_that_were_never_run_count_as_attempted(spark):
+    """Two kernels, four mutations, one device; only the two variants that apply have an outcome."""
+    from gauntlet.plans import jobs
+    corpus = spark.createDataFrame([("a.py", "p/a.py", "BLOCK_SIZE = 64\n"), ("b.py", "p/b.py", "x = 1\n")],
+                                   "kernel_id string, path string, source string")
+    outcomes = spark.createDataFrame([("a.py", "shared_mem_overflow", "T4", "7.5", 1, "", "out of resource: shared memory")],
+                                     "kernel_id string, mutation_type string, gpu string, compute_cap string, returncode int, "
+                                     "stdout string, stderr string")
+    timings = spark.createDataFrame([("a.py", "baseline", 1.0)], "kernel_id string, side string, sample_ms double")
+    out = jobs.mutation_report(corpus, outcomes, timings, [("T4", "7.5")])
+    (total,) = out["totals"].collect()
+    assert (total.total_kernels_processed, total.total_mutations_attempted, total.total_mutations_applicable) == (2, 8, 2)
+    rows = {r.mutation_type: r for r in out["rows"].collect()}
+    assert set(rows) == {"shared_mem_overflow", "non_pow2_block"} and rows["shared_mem_overflow"].validated
+    assert rows["non_pow2_block"].stderr_excerpt == "" and not rows["non_pow2_block"].validated
+    assert {r.mutation_type: r.applicability_rate for r in out["summary"].collect()}["force_fp8"] == 0.0
+
+
+def test_flagship_and_generation_report_agree(spark):
+    from gauntlet.plans import catalog, jobs
+    own = {r.run_id: r for r in jobs.generation_report(catalog._run_replies(spark, SF_SMALL), ["run_id"]).collect()}
+    for r in entry_mod.queries()["job_evaluation_report"](spark, SF_SMALL).collect():
+        if r.run_id in own:
+            g = own[r.run_id]
+            assert (r.gen_latency_p50, r.gen_latency_p95, r.gen_total_completion, r.gen_failures_by_reason) == (
+                g.latency_p50, g.latency_p95, g.total_completion, g.failures_by_reason or "")

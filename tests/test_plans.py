@@ -4,14 +4,15 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
+from gauntlet.plans.catalog import QUERIES
 
 # keys whose plans may run Python: the parse check (and the jobs built on it)
 PYTHON_KEYS = {
-    "valid_python", "job_generation_report", "actual_behavior", "mutation_validated", "variant_skip_reason",
+    "job_generation_report", "actual_behavior", "mutation_validated", "variant_skip_reason",
     "baseline_join", "mutation_summary", "low_applicability", "mutation_totals", "summary_project",
-    "sample_reasons", "variant_registry", "variant_cross", "job_mutation_report",
+    "sample_reasons", "variant_registry", "variant_cross", "job_mutation_report", "job_evaluation_report",
+    "metric_report", "sink_summary_doc", "sidecar_join",
 }
 
 
@@ -21,7 +22,7 @@ def _plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {k: _plan(fn(spark, SF_SMALL)) for k, fn in entry_mod.queries().items()}
+    return {k: _plan(fn(spark, SF_SMALL)) for k, fn in QUERIES.items()}
 
 
 def test_no_cross_products(plans):
@@ -42,6 +43,19 @@ def test_classifier_scan_is_pruned_and_filtered(plans):
     assert "DataFilters: [isnotnull(o_orderkey" in p
 
 
+def test_no_aggregate_holds_a_group_s_values(plans):
+    assert [k for k, p in plans.items() if "percentile" in p or "median(" in p] == []
+
+
+def test_the_parser_gets_null_where_it_is_not_needed(plans):
+    assert "python_parse_status(CASE WHEN" in plans["variant_skip_reason"]
+
+
+def test_survivor_listings_take_one_join(plans):
+    for key in ("phase1_failures", "phase_survivors", "sorted_listing", "listing_top10"):
+        assert plans[key].count("Join") <= 1, key
+
+
 def test_top_k_limits_before_the_shuffle(plans):
     p = plans["listing_top10"]
     assert "WindowGroupLimit" in p and "Partial" in p
