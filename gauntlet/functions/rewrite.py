@@ -72,24 +72,31 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _forced(code, names, value: int) -> Column:
+    """Struct (code, n) after the four forms per name in order; every form runs once on the text so far."""
+    forms = F.array(*[F.struct(F.lit(pattern.format(name=name)).alias("pattern"),
+                               F.lit(repl.format(name=name, value=value)).alias("repl"))
+                      for name in names for pattern, repl in BLOCK_FORMS])
+    return F.aggregate(forms, F.struct(_c(code).alias("code"), F.lit(0).alias("n")), lambda done, form: F.struct(
+        F.regexp_replace(done["code"], form["pattern"], form["repl"]).alias("code"),
+        (done["n"] + F.regexp_count(done["code"], form["pattern"])).alias("n")))
+
+
 def force_block_value(code, names, value: int):
     """Apply the four forms per name in order; returns (new_code, n_substitutions)."""
-    out = _c(code)
-    total = F.lit(0)
-    for name in names:
-        for pattern, repl in BLOCK_FORMS:
-            pat = pattern.format(name=name)
-            total = total + F.regexp_count(out, F.lit(pat))
-            out = F.regexp_replace(out, pat, repl.format(name=name, value=value))
-    return out, total
+    done = _forced(code, names, value)
+    return done["code"], done["n"]
 
 
 def _block_variant(source, first, second) -> Column:
     kernel, sep, test = gold_split(source)
-    new1, n1 = force_block_value(kernel, *first)
-    new2, n2 = force_block_value(kernel, *second)
-    return (F.when(n1 > 0, F.concat(new1, sep, test))
-            .when(n2 > 0, F.concat(new2, sep, test)))
+
+    def choose(choice, otherwise) -> Column:
+        # the one-element array binds the result, so that it is computed once
+        return F.transform(F.array(_forced(kernel, *choice)), lambda done: F.when(
+            done["n"] > 0, F.concat(done["code"], sep, test)).otherwise(otherwise))[0]
+
+    return choose(first, choose(second, F.lit(None).cast("string")))
 
 
 def variant_shared_mem(source) -> Column:

@@ -47,6 +47,10 @@ def test_no_aggregate_holds_a_group_s_values(plans):
     assert [k for k, p in plans.items() if "percentile" in p or "median(" in p] == []
 
 
+def test_rewrites_are_not_repeated(plans):
+    assert plans["job_mutation_report"].count("regexp_replace(") <= 24
+
+
 def test_the_parser_gets_null_where_it_is_not_needed(plans):
     assert "python_parse_status(CASE WHEN" in plans["variant_skip_reason"]
 
