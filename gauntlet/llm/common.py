@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 
     out = np.zeros((1 << bits) // 8, np.uint8)
     step = (1 << SLICE_BITS) // 8
-    for row in slots.groupBy("slice").applyInArrow(fill, "slice int, packed binary").toLocalIterator():
+    for row in slots.groupBy("slice").applyInArrow(fill, "slice int, packed binary").collect():
         out[row["slice"] * step:(row["slice"] + 1) * step] = np.frombuffer(row["packed"], np.uint8)
     return out
 
@@ -74,6 +75,29 @@ def in_bitmap(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
+def maybe_among(keys: DataFrame, column: str) -> Column:
+    """False only for rows whose id is null or certainly not among the longs of the one column."""
+    marks = keys.sparkSession.sparkContext.broadcast(bitmap(keys))
+
+    @F.pandas_udf("boolean")
+    def held(ids: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(marks.value, ids.to_numpy(np.int64)))
+
+    own = F.col(column).cast("long")
+    return own.isNotNull() & held(F.coalesce(own, F.lit(0)))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is not in ``ids`` (one column), with their columns as they are.
+
+    Only documents that may be among the ids are shuffled for the join.
+    """
+    gone = materialise(ids.toDF("_gone").distinct(), "dropped-ids")
+    held = maybe_among(gone, id_col)
+    judged = docs.where(held).join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.where(~held).unionByName(judged)
+
+
 def batches_of(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield from table.cast(schema).to_batches()
 

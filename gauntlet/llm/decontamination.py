@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauntlet.llm.common import bitmap, in_bitmap, materialise
+from gauntlet.llm.common import bitmap, in_bitmap, materialise, without_ids
 from gauntlet.llm.textkernel import chunks, mix, signed, span_hashes, window_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -177,5 +177,4 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, min_match: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no test item contaminates, with their columns as they are."""
-    bad = contaminated_pairs(docs, benchmark, **options).select(F.col("doc_id").alias("_contaminated")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_contaminated"], "left_anti")
+    return without_ids(docs, contaminated_pairs(docs, benchmark, **options).select("doc_id"))
