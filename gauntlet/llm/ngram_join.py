@@ -3,11 +3,13 @@
 A document's set is its distinct word 5-gram hashes (A-Z lower-cased).  The
 set's hashes are dealt into groups; the group counts are a point, and two
 sets share at most the sum of the coordinate minima.  Points are indexed in
-R-trees, one for each shared routing key: two sets with Jaccard 0.8 share one
-of the first ``n - ceil(0.8 n) + 1`` hashes in any fixed order, and only
-trees of such a key need a search.  (One tree over all documents cannot
-prune: the counts of unrelated texts of one length differ too little in any
-few coordinates.)  Pairs that the bound allows are verified on whole sets.
+R-trees, one for each shared routing key and band of sizes: two sets with
+Jaccard 0.8 share one of the first ``n - ceil(0.8 n) + 1`` hashes in any fixed
+order (the smaller one even of its first ``n - ceil(1.6 n / 1.8) + 1``), and
+their sizes differ by a quarter at most, so no other tree needs a search.
+(One tree over all documents cannot prune: the counts of unrelated texts of
+one length differ too little in any few coordinates.)  Pairs that the bound
+allows are verified on whole sets.
 
 The result needs links only as far as they join components, so work goes in
 two rounds: in each tree, all points against its most typical one; then, in
@@ -34,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauntlet.llm.common import batches_of, bitmap, in_bitmap, materialise
+from gauntlet.llm.common import batches_of, bitmap, in_bitmap, materialise, maybe_among
 from gauntlet.llm.count_rtree import LEAF, CountRTree, overlap_needed
 from gauntlet.llm.graph import components
 from gauntlet.llm.textkernel import chunks, mix, shingle_set, signed, span_hashes
 
 WIDTH, PERCENT = 5, 80
-COARSE, FINE = 64, 256           # coordinates of the points in the trees, and of the check before verifying
+LEAST_GROUPS = 64                # coordinates of a point: a power of two, half the set's size or more
 SHARD = 4096                     # points of one tree at most; a larger group is dealt over several
 COMMON_SAMPLE, COMMON_SEEN = 16, 8
 
@@ -67,8 +69,28 @@ def routing_keys(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.n
     return np.concatenate([shingles[~late], shingles[late]])[:keep]
 
 
-def _vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(40) & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+def leading(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the first hashes must hold a common one if the set is the smaller of two similar ones."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    groups = max(LEAST_GROUPS, 1 << int(len(shingles) // 2).bit_length())
+    vector = np.bincount((shingles >> np.uint64(24) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    if vector.max() > 255:
+        raise ValueError("a group of hashes is too large for its count")
+    return vector.astype(np.uint8)
+
+
+def fold(vector: bytes, groups: int) -> np.ndarray:
+    """The counts over fewer groups (a divisor of the vector's)."""
+    return np.frombuffer(vector, np.uint8).reshape(-1, groups).sum(axis=0, dtype=np.uint16)
+
+
+def bound(v: bytes, w: bytes) -> int:
+    """At most so many elements are in both sets."""
+    groups = min(len(v), len(w))
+    return int(np.minimum(fold(v, groups), fold(w, groups)).sum())
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
@@ -101,47 +123,48 @@ def profile(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 "doc_id": batch.column("doc_id").slice(first, len(sets)),
                 "n": [len(s) for s in sets],
                 "class": pa.array(prints, mask=np.array([not len(s) for s in sets], bool)),
-                "vector": pa.array([_vector(s).astype(np.uint16 if len(s) < 1 << 16 else np.uint32).tobytes() if len(s)
-                                    else None for s in sets], pa.binary()),
+                "vector": pa.array([count_vector(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 "keys": pa.array([signed(routing_keys(s, common.value, percent)) if len(s) else None for s in sets],
                                  pa.list_(pa.int64()))}), schema)
 
     return texts.mapInArrow(run, "doc_id long, n long, class long, vector binary, keys array<long>")
 
 
-def _routed(rows: DataFrame, shared: np.ndarray) -> DataFrame:
-    """Classes that have a shared routing key, with those keys only."""
+def _routed(rows: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
+    """Classes that have a shared routing key: class, n, vector, keys (those shared), lead (which of them
+    are among the leading ones) and typical (share of its keys that are shared, in thousandths)."""
     marks = rows.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("keys")
-            values = lists.flatten().to_numpy()
+            values, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
             inside = in_bitmap(marks.value, values)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            total = np.concatenate([[0], np.cumsum(inside)])[ends]
-            kept = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(values[inside]))
-            batch = batch.set_column(batch.schema.get_field_index("keys"), "keys", kept)
-            yield batch.filter(pa.array(np.diff(total) > 0))
+            starts = np.cumsum(sizes) - sizes
+            ends = np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], np.cumsum(sizes)])]
+            place = np.arange(len(values)) - np.repeat(starts, sizes)
+            lead = place < np.repeat(leading(batch.column("n").to_numpy(), percent), sizes)
+            of = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[inside], kind))
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("class"), batch.column("n"), batch.column("vector"), of(values, pa.int64()), of(lead, pa.bool_()),
+                 pa.array(1000 * np.diff(ends) // np.maximum(sizes, 1), pa.int32())],
+                ["class", "n", "vector", "keys", "lead", "typical"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
 
     found = rows.where(F.col("class").isNotNull()).select("class", "n", "vector", "keys")
-    found = found.mapInArrow(run, "class long, n long, vector binary, keys array<long>")
+    found = found.mapInArrow(run, "class long, n long, vector binary, keys array<long>, lead array<boolean>, typical int")
     return found.dropDuplicates(["class"])
 
 
-def _fine(vector: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(vector, np.uint16 if n < 1 << 16 else np.uint32)
-
-
 def _bounded(pairs: DataFrame, routed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose fine vectors allow the similarity."""
+    """Pairs (a, b) whose count vectors allow the similarity."""
     side = lambda x: routed.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("vector").alias(f"v_{x}"))
     long_enough = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-            keep = [int(np.minimum(_fine(v, n), _fine(w, m)).sum()) >= overlap_needed(n, m, percent)
+            keep = [bound(v, w) >= overlap_needed(n, m, percent)
                     for v, n, w, m in zip(c["v_a"], c["n_a"], c["v_b"], c["n_b"])]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -151,23 +174,16 @@ def _bounded(pairs: DataFrame, routed: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets have the similarity."""
-    spark = texts.sparkSession
     pairs = materialise(pairs, "candidates")
     used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     chosen = members.join(used, "class").select("doc_id", "class")
-    marks = spark.sparkContext.broadcast(bitmap(chosen.select("doc_id")))
-
-    @F.pandas_udf("boolean")
-    def wanted(ids):
-        return ids.isna() | in_bitmap(marks.value, ids.fillna(0).to_numpy(np.int64))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, sets in _sets(batches, width):
             kept = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([fingerprint(s) for s in kept], np.uint64))),
                                               pa.array([s.tobytes() for s in kept], pa.binary())], ["class", "set"])
 
-    sets = texts.where(wanted("doc_id")).mapInArrow(run, "class long, set binary").dropDuplicates(["class"])
+    sets = texts.where(F.col("doc_id").isNull() | maybe_among(chosen.select("doc_id"), "doc_id")).mapInArrow(run, "class long, set binary").dropDuplicates(["class"])
     sets = materialise(sets.join(used, "class", "left_semi"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,23 +203,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int
 
 
 def _search_runs(percent: int):
-    """Within each (key, cell) run of sorted rows, pairs of different components that the bound allows."""
+    """Within each run of rows of one tree, pairs of different components that the bound allows.
+
+    Of two rows at home the smaller must route by a leading key; a guest is
+    smaller than the rows at home and routes by one; guests are not paired.
+    """
+
+    def pairs_of(points, c):
+        component, shard, cross, home, lead = c["component"], c["shard"], c["cross"][0], c["home"], c["lead"]
+        size = points.sum(axis=1, dtype=np.int64)
+
+        def allowed(i, j):
+            smaller_leads = np.where(size[i] == size[j], lead[i] | lead[j], np.where(size[i] < size[j], lead[i], lead[j]))
+            return (component[i] != component[j]) & (home[i] | home[j]) & smaller_leads & (not cross or (shard[i] != shard[j]))
 
-    def pairs_of(points, component, shard, cross):
         if len(points) <= LEAF:
             for d in range(1, len(points)):
-                shared = np.minimum(points[d:], points[:-d]).sum(axis=1, dtype=np.int64)
-                size = points.sum(axis=1, dtype=np.int64)
-                fits = shared >= overlap_needed(size[d:], size[:-d], percent)
-                at = np.flatnonzero(fits & (component[d:] != component[:-d]) & (not cross or (shard[d:] != shard[:-d])))
-                yield at, at + d
+                i = np.arange(len(points) - d)
+                i = i[allowed(i, i + d)]
+                shared = np.minimum(points[i], points[i + d]).sum(axis=1, dtype=np.int64)
+                i = i[shared >= overlap_needed(size[i], size[i + d], percent)]
+                yield i, i + d
             return
         tree = CountRTree(points)
         for i in range(len(points)):
             near = tree.search(points[i], percent)
-            near = near[(near > i) & (component[near] != component[i]) & ((shard[near] != shard[i]) if cross else True)]
+            near = near[near > i]
+            near = near[allowed(np.full(len(near), i), near)]
             yield np.full(len(near), i), near
 
+    names = ("key", "band", "cell", "class", "component", "shard", "cross", "home", "lead")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _then_none(batches):
@@ -211,20 +241,23 @@ def _search_runs(percent: int):
                 rest = batch if rest is None else pa.concat_batches([rest, batch])
             if rest is None or not len(rest):
                 continue
-            columns = {name: rest.column(name).to_numpy(zero_copy_only=False)
-                       for name in ("key", "cell", "class", "component", "shard", "cross")}
-            new = (columns["key"][1:] != columns["key"][:-1]) | (columns["cell"][1:] != columns["cell"][:-1])
+            columns = {name: rest.column(name).to_numpy(zero_copy_only=False) for name in names}
+            new = np.zeros(len(rest) - 1, dtype=bool)
+            for name in ("key", "band", "cell"):
+                new |= columns[name][1:] != columns[name][:-1]
             starts = np.flatnonzero(np.concatenate([[True], new]))
             ends = np.append(starts[1:], len(rest))
             if batch is not None:            # the last run may go on in the next batch
                 starts, ends, cut = starts[:-1], ends[:-1], int(starts[-1])
             else:
                 cut = len(rest)
-            points = np.frombuffer(b"".join(rest.column("point").slice(0, cut).to_pylist()), np.uint32).reshape(cut, COARSE)
+            vectors = rest.column("vector").slice(0, cut).to_pylist()
             left, right = [], []
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if e - s > 1:
-                    for i, j in pairs_of(points[s:e], columns["component"][s:e], columns["shard"][s:e], columns["cross"][s]):
+                    groups = min(len(v) for v in vectors[s:e])
+                    points = np.stack([fold(v, groups) for v in vectors[s:e]])
+                    for i, j in pairs_of(points, {name: columns[name][s:e] for name in names}):
                         left.append(i + s)
                         right.append(j + s)
             if left:
@@ -243,25 +276,27 @@ def _then_none(items):
 
 def _contested(routed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a routing key and that the trees allow."""
-
-    @F.pandas_udf("binary")
-    def coarse(vectors, sizes):
-        return vectors.combine(sizes, lambda v, n: _fine(v, n).astype(np.uint32).reshape(COARSE, -1).sum(axis=1)
-                               .astype(np.uint32).tobytes())
-
-    own = known.withColumnsRenamed({"node": "class"})
-    rows = routed.join(own, "class", "left").select(
-        "class", F.coalesce("component", "class").alias("component"), coarse("vector", "n").alias("point"),
-        F.explode("keys").alias("key"))
-    groups = rows.select("key", "component").groupBy("key").agg(
-        F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    groups = groups.where("lo != hi").select("key", F.ceil(F.col("m") / SHARD).cast("int").alias("shards"))
-    rows = rows.join(groups, "key").withColumn("shard", F.pmod("class", F.col("shards")).cast("int"))
+    own = routed.select("class", "n", F.explode(F.arrays_zip("keys", "lead")).alias("key")).join(
+        known.withColumnsRenamed({"node": "class"}), "class", "left")
+    # sizes of one band differ by less than the similarity allows, so similar sets are in one band or in two neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    rows = own.select(F.col("key.keys").alias("key"), F.col("key.lead").alias("lead"), "class",
+                      F.coalesce("component", "class").alias("component"), band.alias("own_band"))
+    bands = F.when(F.col("lead"), F.array(F.col("own_band"), F.col("own_band") + 1)).otherwise(F.array("own_band"))
+    rows = rows.withColumn("band", F.explode(bands)).withColumn("home", F.col("band") == F.col("own_band")).drop("own_band")
+    trees = rows.groupBy("key", "band").agg(
+        F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.max("home").alias("at_home"), F.max("lead").alias("led"))
+    trees = trees.where("lo != hi and at_home and led").select(
+        "key", "band", F.ceil(F.col("m") / SHARD).cast("int").alias("shards"))
+    rows = rows.join(trees, ["key", "band"]).withColumn("shard", F.pmod("class", F.col("shards")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    rows = rows.select("key", (F.least("shard", "other") * F.col("shards") + F.greatest("shard", "other")).alias("cell"),
-                       "class", "component", "shard", (F.col("shard") != F.col("other")).alias("cross"), "point")
+    rows = rows.select("key", "band", (F.least("shard", "other") * F.col("shards") + F.greatest("shard", "other")).alias("cell"),
+                       "class", "component", "shard", (F.col("shard") != F.col("other")).alias("cross"), "home", "lead")
+    rows = rows.join(routed.select("class", "vector"), "class").select(
+        "key", "band", "cell", "class", "component", "shard", "cross", "home", "lead", "vector")
     n = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "class")
+    rows = rows.repartition(n, "key", "band", "cell").sortWithinPartitions("key", "band", "cell", "class")
     return rows.mapInArrow(_search_runs(percent), "a long, b long").distinct()
 
 
@@ -274,15 +309,13 @@ def similarity_components(docs: DataFrame, *, width: int = WIDTH, percent: int =
     by_key = rows.where(F.col("class").isNotNull()).select("class", F.explode("keys").alias("key")).groupBy("key")
     keys = by_key.agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     keys = materialise(keys, "shared-keys")
-    routed = materialise(_routed(rows, bitmap(keys)), "routed")
-
-    # round 1: against the most typical class of each key, the one whose keys the most classes share
-    spread = routed.select("class", F.explode("keys").alias("key"))
-    weight = spread.groupBy("key").agg(F.count("*").alias("w")).where("w > 1")
-    typical = spread.join(weight, "key").groupBy("class").agg(F.avg("w").alias("typical"))
-    hubs = spread.join(typical, "class").groupBy("key").agg(
-        F.max(F.struct("typical", "class")).alias("hub")).select("key", F.col("hub.class").alias("hub"))
-    stars = spread.join(weight.select("key"), "key").join(hubs, "key").where("class != hub").select(
+    routed = materialise(_routed(rows, bitmap(keys), percent), "routed")
+
+    # round 1: against the most typical class of each key: the one with the largest share of shared keys
+    spread = routed.select("class", "typical", F.explode("keys").alias("key"))
+    hubs = spread.groupBy("key").agg(F.max(F.struct("typical", "class")).alias("hub"), F.count("*").alias("m"))
+    hubs = hubs.where("m > 1").select("key", F.col("hub.class").alias("hub"))
+    stars = spread.join(hubs, "key").where("class != hub").select(
         F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
     first = _verified(_bounded(stars, routed, percent), texts, members, width, percent)
     known = components(first)

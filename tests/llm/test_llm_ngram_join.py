@@ -65,10 +65,9 @@ def test_components_against_brute_force(spark):
     assert got(docs(spark, rows, CLASHING)) == brute(rows)
 
 
-def test_small_shards_and_leaves_give_the_same(spark, monkeypatch):
+def test_small_shards_give_the_same(spark, monkeypatch):
     rows = corpus(random.Random(12))
     monkeypatch.setattr(ngram_join, "SHARD", 8)
-    monkeypatch.setattr(ngram_join, "LEAF", 1)
     assert got(docs(spark, rows)) == brute(rows)
 
 
