@@ -15,7 +15,9 @@ clash.  An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6   # fixed values of the model format
 UNIGRAM, BPE = 1, 2
 BATCH_BYTES = 4 << 20
+CACHE_WORDS = 150_000             # words that a worker keeps with their ids, besides those of the batch
 
 #: Fixed probe texts for the parity check: white space, other scripts, bytes without a piece, marks.
 PROBES = ("", " ", "a", "  two  spaces ", "line\nbreak\tand tab", "Ärger über ñandú, él’s", "你好 مرحبا",
@@ -94,17 +97,60 @@ def verify_parity(tokenizer, path: str, texts) -> None:
             raise ValueError(f"tokenizer differs from sentencepiece on {text[:80]!r}: {a[:20]} {b[:20]}")
 
 
-_built: dict[str, object] = {}
-
-
-def tokenizer_for(path: str, threads: int):
-    """The worker's tokenizer for a model, built and verified at its first use."""
+class Coder:
+    """Encodes and decodes batches.  If no piece spans words, each distinct word is encoded and decoded once
+    and kept, and a text's ids are those of its words; else texts are encoded as they are."""
+
+    def __init__(self, path: str):
+        self.tokenizer = build_tokenizer(path)
+        verify_parity(self.tokenizer, path, PROBES)
+        rules = parse_model(path).normalizer_spec
+        self.prefix, self.by_word = rules.add_dummy_prefix, self.tokenizer.pre_tokenizer is not None
+        self.plain = rules.add_dummy_prefix and rules.escape_whitespaces and not (
+            rules.precompiled_charsmap or rules.remove_extra_whitespaces)
+        self.ids: dict[str, list[int]] = {}
+        self.texts: dict[str, str] = {}
+        if self.by_word:
+            from tokenizers import decoders
+
+            self.word = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
+            self.words = build_tokenizer(path)
+            self.words.normalizer = self.words.pre_tokenizer = None
+            self.words.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()])
+
+    def _words_of(self, text: str) -> list[str]:
+        if not text:
+            return []
+        normal = MARKER + text.replace(" ", MARKER) if self.plain else self.tokenizer.normalizer.normalize_str(text)
+        return self.word.findall(normal)
+
+    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids of each text, and the text they decode to."""
+        if not self.by_word:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        if len(self.ids) > CACHE_WORDS:
+            self.ids, self.texts = {}, {}
+        lists = [self._words_of(t) for t in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(lists)) if w not in self.ids]
+        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        self.ids.update(zip(new, ids))
+        self.texts.update(zip(new, self.words.decode_batch(ids, skip_special_tokens=False)))
+        back = ["".join(map(self.texts.__getitem__, own)) for own in lists]
+        if self.prefix:
+            back = [b.removeprefix(" ") for b in back]
+        return [list(chain.from_iterable(map(self.ids.__getitem__, own))) for own in lists], back
+
+
+_built: dict[str, Coder] = {}
+
+
+def coder_for(path: str, threads: int) -> Coder:
+    """The worker's coder for a model, built and verified at its first use."""
     if path not in _built:
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        tokenizer = build_tokenizer(path)
-        verify_parity(tokenizer, path, PROBES)
-        _built[path] = tokenizer
+        _built[path] = Coder(path)
     return _built[path]
 
 
@@ -119,12 +165,10 @@ def _slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _encode(tokenizer, texts: list) -> pa.Table:
-    present = [t for t in texts if t is not None]
-    encoded = iter(tokenizer.encode_batch_fast(present, add_special_tokens=False))
-    ids = [None if t is None else np.array(next(encoded).ids, np.int32) for t in texts]
-    back = iter(tokenizer.decode_batch([[] if i is None else i.tolist() for i in ids], skip_special_tokens=False))
-    same = [None if t is None else b == t for t, b in zip(texts, back)]
+def _encode(coder: Coder, texts: list) -> pa.Table:
+    ids, back = map(iter, coder([t for t in texts if t is not None]))
+    ids = [None if t is None else np.array(next(ids), np.int32) for t in texts]
+    same = [None if t is None else next(back) == t for t in texts]
     return pa.table({"n_tokens": pa.array([0 if i is None else len(i) for i in ids], pa.int64()),
                      "round_trip": pa.array(same, pa.bool_()), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
@@ -138,12 +182,11 @@ def encode_texts(docs: DataFrame, *, model_path: str = MODEL_PATH, threads: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
         for batch in batches:
-            tokenizer = tokenizer or tokenizer_for(model_path, threads)
+            coder = coder_for(model_path, threads)
             texts = batch.column("text").to_pylist()
             for i, j in _slices(texts, BATCH_BYTES):
-                made = _encode(tokenizer, texts[i:j])
+                made = _encode(coder, texts[i:j])
                 yield from made.add_column(0, "id", batch.column("id").slice(i, j - i)).to_batches()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -157,7 +200,7 @@ def decode_ids(encoded: DataFrame, *, model_path: str = MODEL_PATH, threads: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids").to_pylist()
-            back = tokenizer_for(model_path, threads).decode_batch([x or [] for x in lists], skip_special_tokens=False)
+            back = coder_for(model_path, threads).tokenizer.decode_batch([x or [] for x in lists], skip_special_tokens=False)
             texts = [None if x is None else b for x, b in zip(lists, back)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
