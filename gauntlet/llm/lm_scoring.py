@@ -162,6 +162,17 @@ class Automaton:
         return total
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; 255 stands for a larger one, which follows at the end."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint64).tobytes()
+
+
+def _unpack(data: pa.Buffer, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, np.uint64, offset=n) if len(data) > n else 0
+    return counts
+
+
 def _ask(order: int, buckets: int):
     def run(key, table):
         g = grams(table.column("text"), order)
@@ -169,11 +180,11 @@ def _ask(order: int, buckets: int):
         bucket = (mix(g.keys) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        keys, counts = g.keys[by], counts[by].astype(np.uint32)
+        keys, counts = g.keys[by], counts[by]
         parts = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
         return pa.table({"bucket": pa.array(range(buckets), pa.int64()), "block": pa.array([key[0].as_py()] * buckets, pa.int64()),
                          "keys": pa.array([keys[s].tobytes() for s in parts], pa.binary()),
-                         "counts": pa.array([counts[s].tobytes() for s in parts], pa.binary())})
+                         "counts": pa.array([_pack(counts[s]) for s in parts], pa.binary())})
 
     return run
 
@@ -181,13 +192,12 @@ def _ask(order: int, buckets: int):
 def _total(table: pa.Table) -> pa.Table:
     """Adds up a bucket's counts and answers each block, in the order of its keys; with the bucket's N and V."""
     asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+    counts = np.concatenate([_unpack(x.as_buffer(), len(a)) for x, a in zip(table.column("counts"), asked)])
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, counts, len(keys)).astype(np.uint64)
+    total = np.bincount(at, counts, len(keys)).astype(np.int64)
     token = (keys & _TOKEN) > 0
-    kind = np.uint32 if not len(total) or total.max() < 1 << 32 else np.uint64
     ends = np.cumsum([len(a) for a in asked])
-    answers = [total[at[end - len(a):end]].astype(kind).tobytes() for a, end in zip(asked, ends)]
+    answers = [_pack(total[at[end - len(a):end]]) for a, end in zip(asked, ends)]
     n, v = int(total[token].sum()), int((total[token] > 0).sum())
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
                      "totals": pa.array(answers, pa.binary()), "n": pa.array([n] * len(asked), pa.int64()),
@@ -203,9 +213,7 @@ def _answer(order: int, strength: float, buckets: int):
         by, answers = np.argsort(bucket, kind="stable"), answers.sort_by("bucket")
         sizes = np.bincount(bucket, minlength=buckets)
         counts = np.zeros(len(g.keys), np.int64)
-        counts[by] = np.concatenate([
-            np.frombuffer(x.as_buffer(), np.uint64 if size and len(x.as_buffer()) == 8 * size else np.uint32).astype(np.int64)
-            for x, size in zip(answers.column("totals"), sizes)])
+        counts[by] = np.concatenate([_unpack(x.as_buffer(), size) for x, size in zip(answers.column("totals"), sizes)])
         n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
         machine = Automaton(g, counts, n, v, order, strength)
         token, own = g.is_token(), counts[g.at[1]]
