@@ -44,7 +44,7 @@ from gauntlet.llm.textkernel import chunks, mix, shingle_set, signed, span_hashe
 WIDTH, PERCENT = 5, 80
 LEAST_GROUPS = 64                # coordinates of a point: a power of two, half the set's size or more
 SHARD = 4096                     # points of one tree at most; a larger group is dealt over several
-COMMON_SAMPLE, COMMON_SEEN = 16, 8
+COMMON_SAMPLE, COMMON_SEEN = 8, 2
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -75,21 +75,26 @@ def leading(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """Counts of the hashes by group, two to a byte; as many groups as it takes for 15 to be enough."""
     groups = max(LEAST_GROUPS, 1 << int(len(shingles) // 2).bit_length())
-    vector = np.bincount((shingles >> np.uint64(24) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    if vector.max() > 255:
-        raise ValueError("a group of hashes is too large for its count")
-    return vector.astype(np.uint8)
+    while True:
+        counts = np.bincount((shingles >> np.uint64(24) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 16:
+            return (counts[0::2] | counts[1::2] << 4).astype(np.uint8)
+        groups *= 2
 
 
 def fold(vector: bytes, groups: int) -> np.ndarray:
     """The counts over fewer groups (a divisor of the vector's)."""
-    return np.frombuffer(vector, np.uint8).reshape(-1, groups).sum(axis=0, dtype=np.uint16)
+    packed = np.frombuffer(vector, np.uint8)
+    counts = np.empty(2 * len(packed), np.uint8)
+    counts[0::2], counts[1::2] = packed & 15, packed >> 4
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.uint16)
 
 
 def bound(v: bytes, w: bytes) -> int:
     """At most so many elements are in both sets."""
-    groups = min(len(v), len(w))
+    groups = 2 * min(len(v), len(w))
     return int(np.minimum(fold(v, groups), fold(w, groups)).sum())
 
 
@@ -255,7 +260,7 @@ def _search_runs(percent: int):
             left, right = [], []
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if e - s > 1:
-                    groups = min(len(v) for v in vectors[s:e])
+                    groups = 2 * min(len(v) for v in vectors[s:e])
                     points = np.stack([fold(v, groups) for v in vectors[s:e]])
                     for i, j in pairs_of(points, {name: columns[name][s:e] for name in names}):
                         left.append(i + s)
