@@ -106,21 +106,22 @@ def _word_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
-    """Distinct items: item_id, n, words (binary), seeds."""
+    """Distinct items: item_id, n, words (binary), seeds with the number of their places in the item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in _word_rows(batch):
                 ids = batch.column("item_id").slice(first, len(rows))
-                seeds = [signed(np.unique(window_hashes(w, min(min_match, len(w))))) if len(w) else [] for w in rows]
+                seeds = [np.unique(window_hashes(w, min(min_match, len(w))), return_counts=True) for w in rows]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([len(w) for w in rows], pa.int64()), pa.array([w.tobytes() for w in rows], pa.binary()),
-                     pa.array(seeds, pa.list_(pa.int64()))], ["item_id", "n", "item_words", "seeds"])
+                     pa.array([signed(h) for h, _ in seeds], pa.list_(pa.int64())),
+                     pa.array([c for _, c in seeds], pa.list_(pa.int64()))], ["item_id", "n", "item_words", "seeds", "places"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "item_id long, n long, item_words binary, seeds array<long>").where("n > 0")
+    rows = rows.mapInArrow(run, "item_id long, n long, item_words binary, seeds array<long>, places array<long>").where("n > 0")
     return rows.groupBy("item_words").agg(F.min("item_id").alias("item_id"), F.first("n").alias("n"),
-                                          F.first("seeds").alias("seeds"))
+                                          F.first(F.arrays_zip("seeds", "places")).alias("seeds"))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
@@ -129,7 +130,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, min_match: int
     tiles (array of doc_start, item_start, words; word positions)."""
     spark = docs.sparkSession
     items = materialise(_items(benchmark, min_match), "benchmark-items")
-    seeds = items.select("item_id", "n", F.explode("seeds").alias("seed"))
+    seeds = items.select("item_id", "n", F.explode("seeds").alias("s")).select(
+        "item_id", "n", F.col("s.seeds").alias("seed"), F.col("s.places").alias("places"))
     widths = sorted(r[0] for r in items.select(F.least("n", F.lit(min_match))).distinct().collect())  # min_match at most
     marks = spark.sparkContext.broadcast(bitmap(seeds.select("seed")))
 
@@ -151,10 +153,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, min_match: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(suspects, "doc_id long, words binary, hits array<long>")
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "suspects")
-    # every tile has a seed for each start within it, so fewer shared seeds than this cannot reach the coverage
-    least = F.ceil(F.lit(coverage) * F.col("n") / min_match)
+    # every tile has a seed for each start within it, so an item whose shared seeds have fewer places than this (a
+    # repeated seed counts at each of them) cannot reach the coverage
+    least = F.lit(coverage) * F.col("n") / min_match - 1e-9
     pairs = found.select("row", F.explode("hits").alias("seed")).join(seeds, "seed").groupBy("row", "item_id", "n").agg(
-        F.count("*").alias("shared")).where(F.col("shared") >= least).select("row", "item_id")
+        F.sum("places").alias("shared")).where(F.col("shared") >= least).select("row", "item_id")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))

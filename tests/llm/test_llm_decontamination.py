@@ -83,6 +83,18 @@ def test_reordered_passages_are_caught_and_clean_documents_left(spark):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {d for d, _ in bad} - {102, 103}
 
 
+def test_items_with_repeated_phrases_are_caught(spark):
+    rng = random.Random(23)
+    tests = {0: "a b c d " * 12, 1: " ".join(f"p{i % 9}" for i in range(100)), 2: "no " * 20, 3: prose(rng, 30) + " la la di " * 10,
+             4: " ".join(f"{i % 3} {i % 2}" for i in range(60)), 5: "one two three four five six " * 2}
+    rows = [(i, prose(rng, 40) + " " + t.upper() + " " + prose(rng, 40)) for i, t in tests.items()]
+    rows += [(100 + i, prose(rng, 40) + " " + " ".join(words(t)[:len(words(t)) // 3]) + " " + prose(rng, 40)) for i, t in tests.items()]
+    found = {(r.doc_id, r.item_id) for r in dc.contaminated_pairs(docs(spark, rows), items(spark, tests.items())).collect()}
+    want = {(d, i) for d, t in rows for i, item in tests.items()
+            if sum(n for *_, n in tile_brute(words(t), words(item), 5)) >= 0.5 * len(words(item))}
+    assert found == want and {(i, i) for i in tests} <= found
+
+
 def test_empty_tables(spark):
     table, bench = docs(spark, [(1, "a b c d e f g h")]), items(spark, [(1, "a b c d e f g h")])
     assert dc.contaminated_pairs(table, bench).count() == 1
