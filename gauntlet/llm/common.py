@@ -14,6 +14,7 @@ from gauntlet.session import scratch_dir, ship_package
 
 BITMAP_BITS = 26      # 2**26 bits: 8 MB, whatever the input
 SLICE_BITS = 20       # bits of one slice of a bitmap
+ROW_KEY = "_row_key"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +99,27 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     return docs.where(~held).unionByName(judged)
 
 
+def with_row_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents with a key of their own for each row in ``ROW_KEY``, in the order of their ids.
+
+    Where every row has an id of its own, that is the key.  Else rows are numbered by id, those that repeat an id
+    after the first one and those without an id last, in a scratch table that all later reads share.
+    """
+    own = F.col(id_col).cast("long")
+    odd = docs.select(own.alias("id")).groupBy("id").count().where("id IS NULL OR count > 1")
+    if odd.isEmpty():
+        return docs.withColumn(ROW_KEY, own)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keys = rows.select(own.alias("id"), "_row").orderBy(F.col("id").asc_nulls_last(), "_row").select(
+        "_row", F.monotonically_increasing_id().alias(ROW_KEY))
+    return materialise(rows.join(materialise(keys, "row-keys"), "_row").drop("_row"), "keyed-rows")
+
+
+def by_row_key(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents with the row key in the place of their id."""
+    return rows.withColumn(id_col, F.col(ROW_KEY)).drop(ROW_KEY)
+
+
 def batches_of(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield from table.cast(schema).to_batches()
 

@@ -1,10 +1,12 @@
+import random
+
 import duckdb
 import pytest
 
 import corpus_pipeline
 from gauntlet.llm import oracle
 from gauntlet.llm.queries import QUERIES
-from llm_helpers import CLASHING, docs, words
+from llm_helpers import CLASHING, docs, prose, words
 from test_llm_ngram_join import brute as brute_components
 
 
@@ -41,6 +43,35 @@ def test_stages_against_their_rules(spark, sf):
     assert [len(r.ids) for r in rows[5].values()] == [r.n_tokens for r in rows[5].values()]
 
 
+def test_rows_without_an_id_or_with_a_repeated_one(spark, sf):
+    rng = random.Random(26)
+    stages, sample = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
+
+    def left(name, rows, more=None):
+        table = docs(spark, rows)
+        if more is not None:
+            table = more.unionByName(table.select(*more.columns))
+        out = stages[name](spark, table, sf)
+        assert out.columns == table.columns
+        return sorted(((r.doc_id, r.text) for r in out.where("doc_id IS NULL OR doc_id >= 9000").collect()), key=str)
+
+    assert left("language_id", [(None, None), (None, ""), (None, "123 456"), (9001, "123 456"), (9001, "123 456"), (9002, None)], sample) == []
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    assert left("near_duplicates", [(9001, one), (9001, one), (None, one), (None, two), (None, two), (9002, two), (9001, three), (None, prose(rng, 3))]
+                )[:3] == sorted([(9001, one), (9002, two), (9001, three)], key=str)
+    assert len(left("near_duplicates", [(None, two), (None, two), (None, three)])) == 2
+    own = [prose(rng, 30) for _ in range(4)]
+    got = left("repeated_passages", [(None, f"{own[0]} {one}"), (9001, f"{own[1]} {one}"), (9001, f"{one} {own[2]}"), (None, own[3])])
+    assert [(i, words(t)) for i, t in got] == sorted(
+        [(None, words(own[0])), (9001, words(f"{own[1]} {one}")), (9001, words(own[2])), (None, words(own[3]))], key=str)
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    assert left("decontamination", [(None, f"{own[0]} {item}"), (None, one), (9001, f"{item} {own[1]}"), (9001, two)]
+                ) == sorted([(None, one), (9001, two)], key=str)
+    table = docs(spark, [(None, one), (9001, one), (9001, one), (None, None)])
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in stages["encoding"](spark, table, sf).collect()) == [
+        ("9001", True), ("9001", True), ("None", False), ("None", True)]
+
+
 def test_run_gives_the_last_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "round_trip", "ids"] and out.count() > 100
