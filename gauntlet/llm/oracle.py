@@ -109,4 +109,48 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM w LEFT JOIN n ON w.r = n.r
 JOIN (SELECT reach.r, min(x.doc_id) AS component_id FROM reach JOIN w x ON reach.other = x.r GROUP BY reach.r) c ON w.r = c.r"""
 
-ORACLE_SQL = {"op3_warc_derivatives": OP3, "op4_lm_scoring": OP4, "op5_url_filter": OP5, "op9_ngram_join": OP9}
+
+
+def _leaf(n_chars: str) -> str:
+    parts = (f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({' || '.join(parts)})"
+
+
+_PAIRS = "list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))"
+#: A sibling with its side in front; a node without one has 'N'.
+_SIDE = "CASE WHEN (pos >> lvl) & 1 = 1 THEN 'L' || h[pos >> lvl] ELSE coalesce('R' || h[(pos >> lvl) + 2], 'N') END"
+
+OP11 = _CRC + f"""
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM (
+        SELECT row_number() OVER () AS r, doc_id, lang, {_leaf('n_chars')} AS leaf,
+               {_leaf('(n_chars + CASE WHEN coalesce(crc32 % 7 = 0, false) THEN 1 ELSE 0 END)')} AS checked
+        FROM documents LEFT JOIN crc USING (doc_id))),
+t(lang, lvl, h) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM l GROUP BY lang
+  UNION ALL SELECT lang, lvl + 1, {_PAIRS} FROM t WHERE len(h) > 1),
+s AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(h) = 1),
+u(lvl, h) AS (SELECT 0, list(subroot ORDER BY pos) FROM s UNION ALL SELECT lvl + 1, {_PAIRS} FROM u WHERE len(h) > 1),
+p AS (SELECT r, 0 AS part, lvl, {_SIDE} AS sibling FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang AND len(h) > 1
+      UNION ALL
+      SELECT r, 1, lvl, {_SIDE.replace('pos', 's.pos')} FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN u ON len(h) > 1),
+w AS (SELECT r, list(sibling ORDER BY part, lvl) AS path FROM p GROUP BY r)
+SELECT l.doc_id, l.leaf, s.subroot, z.root, sha256(array_to_string(list_transform(coalesce(path, []), lambda x: x[2:]), '')) AS proof_sha256,
+       list_reduce(list_prepend(checked, coalesce(path, [])), lambda a, b: CASE b[1] WHEN 'L' THEN sha256(b[2:] || a)
+                   WHEN 'R' THEN sha256(a || b[2:]) ELSE sha256(a) END) AS folded_root,
+       folded_root = z.root AS verified
+FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT h[1] AS root FROM u WHERE len(h) = 1) z ON true LEFT JOIN w ON l.r = w.r"""
+
+OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+      FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5"""
+
+ORACLE_SQL = {"op3_warc_derivatives": OP3, "op4_lm_scoring": OP4, "op5_url_filter": OP5, "op9_ngram_join": OP9,
+              "op11_merkle_manifest": OP11, "op13_hard_negatives": OP13}

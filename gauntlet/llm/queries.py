@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gauntlet.llm import (decontamination, language_id, lm_scoring, ngram_join, quality_classifier,
-                          quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc_derivatives)
+from gauntlet.llm import (decontamination, hard_negatives, language_id, license_scan, lm_scoring, merkle_manifest,
+                          ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, url_filter,
+                          warc_derivatives)
 from gauntlet.llm.common import read_table
 from gauntlet.llm.oracle import ORACLE_SQL  # noqa: F401  (read with QUERIES)
 
@@ -55,7 +56,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.document_manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_warc_derivatives, op4_lm_scoring, op5_url_filter,
                             op6_language_id, op7_decontamination, op8_substring_dedup,
-                            op9_ngram_join, op10_quality_rules)}
+                            op9_ngram_join, op10_quality_rules, op11_merkle_manifest, op12_license_scan,
+                            op13_hard_negatives)}
