@@ -21,7 +21,7 @@ gives an empty result.  Columns beyond those of the leaf are not read, so their
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,32 +72,32 @@ def tree_positions(leaves: DataFrame, tree: str, order: Sequence[Column]) -> Dat
         "_row", "_part", "_own", "_first", "_before", "_tree")
 
 
-def sibling_index(pos: Column, offset: int, arity: int) -> Column:
-    """The position ``offset`` slots further in the run, around its end."""
+def sibling_index(pos: str, offset: int, arity: int) -> str:
+    """SQL for the position ``offset`` slots further in the run, around its end."""
     if arity == 2:
-        return pos.bitwiseXOR(1)
-    return pos - pos % arity + (pos % arity + offset) % arity
+        return f"({pos} ^ 1)"
+    return f"({pos} - {pos} % {arity} + ({pos} + {offset}) % {arity})"
 
 
 def with_siblings(nodes: DataFrame, tree: str, arity: int) -> DataFrame:
-    """Every node joined with its siblings: ``before`` and ``after`` are their digests in order, one after the other."""
-    out = nodes.withColumn("slot", (F.col("pos") % arity).cast("int"))
-    for k in range(1, arity):
-        found = nodes.select(F.col(tree).alias("_tree"), F.col("pos").alias("_pos"), F.col("hash").alias(f"_s{k}"))
-        out = out.withColumn("_want", sibling_index(F.col("pos"), k, arity)).join(
-            found, (F.col("_want") == F.col("_pos")) & F.col(tree).eqNullSafe(F.col("_tree")), "left").drop(
-                "_want", "_pos", "_tree")
-
-    def run(side: Callable[[Column, Column], Column]) -> Column:
-        """The siblings in the slots on one side of a node's own; slot j lies (j - slot) mod arity further on."""
-        held = []
-        for j in range(arity):
-            away = (F.lit(j + arity) - F.col("slot")) % arity
-            held += [F.when(side(F.lit(j), F.col("slot")) & (away == k), F.col(f"_s{k}")) for k in range(1, arity)]
-        return F.concat(*(F.coalesce(h, F.lit(b"")) for h in held))
-
-    return out.withColumns({"before": run(Column.__lt__), "after": run(Column.__gt__)}).drop(
-        *(f"_s{k}" for k in range(1, arity)))
+    """Every node joined with its siblings: ``before`` and ``after`` are their digests in order, one after the other.
+
+    One equijoin per slot offset.  Merge joins: both sides are as large as the level.
+    """
+    offsets = range(1, arity)
+    joins = " ".join(f"LEFT JOIN {{nodes}} s{k} ON s{k}.`{tree}` <=> n.`{tree}` AND s{k}.pos = {sibling_index('n.pos', k, arity)}"
+                     for k in offsets)
+
+    def run(side: str) -> str:
+        """The siblings in the slots on one side of a node's own; slot j is the node's slot plus the offset."""
+        slots = (f"CASE {' '.join(f'WHEN (n.pos + {k}) % {arity} = {j} THEN s{k}.hash' for k in offsets)} END" for j in range(arity))
+        held = ", ".join(f"coalesce(if({j} {side} n.pos % {arity}, {slot}, X''), X'')" for j, slot in enumerate(slots))
+        return f"concat({held})"
+
+    hint = ", ".join(f"s{k}" for k in offsets)
+    return nodes.sparkSession.sql(
+        f"SELECT /*+ MERGE({hint}) */ n.*, n.pos % {arity} AS slot, {run('<')} AS before, {run('>')} AS after FROM {{nodes}} n {joins}",
+        nodes=nodes)
 
 
 def _dealt(nodes: DataFrame, count: int) -> DataFrame:
@@ -118,10 +118,9 @@ def build_levels(leaves: DataFrame, tree: str, arity: int) -> list[tuple[DataFra
         levels.append((level, count))
         if largest == 1:
             break
-        joined = F.concat(hexed(F.col("before")), hexed(F.col("hash")), hexed(F.col("after")))
-        nodes = level.where("slot = 0 AND size > 1").select(
-            tree, F.expr(f"pos DIV {arity}").alias("pos"), F.expr(f"(size + {arity - 1}) DIV {arity}").alias("size"),
-            digest(joined).alias("hash"))
+        nodes = level.where("slot = 0 AND size > 1").selectExpr(
+            f"`{tree}`", f"pos DIV {arity} AS pos", f"(size + {arity - 1}) DIV {arity} AS size",
+            "unhex(sha2(concat(lower(hex(before)), lower(hex(hash)), lower(hex(after))), 256)) AS hash")
         largest, count = -(-largest // arity), count // arity + trees
     return levels
 
@@ -136,22 +135,23 @@ def paths_down(levels: list[tuple[DataFrame, int]], tree: str, arity: int, top:
 
     ``top`` has a row per tree: the tree, ``path`` and columns that all leaves of the tree get.
     """
-    top = top.withColumnRenamed(tree, "_tree")
-    carried = [c for c in top.columns if c not in ("_tree", "path")]
+    carried = "".join(f", p.`{c}`" for c in top.columns if c not in (tree, "path"))
     above = None
     for k in reversed(range(len(levels))):
         level, count = levels[k]
-        mine = F.col(tree).eqNullSafe(F.col("_tree"))
-        out = level.where("size = 1").join(top, mine).drop("_tree")
+        own = [c for c in level.columns if c not in ("before", "after", "slot")] if not k else [tree, "pos"]
+        columns = ", ".join(f"n.`{c}`" for c in own)
+        query = (f"SELECT /*+ MERGE(p) */ {columns}, p.path{carried} FROM {{level}} n JOIN {{top}} p "
+                 f"ON n.`{tree}` <=> p.`{tree}` WHERE n.size = 1")
+        if above is not None:
+            query += (f" UNION ALL SELECT /*+ MERGE(p) */ {columns}, concat(array(struct(n.before, n.after)), p.path){carried} "
+                      f"FROM {{level}} n JOIN {{above}} p ON n.`{tree}` <=> p.`{tree}` AND n.pos DIV {arity} = p.pos WHERE n.size > 1")
+        sides = {"level": _dealt(level, count), "top": _dealt(top, count)}
         if above is not None:
-            parents = above.select(F.col(tree).alias("_tree"), F.col("pos").alias("_up"), "path", *carried)
-            below = level.where("size > 1").withColumn("_run", F.expr(f"pos DIV {arity}"))
-            own = F.array(F.struct("before", "after"))
-            out = out.unionByName(below.join(parents, (F.col("_run") == F.col("_up")) & mine).withColumn(
-                "path", F.concat(own, F.col("path"))).drop("_up", "_run", "_tree"))
-        out = out.drop("before", "after", "slot")
+            sides["above"] = _dealt(above, count)
+        out = level.sparkSession.sql(query, **sides)
         if k:
-            above = materialise(_dealt(out.select(tree, "pos", "path", *carried), count), f"merkle-paths-{k}")
+            above = materialise(_dealt(out, count), f"merkle-paths-{k}")
     return out
 
 
