@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from gauntlet.plans.catalog import PROMPT_HEADER, QUERIES
 from gauntlet.plans.oracle import HEADER_CHARS, ORACLE_SQL
 from gauntlet.session import scratch_dir

@@ -6,7 +6,7 @@ import statistics
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry_mod
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from gauntlet.sources.fixtures import DEVICES
 from gauntlet.sources.tables import fixture
 from test_aggregates import py_pct

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from gauntlet.plans.catalog import QUERIES
 
 # keys whose plans may run Python: the parse check (and the jobs built on it)

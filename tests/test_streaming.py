@@ -34,7 +34,7 @@ def test_late_rows_dropped_and_open_window_withheld(spark):
 
 
 def test_attempt_stream_matches_batch(spark):
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
     from pyspark.sql import functions as F
     from gauntlet.functions.classify import classify_gen_failure
     from gauntlet.sources.tables import fixture

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from gauntlet.functions import rewrite as R
 from gauntlet.operators import variants as V
 from gauntlet.sources.tables import fixture
