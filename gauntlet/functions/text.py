@@ -27,6 +27,8 @@ WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\
                "\u2028\u2029\u202f\u205f\u3000")
 # line breaks recognised by Python's str.splitlines
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+# characters that Python's repr does not show as they are
+UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
 # ---------------------------------------------------------------------------
 
 
@@ -88,6 +90,31 @@ def reply_preview(c) -> Column:
     return F.translate(F.left(_c(c), F.lit(PREVIEW_CHARS)), "\n", "|")
 
 
+def python_repr(c) -> Column:
+    """The text of Python's ``repr`` of a string.
+
+    Double quotes where it holds a single quote and no double one; the quote,
+    backslash, tab and line breaks as backslash escapes; characters that
+    Python does not print (controls, formats, separators other than the
+    blank, unassigned) by their code point.
+    """
+    c = _c(c)
+    quote = F.when(c.contains("'") & ~c.contains('"'), F.lit('"')).otherwise(F.lit("'"))
+
+    def one(ch: Column) -> Column:
+        number = F.ascii(ch)
+        code = lambda mark, digits: F.concat(F.lit(mark), F.lpad(F.lower(F.hex(number)), digits, "0"))
+        return (F.when((ch == "\\") | (ch == quote), F.concat(F.lit("\\"), ch))
+                .when(ch == "\t", F.lit("\\t")).when(ch == "\n", F.lit("\\n")).when(ch == "\r", F.lit("\\r"))
+                .when(F.rlike(ch, F.lit(UNPRINTABLE)), F.when(number < 256, code("\\x", 2)).when(number < 65536, code("\\u", 4))
+                      .otherwise(code("\\U", 8)))
+                .otherwise(ch))
+
+    characters = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    body = F.when(F.rlike(c, F.lit(r"[\\'\"]|" + UNPRINTABLE)), F.array_join(F.transform(characters, one), "")).otherwise(c)
+    return F.concat(quote, body, quote)
+
+
 def instruction_preview(c) -> Column:
     return F.left(_c(c), F.lit(INSTRUCTION_PREVIEW_CHARS))
 
@@ -110,9 +137,14 @@ def splitlines(c) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
 
 
+def is_noise_line(c) -> Column:
+    """A stderr line that is left out of the summary."""
+    return _c(c).contains("ZeroDivisionError") | _c(c).contains("avg")
+
+
 def drop_noise_lines(c) -> Column:
     """Lines without ``ZeroDivisionError`` or ``avg``, re-joined by LF; null if none."""
-    kept = F.filter(splitlines(c), lambda x: ~(x.contains("ZeroDivisionError") | x.contains("avg")))
+    kept = F.filter(splitlines(c), lambda x: ~is_noise_line(x))
     return F.when(F.size(kept) > 0, F.array_join(kept, "\n"))
 
 

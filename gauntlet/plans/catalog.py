@@ -754,12 +754,16 @@ def _evaluation_summary(spark, sf, with_generation: bool):
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run_order"),
         F.concat(F.lit("run_"), (F.col("o_custkey") % 4).cast("string")).alias("run_id"))
-    lines = fx(spark, sf, "speedup_lines").withColumnRenamed("run_id", "run_order").join(orders, "run_order")
+    stdout = fx(spark, sf, "speedup_lines").withColumnRenamed("run_id", "run_order").join(orders, "run_order")
+    stderr = fx(spark, sf, "efficiency_stderr").withColumn("run_order", F.lit(0).cast("bigint"))
+    lines = stdout.withColumn("stream", F.lit("stdout")).unionByName(stderr.withColumn("stream", F.lit("stderr")))
+    # none of run_3's perf scripts ended well
+    runlogs = fx(spark, sf, "runlogs").withColumn("returncode", F.when(F.col("run_id") == "run_3", F.lit(1)).otherwise(F.col("returncode")))
     generation = None
     if with_generation:
         generation = J.generation_sidecar(_run_replies(spark, sf), ["run_id"])
     return J.evaluation_report(_items(spark, sf), _probes(spark, sf), fx(spark, sf, "devices"), _passed1(),
-                               _passed2(), lines, ["run_order", "line_no"], generation)
+                               _passed2(), lines, ["run_order", "line_no"], generation, runlogs, fx(spark, sf, "phase_log"))
 
 
 def q_job_evaluation_report(spark, sf):

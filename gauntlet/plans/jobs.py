@@ -46,7 +46,7 @@ def generation_items(replies: DataFrame) -> DataFrame:
         staged = staged.withColumn("prompt_tokens", F.lit(None).cast("bigint"))
     message = (F.when(blank, F.lit(EMPTY_REPLY_MESSAGE))
                .when(F.col("_status") == "syntax",
-                     F.concat(F.lit(SYNTAX_MESSAGE_PREFIX + "'"), X.reply_preview("reply"), F.lit("'")))
+                     F.concat(F.lit(SYNTAX_MESSAGE_PREFIX), X.python_repr(X.reply_preview("reply"))))
                .when(F.col("_status") == "other", F.lit("unexpected parser error")))
     return (staged.withColumn("_message", message)
             .withColumn("fail_reason", F.when(F.col("_message").isNotNull(), C.classify_gen_failure("_message")))
@@ -164,20 +164,37 @@ def _survivor_flags(items: DataFrame, *listings):
 
 
 def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, passed1: Column, passed2: Column,
-                      lines: DataFrame, line_order: list[str], generation: DataFrame | None = None) -> DataFrame:
+                      lines: DataFrame, line_order: list[str], generation: DataFrame | None = None,
+                      runlogs: DataFrame | None = None, phase_log: DataFrame | None = None) -> DataFrame:
     """J2 (and J4 when ``generation`` is None): one flat summary row per run.
 
     ``items``: run_id, kernel_id, predict, test; ``passed1`` / ``passed2``: the
     phase survivor listings, either DataFrames of (run_id, kernel_id) or
     Columns evaluated on the items; ``probes``: run_id, kernel_id, seq, returncode, stderr;
     ``devices``: run_id, gpu, compute_cap; ``lines``: run_id, ``line_order``
-    columns and line (the phase-3 stdout); ``generation``: run_id and the
-    ``generation_sidecar`` columns, or None for bring-your-own predictions.
+    columns, line and optionally stream (``stdout`` or ``stderr``): what the
+    phase-3 speed-up tool wrote; ``generation``: run_id and the
+    ``generation_sidecar`` columns, or None for bring-your-own predictions;
+    ``runlogs``: run_id, returncode, duration_s of each perf script;
+    ``phase_log``: run_id, phase, started_s, ended_s.
+
+    With ``runlogs`` the phase-3 block is gated as the scripts went: a run
+    without survivors, or whose scripts were all skipped, was not measured.
+    It has no speed-ups and the reason as its output.  Without ``runlogs``
+    every run with lines counts as measured.
     """
     items, passed1, passed2 = _survivor_flags(items, passed1, passed2)
     base = funnel_rates(run_counts(items, passed1, passed2))
-    ratios = ST.ratio_stats(EF.parse_speedups(lines), ["run_id"], "ratio").drop("n_nonpositive")
-    mean = EF.reported_mean(lines, ["run_id"], line_order)
+    status = None
+    if runlogs is not None:
+        status = EF.perf_completion(base.select("run_id", F.col("phase2_passed").alias("survivors")), runlogs)
+        lines = lines.join(status.where(F.col("status") == EF.MEASURED), "run_id", "left_semi")
+    if "stream" not in lines.columns:
+        lines = lines.withColumn("stream", F.lit("stdout"))
+    stdout = lines.where(F.col("stream") == "stdout")
+    ratios = ST.ratio_stats(EF.parse_speedups(stdout), ["run_id"], "ratio").drop("n_nonpositive")
+    mean = EF.reported_mean(stdout, ["run_id"], line_order)
+    tails = EF.output_tails(lines, ["run_id"], line_order)
     # one pass over the failure dataset: counts per (run, type, hardware), then both summaries
     per_type = (FN.failure_dataset(items, probes, devices, passed1, passed2)
                 .groupBy("run_id", "failure_type", "is_hardware_failure").agg(F.count(F.lit(1)).alias("_n")))
@@ -185,7 +202,17 @@ def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, p
         F.sum("_n").alias("total_failures"),
         F.coalesce(F.sum(F.when(F.col("is_hardware_failure"), F.col("_n"))), F.lit(0)).alias("hardware_failures"),
         ST.map_text(F.map_from_entries(F.collect_list(F.struct("failure_type", "_n")))).alias("failures_by_type"))
-    out = base.join(mean, "run_id", "left").join(ratios, "run_id", "left").join(fa, "run_id", "left")
+    out = base.join(mean, "run_id", "left").join(ratios, "run_id", "left").join(fa, "run_id", "left").join(
+        tails, "run_id", "left")
+    if status is not None:
+        out = out.join(status.select("run_id", "n_scripts", "n_skipped", F.col("status").alias("phase3_status")), "run_id", "left")
+    else:
+        out = out.withColumns({"n_scripts": F.lit(None).cast("bigint"), "n_skipped": F.lit(None).cast("bigint"), "phase3_status": F.when(
+            F.col("raw_output_tail").isNotNull(), F.lit(EF.MEASURED))})
+    if phase_log is not None:
+        out = out.join(EF.phase_timings(phase_log), "run_id", "left")
+    else:
+        out = out.withColumns({f"{p}_s": F.lit(None).cast("double") for p in EF.PHASES})
     if generation is not None:
         out = out.join(generation, "run_id", "left")
     else:
@@ -202,7 +229,11 @@ def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, p
         "max_speedup", "pct_faster_than_pytorch", zero("total_failures"), zero("hardware_failures"),
         (total - hw).cast("bigint").alias("code_failures"),
         F.coalesce(F.col("failures_by_type"), F.lit("")).alias("failures_by_type"),
-        "gen_latency_p50", "gen_latency_p95", "gen_total_completion", "gen_failures_by_reason")
+        "gen_latency_p50", "gen_latency_p95", "gen_total_completion", "gen_failures_by_reason",
+        "n_scripts", "n_skipped", "phase3_status",
+        F.when(F.col("phase3_status") != EF.MEASURED, F.col("phase3_status"))
+        .otherwise(F.coalesce("raw_output_tail", F.lit(""))).alias("raw_output_tail"),
+        *(f"{p}_s" for p in EF.PHASES))
 
 
 def summary_document(report: DataFrame) -> DataFrame:
@@ -223,7 +254,8 @@ def summary_document(report: DataFrame) -> DataFrame:
         F.struct(F.col("phase2_passed").alias("passed"), F.col("phase2_rate").alias("rate"),
                  F.col("phase2_rate_among_phase1").alias("rate_among_phase1")).alias("phase2_exec_acc"),
         F.struct("mean_speedup", "n_kernels_measured", "geomean_speedup", "median_speedup", "min_speedup",
-                 "max_speedup", "pct_faster_than_pytorch").alias("phase3_efficiency"),
+                 "max_speedup", "pct_faster_than_pytorch", "raw_output_tail").alias("phase3_efficiency"),
+        F.struct(*(f"{p}_s" for p in EF.PHASES)).alias("timing_s"),
         generation.alias("generation"),
         F.struct("total_failures", "hardware_failures", "code_failures", by_type.alias("by_type"))
         .alias("failure_analysis"))

@@ -320,9 +320,19 @@ BY_REASON = ("CASE WHEN gen_failures_by_reason = '' THEN '{}' ELSE '{' || list_r
              "|| '\":' || split_part(e, '=', 2)), lambda a, b: a || ',' || b) || '}' END")
 
 # Blank replies (shape 11) and replies that do not parse (shape 10) fail
+def repr_sql(s: str) -> str:
+    """Python's repr of a string: quotes chosen by content, unprintable characters as escapes."""
+    quote = f"CASE WHEN contains({s}, chr(39)) AND NOT contains({s}, chr(34)) THEN chr(34) ELSE chr(39) END"
+    one = (f"CASE WHEN c IN (chr(92), {quote}) THEN chr(92) || c WHEN c = chr(9) THEN '\\t' WHEN c = chr(10) THEN '\\n' "
+           "WHEN c = chr(13) THEN '\\r' WHEN c <> ' ' AND regexp_matches(c, '[\\p{C}\\p{Z}]') THEN CASE WHEN unicode(c) < 256 "
+           "THEN '\\x' || printf('%02x', unicode(c)) WHEN unicode(c) < 65536 THEN '\\u' || printf('%04x', unicode(c)) "
+           "ELSE '\\U' || printf('%08x', unicode(c)) END ELSE c END")
+    return f"{quote} || array_to_string(list_transform(string_split({s}, ''), lambda c: {one}), '') || {quote}"
+
+
 GEN_MESSAGE = ("CASE WHEN blank THEN 'generation failed after 2 retries: API returned empty content (model at capacity)' "
-               "WHEN idx % 12 = 10 THEN 'SyntaxError after fence-strip — raw preview: ' || chr(39) "
-               "|| translate(left(reply, 300), chr(10), '|') || chr(39) END")
+               "WHEN idx % 12 = 10 THEN 'SyntaxError after fence-strip — raw preview: ' || "
+               + repr_sql("translate(left(reply, 300), chr(10), '|')") + " END")
 
 
 def generation_sql(key: str, name: str) -> str:
@@ -358,7 +368,20 @@ counts AS (SELECT run_id, CAST(count_if(starts_with({ustrip('predict')}, '# gene
   CAST(count_if(NOT starts_with({ustrip('predict')}, '# generation failed')) AS BIGINT) AS usable_predictions
   FROM kernels GROUP BY run_id),
 ordrun AS (SELECT o_orderkey, 'run_' || (o_custkey % 4) AS run_id FROM orders),
-lines AS (SELECT o.run_id, l.run_id AS run_order, l.line_no, l.line FROM speedup_lines l JOIN ordrun o ON o.o_orderkey = l.run_id),
+perf AS (SELECT run_id, CAST(count(*) AS BIGINT) AS n_scripts, CAST(count_if(run_id = 'run_3' OR returncode IS NULL OR returncode <> 0
+    OR coalesce(duration_s > 60, false)) AS BIGINT) AS n_skipped FROM runlogs GROUP BY run_id),
+status AS (SELECT f.run_id, coalesce(n_scripts, 0) AS n_scripts, coalesce(n_skipped, 0) AS n_skipped,
+    CASE WHEN phase2_passed = 0 THEN 'skipped (no surviving operators)' WHEN coalesce(n_scripts, 0) = coalesce(n_skipped, 0)
+    THEN 'skipped: all perf scripts failed or timed out (' || coalesce(n_skipped, 0) || '/' || coalesce(n_scripts, 0) || ' skipped)'
+    ELSE 'measured' END AS phase3_status FROM funnel f LEFT JOIN perf USING (run_id)),
+lines AS (SELECT o.run_id, l.run_id AS run_order, l.line_no, l.line FROM speedup_lines l JOIN ordrun o ON o.o_orderkey = l.run_id
+  JOIN status s ON s.run_id = o.run_id AND phase3_status = 'measured'),
+output AS (SELECT run_id, string_agg(line || chr(10), '' ORDER BY run_order, line_no, line) AS stdout FROM lines GROUP BY run_id),
+errors AS (SELECT run_id, chr(10) || '[stderr]' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) AS stderr
+  FROM efficiency_stderr WHERE NOT contains(line, 'ZeroDivisionError') AND NOT contains(line, 'avg') GROUP BY run_id),
+spent AS (SELECT run_id, round(max(ended_s - started_s) FILTER (phase = 'phase1_call_acc'), 1) AS phase1_call_acc_s,
+  round(max(ended_s - started_s) FILTER (phase = 'phase2_exec_acc'), 1) AS phase2_exec_acc_s,
+  round(max(ended_s - started_s) FILTER (phase = 'phase3_efficiency'), 1) AS phase3_efficiency_s FROM phase_log GROUP BY run_id),
 ratios AS (SELECT run_id, CAST(regexp_extract(line, '{SPEEDUP}', 2) AS DOUBLE) AS x FROM lines
   WHERE regexp_matches(line, '{SPEEDUP}')),
 rstats AS (SELECT run_id, CAST(count(*) AS BIGINT) AS n_kernels_measured,
@@ -381,8 +404,12 @@ summary AS (SELECT f.run_id, f.total_predictions, c.generation_failures, c.usabl
   coalesce(a.hardware_failures, 0) AS hardware_failures,
   CAST(coalesce(a.total_failures, 0) - coalesce(a.hardware_failures, 0) AS BIGINT) AS code_failures,
   coalesce(b.failures_by_type, '') AS failures_by_type, g.latency_p50 AS gen_latency_p50,
-  g.latency_p95 AS gen_latency_p95, g.total_completion AS gen_total_completion, CASE WHEN g.run_id IS NOT NULL THEN coalesce(g.failures_by_reason, '') END AS gen_failures_by_reason
-  FROM funnel f JOIN counts c USING (run_id) LEFT JOIN means m USING (run_id) LEFT JOIN rstats r USING (run_id)
+  g.latency_p95 AS gen_latency_p95, g.total_completion AS gen_total_completion, CASE WHEN g.run_id IS NOT NULL THEN coalesce(g.failures_by_reason, '') END AS gen_failures_by_reason,
+  s.n_scripts, s.n_skipped, s.phase3_status, CASE WHEN s.phase3_status <> 'measured' THEN s.phase3_status
+    ELSE right(coalesce(o.stdout, '') || coalesce(e.stderr, ''), 2000) END AS raw_output_tail,
+  t.phase1_call_acc_s, t.phase2_exec_acc_s, t.phase3_efficiency_s
+  FROM funnel f JOIN status s USING (run_id) LEFT JOIN output o USING (run_id) LEFT JOIN errors e USING (run_id)
+  LEFT JOIN spent t USING (run_id) JOIN counts c USING (run_id) LEFT JOIN means m USING (run_id) LEFT JOIN rstats r USING (run_id)
   LEFT JOIN fa a USING (run_id) LEFT JOIN bytype b USING (run_id) LEFT JOIN gen g USING (run_id))
 """
     return [body]
@@ -594,7 +621,7 @@ FROM msum LEFT JOIN samples USING (mutation_type) WHERE applicability_rate < 0.5
     unp = "\nUNION ALL ".join(
         f"SELECT run_id, '{m}' AS metric, {('CAST(' + c + ' AS DOUBLE)') if c else 'CAST(NULL AS DOUBLE)'} AS value, {BY_REASON if not c else 'CAST(NULL AS VARCHAR)'} AS detail FROM summary"
         for m, c in METRICS)
-    q["metric_report"] = ev(unp, ("speedup_lines", "replies"), evaluation_summary(True))
+    q["metric_report"] = ev(unp, ("speedup_lines", "replies", "runlogs", "efficiency_stderr", "phase_log"), evaluation_summary(True))
 
     # ---- E / F / G
     q["progress_running"] = """SELECT run_id, event_id, done, failures FROM (
@@ -645,9 +672,10 @@ SELECT model, n_items, failures_total, failures_by_reason, latency_p50, latency_
     cols = ("run_id, total_predictions, generation_failures, usable_predictions, phase1_passed, phase1_rate, phase2_passed, "
             "phase2_rate, phase2_rate_among_phase1, mean_speedup, n_kernels_measured, geomean_speedup, median_speedup, "
             "min_speedup, max_speedup, pct_faster_than_pytorch, total_failures, hardware_failures, code_failures, "
-            "failures_by_type, gen_latency_p50, gen_latency_p95, gen_total_completion, gen_failures_by_reason")
-    q["job_evaluation_report"] = ev(f"SELECT {cols} FROM summary", ("speedup_lines", "replies"), evaluation_summary(True))
-    q["job_evaluate_only"] = ev(f"SELECT {cols} FROM summary", ("speedup_lines", "replies"), evaluation_summary(False))
+            "failures_by_type, gen_latency_p50, gen_latency_p95, gen_total_completion, gen_failures_by_reason, n_scripts, n_skipped, "
+            "phase3_status, raw_output_tail, phase1_call_acc_s, phase2_exec_acc_s, phase3_efficiency_s")
+    q["job_evaluation_report"] = ev(f"SELECT {cols} FROM summary", ("speedup_lines", "replies", "runlogs", "efficiency_stderr", "phase_log"), evaluation_summary(True))
+    q["job_evaluate_only"] = ev(f"SELECT {cols} FROM summary", ("speedup_lines", "replies", "runlogs", "efficiency_stderr", "phase_log"), evaluation_summary(False))
     return q
 
 

@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        # the output tail of a run takes up to 2000 lines; groups are limited before the shuffle up to this rank
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "2000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("GAUNTLET_DRIVER_MEMORY", "8g"))

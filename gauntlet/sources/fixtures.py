@@ -150,6 +150,20 @@ SELECT 'run_' || (o_custkey % 4) AS run_id, 'k' || o_orderkey || '_perf.py' AS s
   CASE WHEN o_custkey % 4 = 3 OR o_orderkey % 2 = 1 THEN 'tmp' ELSE 'perf_results' END AS location
 FROM orders WHERE o_orderstatus = 'P'"""
 
+# what the speed-up tool of a run wrote to stderr, as rows (run_2 and run_3: nothing), and the phases' start and end
+FIXTURE_SQL["efficiency_stderr"] = """\
+SELECT 'run_' || (o_custkey % 4) AS run_id, o_orderkey AS line_no,
+  CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'ZeroDivisionError: division by zero' WHEN 1 THEN 'avg: n/a'
+    WHEN 2 THEN 'RuntimeError: kernel ' || o_orderkey || ' failed ' || repeat('=', CAST(o_orderkey % 3 AS INT) * 70)
+    WHEN 3 THEN '' ELSE 'warning: slow path' END AS line
+FROM orders WHERE o_orderstatus = 'P' AND (o_custkey % 4 = 0 OR (o_custkey % 4 = 1 AND o_orderkey % 500 < 8))"""
+
+FIXTURE_SQL["phase_log"] = """\
+SELECT 'run_' || (o_custkey % 4) AS run_id,
+  CASE o_orderstatus WHEN 'F' THEN 'phase1_call_acc' WHEN 'O' THEN 'phase2_exec_acc' ELSE 'phase3_efficiency' END AS phase,
+  min(o_orderkey) / 7 AS started_s, max(o_orderkey) / 7 AS ended_s
+FROM orders WHERE o_custkey % 4 <> 2 OR o_orderstatus <> 'P' GROUP BY 1, 2"""
+
 FIXTURE_SQL["devices"] = """\
 SELECT run_id, gpu, compute_cap FROM (VALUES ('run_0', 'Tesla T4', '7.5'), ('run_1', 'NVIDIA A10', '8.6'),
   ('run_2', 'NVIDIA L4', '8.9'), ('run_3', 'Tesla T4', '7.5')) AS d(run_id, gpu, compute_cap)"""
@@ -160,6 +174,6 @@ FIXTURE_TABLES: dict[str, tuple[str, ...]] = {
     "tasks": ("documents",), "replies": ("documents",), "attempts": ("events",),
     "probes": ("orders",), "speedup_lines": ("lineitem",), "gold": ("part",),
     "mutation_outcomes": ("part",), "timings": ("lineitem",), "kernels": ("orders",),
-    "runlogs": ("orders",), "devices": (),
+    "runlogs": ("orders",), "efficiency_stderr": ("orders",), "phase_log": ("orders",), "devices": (),
 }
 
