@@ -74,52 +74,65 @@ def last_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.join(top, [*keys, seq], "left_semi")
 
 
-def retry_outcome(attempts: DataFrame, keys: list[str], max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Replay the attempt ledger per item (attempts 0..max_attempts-1; later ones are counted as ignored).
+def attempt_verdicts(attempts: DataFrame) -> DataFrame:
+    """Row-local part of E2: ``ok``, ``terminal``, ``wait_s`` and the ``message`` an item would end with.
 
-    Per attempt: ``ok`` ends with success; a daily-quota rate limit ends with
-    the quota message; other rate limits wait for the reset token (else
-    backoff); empty replies and 503/529 wait the backoff; other statuses end
-    with the original error.  Without a terminal attempt the item fails after
-    all attempts, and the last wait is still spent.
+    ``ok`` ends with success; a daily-quota rate limit ends with the quota
+    message; other rate limits wait for the reset token (else backoff); empty
+    replies and 503/529 wait the backoff; other statuses end with the original
+    error.
     """
-    late = (F.col("attempt") >= max_attempts).cast("int")
-    a = attempts.withColumn("attempts_ignored", F.sum(late).over(Window.partitionBy(*keys)).cast("int")).where(
-        F.col("attempt") < max_attempts)
     kind, msg, status = F.col("kind"), F.coalesce(F.col("message"), F.lit("")), F.col("status_code")
     quota = (kind == "rate_limit") & msg.contains("free-models-per-day")
     transient = F.coalesce(status.isin(503, 529), F.lit(False))
-    terminal = (kind == "ok") | quota | ((kind == "status") & ~transient)
+    ok = F.coalesce(kind == "ok", F.lit(False))
+    terminal = F.coalesce(ok | quota | ((kind == "status") & ~transient), F.lit(False))
     backoff = backoff_delay(F.col("attempt"))
     wait = (F.when(terminal, F.lit(0.0))
             .when(kind == "rate_limit", reset_delay(msg, F.col("at_ms"), backoff))
             .otherwise(backoff))
-    final_msg = (F.when(kind == "ok", F.lit(None).cast("string"))
-                 .when(quota, F.concat(F.lit("daily free quota exhausted for this API key: "), msg))
-                 .otherwise(msg))
+    final = (F.when(ok, F.lit(None).cast("string"))
+             .when(quota, F.concat(F.lit("daily free quota exhausted for this API key: "), msg))
+             .otherwise(msg))
+    return attempts.withColumns({"ok": ok, "terminal": terminal, "wait_s": wait, "message": final})
+
+
+def ledger_outcome(last: DataFrame, keys: list[str], max_attempts: int = MAX_ATTEMPTS, *more: str) -> DataFrame:
+    """E2 outcome of items from the verdict on their last attempt.
+
+    ``last``: keys, ok, terminal, message, status_code, attempts_used,
+    attempts_ignored, total_wait_s.  Without a terminal attempt the item
+    failed after all attempts.
+    """
+    message = (F.when(F.col("ok"), F.lit(None).cast("string"))
+               .when(F.col("terminal"), F.col("message"))
+               .otherwise(F.concat(F.lit(f"generation failed after {max_attempts} retries: "), F.col("message"))))
+    reason = classify_gen_failure(message, F.when(F.col("terminal"), F.col("status_code")))
+    return last.select(
+        *keys, F.when(F.col("ok"), F.lit("success")).otherwise(F.lit("failed")).alias("outcome"),
+        "attempts_used", "attempts_ignored", round_to("total_wait_s", 3).alias("total_wait_s"),
+        message.alias("final_message"), F.when(~F.col("ok"), reason).alias("reason"), *more)
+
+
+def retry_outcome(attempts: DataFrame, keys: list[str], max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Replay the attempt ledger per item (attempts 0..max_attempts-1; later ones are counted as ignored).
+
+    Attempts count up to the first terminal one (``attempt_verdicts``).
+    Without one the item fails after all attempts, and the last wait is still
+    spent.
+    """
+    late = (F.col("attempt") >= max_attempts).cast("int")
+    a = attempts.withColumn("attempts_ignored", F.sum(late).over(Window.partitionBy(*keys)).cast("int")).where(
+        F.col("attempt") < max_attempts)
     # one exchange and one sort: every window below shares (keys, attempt)
     order = Window.partitionBy(*keys).orderBy("attempt")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    steps = (a.withColumn("_terminal", terminal).withColumn("_wait", wait)
-             .withColumn("_msg", final_msg).withColumn("_status", status)
-             .withColumn("_ended_before", F.coalesce(F.max(F.col("_terminal").cast("int")).over(before), F.lit(0)))
+    steps = (attempt_verdicts(a)
+             .withColumn("_ended_before", F.coalesce(F.max(F.col("terminal").cast("int")).over(before), F.lit(0)))
              .where(F.col("_ended_before") == 0))
     last = (steps.withColumn("attempts_used", F.count(F.lit(1)).over(whole).cast("int"))
-            .withColumn("total_wait_s", F.sum("_wait").over(whole))
+            .withColumn("total_wait_s", F.sum("wait_s").over(whole))
             .withColumn("_is_last", F.lead("attempt").over(order).isNull())
             .where(F.col("_is_last")))
-    success = F.col("kind") == "ok"
-    message = (F.when(success, F.lit(None).cast("string"))
-               .when(F.col("_terminal"), F.col("_msg"))
-               .otherwise(F.concat(F.lit(f"generation failed after {max_attempts} retries: "), F.col("_msg"))))
-    status_for_reason = F.when(F.col("_terminal"), F.col("_status"))
-    return last.select(
-        *keys,
-        F.when(success, F.lit("success")).otherwise(F.lit("failed")).alias("outcome"),
-        "attempts_used", "attempts_ignored",
-        round_to("total_wait_s", 3).alias("total_wait_s"),
-        message.alias("final_message"),
-        F.when(success, F.lit(None).cast("string"))
-        .otherwise(classify_gen_failure(message, status_for_reason)).alias("reason"),
-    )
+    return ledger_outcome(last, keys, max_attempts)

@@ -699,6 +699,22 @@ def q_progress_running(spark, sf):
     return out.select("run_id", "event_id", _bigint("done").alias("done"), _bigint("failures").alias("failures"))
 
 
+def q_progress_probes(spark, sf):
+    """E1 at the probes' step: each run's probes in the order of the listing."""
+    p = _probes(spark, sf).select(*FN.KEYS, "seq", (F.coalesce(F.col("returncode"), F.lit(-1)) != 0).alias("failed"))
+    out = PG.progress_checkpoints(p, ["run_id"], ["kernel_id", "seq"], "failed", PROGRESS_EVERY["probe"])
+    return out.select(*FN.KEYS, "seq", _bigint("done").alias("done"), _bigint("failures").alias("failures"))
+
+
+def q_progress_kernels(spark, sf):
+    """E1 at the mutation job's step: kernels done per device, with the validated rows so far."""
+    validated = _mutation_rows(spark, sf).groupBy("kernel_id", "gpu").agg(F.count_if("validated").alias("validated"))
+    gpus = F.explode(F.array(*[F.lit(gpu) for gpu, _ in DEVICES])).alias("gpu")
+    kernels = _gold(spark, sf).select("kernel_id", gpus).join(validated, ["kernel_id", "gpu"], "left")
+    out = PG.progress_checkpoints(kernels, ["gpu"], ["kernel_id"], "validated", PROGRESS_EVERY["mutate"])
+    return out.select("gpu", "kernel_id", _bigint("done").alias("done"), _bigint("failures").alias("validated"))
+
+
 def q_retry_outcome(spark, sf):
     return PG.retry_outcome(fx(spark, sf, "attempts"), ["run_id", "item"])
 
@@ -789,6 +805,24 @@ def q_stream_progress(spark, sf):
     return windowed_progress(spark, sf)
 
 
+def q_stream_run_progress(spark, sf):
+    """H1 with a run key: live progress at the steps 10, 20 and 5."""
+    from gauntlet.streaming.stateful import progress_runs
+    return progress_runs(spark, sf, tuple(PROGRESS_EVERY.values()))
+
+
+def q_stream_ledger(spark, sf):
+    """E2 live: items of the ledger as they close."""
+    from gauntlet.streaming.stateful import ledger
+    return ledger(spark, sf)
+
+
+def q_stream_order_restore(spark, sf):
+    """C9 live: slots with their results, which come in any order."""
+    from gauntlet.streaming.stateful import order_restored
+    return order_restored(spark, sf)
+
+
 def q_stream_attempts(spark, sf):
     from gauntlet.streaming.classify import stream_attempt_failures
     return stream_attempt_failures(spark, sf)

@@ -631,6 +631,40 @@ FROM msum LEFT JOIN samples USING (mutation_type) WHERE applicability_rate < 0.5
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS failures,
     count(*) OVER (PARTITION BY user_id % 4) AS total FROM events)
 WHERE done % 10 = 0 OR done = total"""
+    steps = "(SELECT unnest([10, 20, 5])::INT AS step)"
+    q["stream_run_progress"] = f"""SELECT run_id, event_id, step, done, failures FROM (
+  SELECT 'run_' || (user_id % 4) AS run_id, event_id,
+    CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS BIGINT) AS done,
+    CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS failures FROM events) JOIN {steps} ON done % step = 0"""
+    q["progress_probes"] = fxs(["probes"], """SELECT run_id, kernel_id, seq, done, failures FROM (
+  SELECT run_id, kernel_id, seq, CAST(row_number() OVER w AS BIGINT) AS done,
+    CAST(sum(CASE WHEN coalesce(returncode, -1) <> 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS failures,
+    count(*) OVER (PARTITION BY run_id) AS total
+  FROM probes WINDOW w AS (PARTITION BY run_id ORDER BY kernel_id, seq ROWS UNBOUNDED PRECEDING))
+WHERE done % 20 = 0 OR done = total""")
+    q["progress_kernels"] = mut("""SELECT gpu, kernel_id, done, validated FROM (
+  SELECT gpu, kernel_id, CAST(row_number() OVER w AS BIGINT) AS done, CAST(sum(v) OVER w AS BIGINT) AS validated,
+    count(*) OVER (PARTITION BY gpu) AS total
+  FROM (SELECT d.gpu, g.kernel_id, count_if(m.validated) AS v FROM gold g CROSS JOIN devs d
+        LEFT JOIN mrows m ON m.kernel_id = g.kernel_id AND m.gpu = d.gpu GROUP BY ALL)
+  WINDOW w AS (PARTITION BY gpu ORDER BY kernel_id ROWS UNBOUNDED PRECEDING))
+WHERE done % 5 = 0 OR done = total""")
+    # an item is closed by a terminal attempt, by its last one, or 10 minutes before a watermark that lags by 10
+    q["stream_ledger"] = ("WITH " + f"""attempts AS (SELECT * FROM (
+{FIXTURE_SQL['attempts']}
+) WHERE NOT (item % 9 = 4 AND attempt = 1)),
+""" + LEDGER.strip() + """
+SELECT l.run_id, l.item, outcome, attempts_used, 0::INT AS attempts_ignored, total_wait_s, final_message, reason
+FROM ledger l JOIN (SELECT run_id, item, count(*) AS n, max(at_ms) AS last_ms FROM attempts GROUP BY ALL) x
+  ON x.run_id = l.run_id AND x.item = l.item
+WHERE n = 2 OR outcome = 'success' OR NOT starts_with(final_message, 'generation failed after')
+  OR last_ms + 1200000 <= (SELECT max(at_ms) FROM attempts)""")
+    q["stream_order_restore"] = fxs(["attempts"], """SELECT s.run_id, s.item AS idx, r.kind
+FROM (SELECT * FROM attempts WHERE attempt = 0) s
+LEFT JOIN (SELECT * FROM attempts WHERE attempt = 1 AND item % 7 <> 3) r ON r.run_id = s.run_id AND r.item = s.item
+WHERE r.item IS NOT NULL OR s.at_ms + 1800000 < (SELECT least(max(at_ms) FILTER (attempt = 0),
+  max(at_ms + item % 5 * 60000) FILTER (attempt = 1 AND item % 7 <> 3)) FROM attempts) - 600000""")
     q["retry_outcome"] = sql(["attempts"], [LEDGER], """
 SELECT l.run_id, l.item, outcome, attempts_used, CAST(coalesce(x.n, 0) AS INTEGER) AS attempts_ignored, total_wait_s, final_message, reason
 FROM ledger l LEFT JOIN (SELECT run_id, item, count(*) AS n FROM attempts WHERE attempt >= 2 GROUP BY ALL) x
