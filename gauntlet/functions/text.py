@@ -87,7 +87,7 @@ def is_failed_stub(predict) -> Column:
 
 def reply_preview(c) -> Column:
     """First 300 characters with LF shown as a pipe."""
-    return F.translate(F.left(_c(c), F.lit(PREVIEW_CHARS)), "\n", "|")
+    return F.replace(F.left(_c(c), F.lit(PREVIEW_CHARS)), F.lit("\n"), F.lit("|"))
 
 
 def python_repr(c) -> Column:
@@ -121,7 +121,8 @@ def instruction_preview(c) -> Column:
 
 def stderr_excerpt(c) -> Column:
     """Last 2000 characters, LF -> space; null reads as empty."""
-    return F.translate(F.right(F.coalesce(_c(c), F.lit("")), F.lit(STDERR_EXCERPT_CHARS)), "\n", " ")
+    # ``replace`` searches bytes; ``translate`` would look up every character
+    return F.replace(F.right(F.coalesce(_c(c), F.lit("")), F.lit(STDERR_EXCERPT_CHARS)), F.lit("\n"), F.lit(" "))
 
 
 def outcome_snippet(stderr, stdout) -> Column:

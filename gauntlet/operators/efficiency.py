@@ -44,7 +44,7 @@ def parse_speedups(lines: DataFrame, line: str = "line") -> DataFrame:
     pat = "(?U)" + SPEEDUP_LINE.replace("^", r"\A").replace("$", r"\z")
     return (lines.withColumn("_ratio", F.regexp_extract(line, pat, 2)).where(F.col("_ratio") != "")
             .withColumn("name", F.regexp_extract(line, pat, 1))
-            .withColumn("ratio", F.col("_ratio").cast("double")).drop("_ratio"))
+            .withColumn("ratio", F.col("_ratio").try_cast("double")).drop("_ratio"))
 
 
 def reported_mean(lines: DataFrame, keys, order) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gauntlet.functions.classify import is_hardware_failure, kernel_failure_type
 from gauntlet.functions.text import stderr_excerpt, strip_embedded_test, assemble_test_module
-from gauntlet.operators.progress import last_write_wins
+from gauntlet.operators.progress import last_write_wins, top_k
 
 KEYS = ["run_id", "kernel_id"]
 
@@ -26,7 +26,14 @@ def with_failure_type(df: DataFrame, stderr: str = "stderr", out: str = "failure
 
 
 def survivors(items: DataFrame, passed) -> DataFrame:
-    """Items whose module survived a phase; ``passed`` is evaluated on the item's own row."""
+    """Items whose module survived a phase.
+
+    ``passed`` is the phase's listing (run_id, kernel_id): a left semi join, so
+    names that the listing repeats, or that no item has, change nothing.  A
+    Column is evaluated on the item's own row instead.
+    """
+    if isinstance(passed, DataFrame):
+        return items.join(passed.select(*KEYS), KEYS, "left_semi")
     return items.where(passed)
 
 
@@ -72,22 +79,24 @@ def phase2_records(items: DataFrame, probes: DataFrame, passed1, passed2) -> Dat
                          "returncode")
 
 
-def classified_probes(probes: DataFrame) -> DataFrame:
-    """Row-local B16 + B12 before any shuffle, then E4 on the narrow result.
+def latest_probes(probes: DataFrame) -> DataFrame:
+    """E4 for the failure dataset: the last probe of each key.
 
-    Only (rc, label, excerpt) travel through the exchange, never the full stderr.
+    Rows that a later one overwrites are dropped before the shuffle (group
+    limit), so a key written very often does not reach one task.  The rows
+    arrive dealt by key, as the join with the failing items needs them.
     """
-    typed = probes.select(*KEYS, "seq", "returncode",
-                          kernel_failure_type(F.lower(F.coalesce(F.col("stderr"), F.lit("")))).alias("_ft"),
-                          stderr_excerpt("stderr").alias("_excerpt"))
-    return last_write_wins(typed, KEYS, "seq").drop("seq")
+    return top_k(probes.select(*KEYS, "seq", "returncode", "stderr"), KEYS, [F.col("seq").desc()], 1).drop("seq", "rn")
 
 
 def failure_dataset(items, probes, devices, passed1, passed2) -> DataFrame:
     """G2 + C7 as one keyed pipeline (8 fields + run).
 
     The failing items and the latest probe per key are each shuffled once on
-    (run_id, kernel_id) for one left join.  An item not passing phase 1 failed
+    (run_id, kernel_id) for one left join.  The rules read a stderr only after
+    it: overwritten probes and those of passing items are not classified, and
+    the work is dealt over all shuffle partitions, however few files the
+    probes came from.  An item not passing phase 1 failed
     phase 1; one passing phase 1 but not phase 2 failed phase 2.  Missing
     probes read as (-1, ''), a clean phase-2 exit as numerical_mismatch with no stderr.
     """
@@ -97,12 +106,12 @@ def failure_dataset(items, probes, devices, passed1, passed2) -> DataFrame:
                            F.coalesce(passed2, F.lit(False)).alias("_p2"))
               .withColumn("phase_failed", F.when(~F.col("_p1"), F.lit(1)).when(~F.col("_p2"), F.lit(2)))
               .where(F.col("phase_failed").isNotNull())
-              .join(classified_probes(probes), KEYS, "left"))
+              .join(latest_probes(probes), KEYS, "left"))
     rc = F.coalesce(F.col("returncode"), F.lit(-1))
     clean2 = (F.col("phase_failed") == 2) & (rc == 0)
-    empty_type = kernel_failure_type(F.lit(""))
-    ftype = F.when(clean2, F.lit("numerical_mismatch")).otherwise(F.coalesce(F.col("_ft"), empty_type))
-    excerpt = F.when(clean2, F.lit("")).otherwise(F.coalesce(F.col("_excerpt"), F.lit("")))
+    staged = staged.withColumn("_s", F.lower(F.coalesce(F.col("stderr"), F.lit(""))))
+    ftype = F.when(clean2, F.lit("numerical_mismatch")).otherwise(kernel_failure_type(F.col("_s")))
+    excerpt = F.when(clean2, F.lit("")).otherwise(stderr_excerpt("stderr"))
     code = F.when(F.col("phase_failed") == 1, F.col("predict")).otherwise(
         strip_embedded_test(assemble_test_module(F.col("predict"), F.col("test"))))
     recs = staged.select(*KEYS, "phase_failed", ftype.alias("failure_type"), excerpt.alias("stderr_excerpt"),

@@ -2,36 +2,73 @@
 
 Order statistics (nearest-rank percentile, upper median) never sort a whole
 group in one task: values are first pre-aggregated to (key, value, count) --
-a partial aggregation that runs map-side -- and the cumulative count then
-runs over range partitions of the distinct (key, value) pairs.
+a partial aggregation that runs map-side -- and the value at a rank is then
+found by radix selection over the leading bits of the ordered value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gauntlet.functions.num import round_to
-from gauntlet.operators.progress import running_totals
+from gauntlet.functions.num import round_to, with_ordered_bits
+
+#: Bits of each digit of the radix selection, from the highest; a window sees 2**22 rows of a group at most.
+RADIX_DIGITS = (21, 21, 22)
+#: Groups of at most so many distinct values are walked in one window.
+WALKED_VALUES = 10_000
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, "callable"]) -> DataFrame:
     """Value at 0-based rank ``ranks[name](n)`` for each group; also returns ``n``.
 
     ``ranks`` maps an output name to a function of the group size Column ``n``
-    giving the 0-based rank to pick.  Values are counted map-side first; the
-    cumulative count then runs over range partitions of (key, value), so even
-    a group with a third of all rows and as many distinct values is split
-    across tasks (see ``progress.running_totals``).
+    giving the 0-based rank to pick.  Values are counted map-side first, so a
+    hot group is dealt by value.  A group of few distinct values is then walked
+    in their order; a larger one is narrowed by radix selection, so no task
+    ever sees more than a bounded number of a group's rows.  Nothing is
+    checkpointed, and building the plan runs no job.
     """
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    walked = running_totals(counted, keys, [value], weight="_c")
-    aggs = [F.max("_total").alias("n")]
-    for name, rank in ranks.items():
-        k = rank(F.col("_total"))
-        aggs.append(F.min(F.when(F.col("_pos") > k, F.col(value))).alias(name))
-    return walked.groupBy(*keys).agg(*aggs)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_values"))
+    sized = counted.join(sizes, keys)
+    few = F.col("_values") <= WALKED_VALUES
+    return _walk(sized.where(few), keys, value, ranks).unionByName(_radix_select(sized.where(~few), keys, value, ranks))
+
+
+def _walk(sized: DataFrame, keys: list[str], value: str, ranks: dict) -> DataFrame:
+    up_to = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    at = [F.min(F.when(F.col("_up_to") > rank(F.col("n")), F.col(value))).alias(name) for name, rank in ranks.items()]
+    return sized.withColumn("_up_to", up_to).groupBy(*keys).agg(F.max("n").alias("n"), *at)
+
+
+def _radix_select(sized: DataFrame, keys: list[str], value: str, ranks: dict) -> DataFrame:
+    """Ranks narrowed digit by digit: counts by the leading bits of the ordered value tell which bucket holds a rank,
+    and only that bucket's values are counted by the next bits."""
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("n")).cast("bigint").alias("_rank"))
+                       for name, rank in ranks.items()])
+    counted = with_ordered_bits(sized.select(*keys, value, "_c", "n"), value, "_bits")
+    shift, digits, chosen = 64, [], None
+    for level, width in enumerate(RADIX_DIGITS):
+        shift -= width
+        digits.append(f"_d{level}")
+        # the highest digit keeps the sign
+        digit = F.shiftright("_bits", shift) if not level else F.shiftright("_bits", shift).bitwiseAND((1 << width) - 1)
+        # not null, so that a join on it pushes no filter down: all digits then read one exchange of the counts
+        counted = counted.withColumn(digits[-1], F.coalesce(digit, F.lit(0)))
+        group = [*keys, "_name"] if level else keys
+        inside = counted if chosen is None else counted.join(chosen, [*keys, *digits[:-1]])
+        carried = [F.max("_rank").alias("_rank")] if level else []
+        # one value per lowest bucket: the bits are the whole value
+        counts = inside.groupBy(*group, *digits).agg(F.sum("_c").alias("_s"), F.max(value).alias(value), F.max("n").alias("n"), *carried)
+        up_to = Window.partitionBy(*group).orderBy(digits[-1]).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_before", F.sum("_s").over(up_to) - F.col("_s"))
+        if not level:
+            counts = counts.withColumn("_w", F.explode(wanted)).select("*", "_w.*").drop("_w")
+        counts = counts.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_s")))
+        chosen = counts.withColumn("_rank", F.col("_rank") - F.col("_before")).drop("_s", "_before", *([] if not shift else [value, "n"]))
+    return chosen.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks])
 
 
 def nearest_rank(p: float):

@@ -22,6 +22,7 @@ from gauntlet.operators import variants as V
 from gauntlet.plans import jobs as J
 from gauntlet.session import scratch_dir
 from gauntlet.sources import files as IO
+from gauntlet.sources import ordered as OR
 from gauntlet.sources.fixtures import DEVICES
 from gauntlet.sources.tables import fixture, table
 from gauntlet.functions.num import round_to
@@ -568,10 +569,27 @@ def q_order_restore(spark, sf):
 
 
 def q_phase_survivors(spark, sf):
+    """What is left in each phase's folder, by path alone; some names stand in two places, some belong to no item."""
     items = _items(spark, sf)
-    s1 = FN.survivors(items, _passed1()).select(*FN.KEYS, F.lit(1).alias("phase"))
-    s2 = FN.survivors(items, _passed2()).select(*FN.KEYS, F.lit(2).alias("phase"))
-    return s1.unionByName(s2)
+    out = []
+    for phase, passed in ((1, _passed1()), (2, _passed2())):
+        root = scratch_dir(spark, f"phase{phase}")
+        left = items.where(passed).select("run_id", "kernel_id", "idx")
+        again = left.where(F.col("idx") % 50 == 0).select("run_id", F.concat(F.lit("tmp/"), "kernel_id").alias("kernel_id"))
+        strange = left.where(F.col("idx") % 90 == 0).select("run_id", F.concat(F.lit("old_"), "kernel_id").alias("kernel_id"))
+        files = left.drop("idx").unionByName(again).unionByName(strange)
+        IO.write_named_files(files.select(F.concat_ws("/", "run_id", "kernel_id").alias("name"), F.lit("#\n").alias("text")), root, "name", "text")
+        out.append(FN.survivors(items, IO.read_listing(spark, root)).select(*FN.KEYS, F.lit(phase).alias("phase")))
+    return out[0].unionByName(out[1])
+
+
+def q_ordered_predictions(spark, sf):
+    """predictions written in the order of their index, and read back in it."""
+    root = scratch_dir(spark, "ordered-predictions")
+    recs = _replies(spark, sf).select("idx", F.concat(F.lit("task "), F.col("idx").cast("string")).alias("instruction"),
+                                      X.extract_code("reply").alias("predict"))
+    OR.write_ordered_jsonl(recs, root, ["idx"])
+    return OR.read_ordered_jsonl(spark, root, IO.PREDICTION)
 
 
 def q_phase2_failure_type(spark, sf):

@@ -469,6 +469,8 @@ UNION ALL SELECT dataset, idx, instruction FROM (SELECT *, row_number() OVER (OR
     q["extract_fenced_last"] = fxs(["replies"], f"SELECT idx, block FROM (SELECT idx, {code_cols}, blocks[-1] AS block FROM replies)")
     q["extract_unclosed"] = fxs(["replies"], f"SELECT idx, cand AS candidate FROM (SELECT idx, {code_cols} FROM replies) "
                                              "WHERE len(blocks) = 0")
+    q["ordered_predictions"] = fxs(["replies"], f"""SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS pos,
+  'task ' || idx AS instruction, code AS predict FROM (SELECT idx, {code_cols} FROM replies)""")
     q["extract_code"] = fxs(["replies"], f"SELECT idx, code FROM (SELECT idx, {code_cols} FROM replies)")
     q["stub_filter"] = fxs(["kernels"], f"SELECT run_id, kernel_id, starts_with({ustrip('predict')}, '# generation failed') "
                                         "AS is_stub FROM kernels")

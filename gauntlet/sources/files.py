@@ -9,11 +9,14 @@ is read through the driver.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from gauntlet.sources.json_array import read_json_array, write_json_arrays
+
 TASK_ITEM = T.StructType([T.StructField("instruction", T.StringType()), T.StructField("input", T.StringType())])
 PREDICTION = T.StructType([T.StructField("instruction", T.StringType()), T.StructField("predict", T.StringType())])
 VALID_DATASETS = ("simp", "comp")
@@ -28,54 +31,48 @@ def _local(path: str) -> str:
 
 # ---- A1: task arrays --------------------------------------------------------------
 
-def write_task_arrays(tasks: DataFrame, root: str, shard_size: int = 1000) -> None:
-    """One JSON array per (dataset, shard); items sorted by ``idx`` inside a shard.
+def write_task_arrays(tasks: DataFrame, root: str, datasets=VALID_DATASETS) -> None:
+    """One JSON array per dataset (``root/dataset=<name>``), items in the order of ``idx``."""
+    write_json_arrays(tasks.select("dataset", "idx", "instruction", "input"), root, "dataset", list(datasets), ["idx"])
+
 
-    Shards are bounded (``shard_size`` items) so no group outgrows one task.
+def read_task_file(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """A1: one JSON array per dataset; the index is the array position.
+
+    The array is read by byte ranges (``json_array``), so a large file has
+    many tasks; a broken array raises.
     """
-    shard = F.floor(F.col("idx") / shard_size).cast("bigint")
-    arrays = (tasks.withColumn("shard", shard)
-              .groupBy("dataset", "shard")
-              .agg(F.array_sort(F.collect_list(F.struct("idx", "instruction", "input"))).alias("_items"))
-              .select("dataset", "shard",
-                      F.to_json(F.transform("_items", lambda x: F.struct(x["instruction"].alias("instruction"),
-                                                                          x["input"].alias("input"))))
-                      .alias("value")))
-    (arrays.repartition("dataset", "shard").write.mode("overwrite")
-     .partitionBy("dataset", "shard").text(root))
+    if dataset not in VALID_DATASETS:
+        raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {dataset!r}")
+    items = read_json_array(spark, path, TASK_ITEM)
+    return items.select(F.lit(dataset).alias("dataset"), F.col("idx").cast("bigint").alias("idx"), "instruction", "input")
 
 
 def read_task_arrays(spark: SparkSession, root: str, datasets=VALID_DATASETS) -> DataFrame:
-    """A1: posexplode each array file; index = position across shard files in shard order."""
+    """A1 for several datasets under one folder: their files are read together, each by its ranges."""
     bad = [d for d in datasets if d not in VALID_DATASETS]
     if bad:
         raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {bad}")
-    files = (spark.read.text(root, wholetext=True)
-             .where(F.col("dataset").isin(list(datasets)))
-             .withColumn("_items", F.from_json("value", T.ArrayType(TASK_ITEM), {"mode": "FAILFAST"})))
-    # per-file sizes (one row per file) give each file's starting index
-    sizes = files.select("dataset", "shard", F.size("_items").alias("_n"))
-    w = Window.partitionBy("dataset").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return (files.join(offsets, ["dataset", "shard"])
-            .select("dataset", "_off", F.posexplode("_items").alias("_pos", "_it"))
-            .select("dataset", (F.col("_off") + F.col("_pos")).cast("bigint").alias("idx"),
-                    F.col("_it.instruction").alias("instruction"), F.col("_it.input").alias("input")))
+    items = read_json_array(spark, [f"{root}/dataset={name}" for name in datasets], TASK_ITEM)
+    dataset = F.regexp_extract("file", r"/dataset=([^/]*)/[^/]*\z", 1)
+    return items.select(dataset.alias("dataset"), F.col("idx").cast("bigint").alias("idx"), "instruction", "input")
 
 
-def read_task_file(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """A1, single-file form: one JSON array per dataset file; the index is the array position.
+# ---- C10: listings ----------------------------------------------------------------
+
+def read_listing(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
+    """The files with a suffix below a folder by path alone: run_id (the folder's name) and kernel_id (the file's).
 
-    A single array is one value, so it is read by one task; large task sets
-    belong in the sharded layout of ``write_task_arrays``.
+    Nothing of a file is read.  A name that stands in several subfolders of a
+    run comes several times; a missing folder has no files.  Spark's file
+    sources leave out empty files, and so does the listing.
     """
-    if dataset not in VALID_DATASETS:
-        raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {dataset!r}")
-    arr = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", T.ArrayType(TASK_ITEM), {"mode": "FAILFAST"}).alias("_items"))
-    return (arr.select(F.posexplode("_items").alias("idx", "_it"))
-            .select(F.lit(dataset).alias("dataset"), F.col("idx").cast("bigint").alias("idx"),
-                    F.col("_it.instruction").alias("instruction"), F.col("_it.input").alias("input")))
+    if not has_files(spark, root):
+        return spark.createDataFrame([], "run_id string, kernel_id string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    below = F.substring_index("path", f"{_local(root).rstrip('/')}/", -1)
+    return files.where(F.endswith("path", F.lit(suffix))).select(
+        F.split_part(below, F.lit("/"), F.lit(1)).alias("run_id"), F.substring_index(below, "/", -1).alias("kernel_id"))
 
 
 # ---- A2 / A9: JSONL ---------------------------------------------------------------

@@ -4,8 +4,10 @@ import math
 import random
 import statistics
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gauntlet.operators import progress as PG
 from gauntlet.operators import stats as ST
@@ -132,3 +134,46 @@ def test_perf_completion_texts(spark):
     assert (got["a"].n_scripts, got["a"].status) == (0, "skipped (no surviving operators)")
     assert got["b"].status == "skipped: all perf scripts failed or timed out (2/2 skipped)"
     assert (got["c"].n_completed, got["c"].n_skipped, got["c"].status) == (1, 1, "measured")
+
+
+def test_ordered_bits_follow_the_doubles(spark):
+    import struct
+    from gauntlet.functions.num import with_ordered_bits
+    rng = random.Random(12)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 2.2250738585072009e-308, 1.7976931348623157e308, float("inf"), -float("inf"),
+              1.0, 2.0, 0.5, 1 - 2 ** -53, 1 + 2 ** -52, 4.0 - 2 ** -51, 1e15, 2.0 ** 52 + 1, 2.0 ** 1023]
+    values += [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(3000)]
+    values += [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(-9, 9) for _ in range(2000)] + [float(2 ** k) for k in range(-60, 60)]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in with_ordered_bits(df, "v", "b").collect():
+        (bits,) = struct.unpack("q", struct.pack("d", abs(r.v)))
+        assert r.b == (-bits if r.v < 0 else bits), r.v
+
+
+@pytest.mark.parametrize("walked", [0, 40, 10_000])
+def test_radix_selection_equals_sorting(spark, monkeypatch, walked):
+    monkeypatch.setattr(ST, "WALKED_VALUES", walked)
+    rng = random.Random(13)
+    rows = []
+    for g in range(12):
+        n = rng.choice([1, 2, 3, 50, 400])
+        near = rng.choice([0.0, 1e9, -3.5])                       # values that differ in the last bits only
+        rows += [(g, near + rng.choice([rng.random() * 2 ** -20, rng.gauss(0, 5), -0.0, 1.0, 1e-310])) for _ in range(n)]
+    rows += [(99, None), (0, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(4)
+    out = ST.order_statistics(df, ["g"], "v", {"low": lambda n: F.lit(0), "mid": ST.upper_middle, "high": lambda n: n - 1})
+    got = {r.g: (r.n, r.low, r.mid, r.high) for r in out.collect()}
+    for g in range(12):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (len(v), v[0], v[len(v) // 2], v[-1])
+    assert 99 not in got
+
+
+def test_order_statistics_run_no_job_while_the_plan_is_built(spark):
+    tracker, before = spark.sparkContext.statusTracker(), set()
+    spark.sparkContext.setJobGroup("radix-build", "building")
+    df = spark.range(100_000).selectExpr("'hot' AS g", "CAST(id AS DOUBLE) AS v")
+    out = ST.upper_median(df, ["g"], "v")
+    assert set(tracker.getJobIdsForGroup("radix-build")) == before
+    assert out.first().upper_median == 50_000.0

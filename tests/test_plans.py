@@ -56,8 +56,11 @@ def test_the_parser_gets_null_where_it_is_not_needed(plans):
 
 
 def test_survivor_listings_take_one_join(plans):
-    for key in ("phase1_failures", "phase_survivors", "sorted_listing", "listing_top10"):
+    for key in ("phase1_failures", "sorted_listing", "listing_top10"):
         assert plans[key].count("Join") <= 1, key
+    # two phases, each with a listing of its own, of which only the paths are read
+    assert plans["phase_survivors"].count("LeftSemi") == plans["phase_survivors"].count("Join") == 2
+    assert all(s == "path" for s in re.findall(r"FileScan binaryFile \[(\w+)#", plans["phase_survivors"]))
 
 
 def test_top_k_limits_before_the_shuffle(plans):
