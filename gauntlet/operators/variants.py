@@ -10,8 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from gauntlet.functions.num import round_to
@@ -29,17 +28,22 @@ from gauntlet.functions.text import stderr_excerpt
 from gauntlet.operators.stats import upper_median
 
 
-
 @dataclass(frozen=True)
 class Variant:
-    """One registry entry; ``rewrite`` maps a source Column to the variant or null."""
+    """One registry entry; ``rewrite`` maps a source Column (or text, if ``python``) to the variant or null."""
     name: str
-    rewrite: Callable[[Column], Column]
+    rewrite: Callable
     predicted: str
     is_perf: bool
     python: bool = False
 
 
+#: What the registry adds to a row of the corpus.
+EXPANDED = T.StructType([
+    T.StructField("mutation_type", T.StringType()), T.StructField("pos", T.IntegerType()),
+    T.StructField("predicted", T.StringType()), T.StructField("is_perf", T.BooleanType()),
+    T.StructField("variant", T.StringType()), T.StructField("error", T.StringType())])
+
 # ---- fixed values: registry order and predictions, skip reasons -----------
 SKIP_NOT_APPLICABLE = "not applicable"
 SKIP_PARSE_FAILED = "ast.parse failed after mutation"
@@ -54,37 +58,60 @@ DEFAULT_REGISTRY = [
 
 
 def python_variant(name: str, fn: Callable[[str], str | None], predicted: str, is_perf: bool) -> Variant:
-    """Wrap a user Python mutator; an exception becomes a ``mutator error`` skip, not a failed job."""
+    """A registry entry whose ``rewrite`` is a user's Python function: source text -> variant, or None if it does not apply.
+
+    ``fn`` is shipped by value and runs in the tasks.  An exception becomes a
+    ``mutator error`` skip of that (kernel, mutation), not a failed job.  A
+    result that is not text is an error too.
+    """
+    return Variant(name, fn, predicted, is_perf, python=True)
+
 
-    def apply(series: pd.Series) -> pd.DataFrame:
-        out, err = [], []
-        for src in series:
-            try:
-                out.append(fn(src))
-                err.append(None)
-            except Exception as exc:  # noqa: BLE001 - per-row capture
-                out.append(None)
-                err.append(str(exc))
-        return pd.DataFrame({"variant": out, "error": err})
+def mutator_table(entries: list[tuple[int, Variant]]):
+    """The user mutators as one table function: source -> a row (mutation_type, pos, predicted, is_perf, variant, error) each.
 
-    udf = F.pandas_udf(apply, T.StructType([T.StructField("variant", T.StringType()),
-                                             T.StructField("error", T.StringType())]))
-    return Variant(name, udf, predicted, is_perf, python=True)
+    Arrow batches carry rows both ways.  A call sees one source and yields its
+    rows one after another, so a worker holds one variant at a time.  A null
+    source gives a row without a variant for every mutator.
+    """
+    plan = [(v.name, pos, v.predicted, v.is_perf, v.rewrite) for pos, v in entries]
+
+    class Mutators:
+        def eval(self, source):
+            for name, pos, predicted, is_perf, fn in plan:
+                variant = error = None
+                try:
+                    variant = None if source is None else fn(source)
+                    if variant is not None and not isinstance(variant, str):
+                        variant, error = None, f"returned {type(variant).__name__}, not text"
+                except Exception as exc:  # noqa: BLE001 - user code, captured per row
+                    error = str(exc)
+                yield name, pos, predicted, is_perf, variant, error
+
+    return F.udtf(Mutators, returnType=EXPANDED, useArrow=True)
 
 
 def expand_registry(corpus: DataFrame, registry=DEFAULT_REGISTRY, source: str = "source") -> DataFrame:
-    """Corpus x registry, row-local; adds mutation_type, pos, predicted, is_perf, variant, error."""
-    entries = []
-    for pos, v in enumerate(registry):
-        if v.python:
-            res = v.rewrite(F.col(source))
-            variant, error = res["variant"], res["error"]
-        else:
-            variant, error = v.rewrite(F.col(source)), F.lit(None).cast("string")
-        entries.append(F.struct(F.lit(v.name).alias("mutation_type"), F.lit(pos).alias("pos"),
-                                F.lit(v.predicted).alias("predicted"), F.lit(v.is_perf).alias("is_perf"),
-                                variant.alias("variant"), error.alias("error")))
-    return corpus.withColumn("_m", F.explode(F.array(*entries))).select("*", "_m.*").drop("_m")
+    """Corpus x registry, row-local; adds mutation_type, pos, predicted, is_perf, variant, error.
+
+    Column rewrites are exploded from an array of structs; user mutators come
+    from a lateral join with ``mutator_table``, which runs each of them once per
+    row.  A registry with both reads the corpus once for either kind.
+    """
+    native = [(pos, v) for pos, v in enumerate(registry) if not v.python]
+    python = [(pos, v) for pos, v in enumerate(registry) if v.python]
+    parts = []
+    if native or not python:
+        entries = [F.struct(F.lit(v.name).alias("mutation_type"), F.lit(pos).alias("pos"),
+                            F.lit(v.predicted).alias("predicted"), F.lit(v.is_perf).alias("is_perf"),
+                            v.rewrite(F.col(source)).alias("variant"), F.lit(None).cast("string").alias("error"))
+                   for pos, v in native]
+        # the cast gives an empty registry its columns
+        array = F.array(*entries).cast(T.ArrayType(EXPANDED))
+        parts.append(corpus.withColumn("_m", F.explode(array)).select("*", "_m.*").drop("_m"))
+    if python:
+        parts.append(corpus.lateralJoin(mutator_table(python)(F.col(source).outer())))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def with_parse_gate(expanded: DataFrame) -> DataFrame:

@@ -86,6 +86,41 @@ def test_python_mutator_errors_become_skips(spark):
             assert r.skip_reason is None and r.variant.endswith("# touched\n")
 
 
+def test_user_mutators_are_one_table_function_that_runs_once_per_row(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def counted(src):
+        with open(calls, "a") as log:
+            log.write(f"{len(src)}\n")
+        return src.upper()
+
+    def picky(src):
+        if "b" in src:
+            raise KeyError("b")
+        return None if "c" in src else 7 if "d" in src else src + "#"
+
+    reg = [V.python_variant("counted", counted, "runs_clean", False), V.DEFAULT_REGISTRY[1],
+           V.python_variant("picky", picky, "fails", True)]
+    corpus = spark.createDataFrame([("k1", "a = 1"), ("k2", "b = 2"), ("k3", "c = 3"), ("k4", "d = 4"), ("k5", None),
+                                    ("k6", ""), ("k6", ""), ("k7", "x = tl.float32 " * 5000)], "kernel_id string, source string")
+    expanded = V.expand_registry(corpus, reg)
+    assert expanded.columns == ["kernel_id", "source", "mutation_type", "pos", "predicted", "is_perf", "variant", "error"]
+    assert "ArrowEvalPythonUDTF" in expanded._jdf.queryExecution().executedPlan().toString()
+    rows = V.with_parse_gate(expanded).collect()
+    assert len(rows) == 8 * 3
+    assert len(open(calls).readlines()) == 7  # not for the null source, once for every other row
+    got = {(r.kernel_id, r.mutation_type): r for r in rows}
+    assert got["k1", "counted"].variant == "A = 1" and got["k1", "counted"].skip_reason is None
+    assert (got["k1", "picky"].pos, got["k1", "picky"].predicted, got["k1", "picky"].is_perf) == (2, "fails", True)
+    assert got["k2", "picky"].skip_reason == "mutator error: 'b'" and got["k2", "picky"].variant is None
+    assert got["k3", "picky"].skip_reason == "not applicable"
+    assert got["k4", "picky"].skip_reason == "mutator error: returned int, not text"
+    assert {got["k5", m].skip_reason for m in ("counted", "force_fp8", "picky")} == {"not applicable"}
+    assert got["k6", "picky"].variant == "#"
+    assert got["k7", "force_fp8"].variant.count("tl.float8e4nv") == 5000
+    assert V.expand_registry(corpus.limit(0), reg).count() == 0 and V.expand_registry(corpus, []).count() == 0
+
+
 def test_instrument_and_timing_token(spark):
     df = spark.createDataFrame([("def test_a():\n  pass", "MUT_RUNTIME_MS=1.5e-3 x"), ("x = 1", "MUT_RUNTIME_MS=1.2.3")],
                                "s string, out string")
