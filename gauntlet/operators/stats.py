@@ -154,6 +154,18 @@ def histogram_text(df: DataFrame, keys: list[str], label: str, name: str) -> Dat
 
 
 def map_text(m: Column) -> Column:
-    """Flat, engine-neutral form of a map: ``k=v`` pairs sorted by key, comma-joined."""
+    """Flat, engine-neutral form of a map: ``k=v`` pairs sorted by key, comma-joined.
+
+    A comma, equal sign or backslash of a key has a backslash before it, so ``text_map`` gets every map back.
+    """
     entries = F.array_sort(F.map_entries(m))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    key = lambda e: F.regexp_replace(e["key"], r"([\\,=])", r"\\$1")
+    return F.array_join(F.transform(entries, lambda e: F.concat(key(e), F.lit("="), e["value"].cast("string"))), ",")
+
+
+def text_map(text: Column) -> Column:
+    """The map of counts that ``map_text`` wrote; '' or null gives an empty one."""
+    entry, text = F.lit(r"((?:[^\\,=]|\\.)*)=(-?\d+)(?:,|$)"), F.coalesce(text, F.lit(""))
+    keys = F.transform(F.regexp_extract_all(text, entry, F.lit(1)), lambda k: F.regexp_replace(k, r"\\(.)", "$1"))
+    counts = F.transform(F.regexp_extract_all(text, entry, F.lit(2)), lambda n: n.cast("bigint"))
+    return F.map_from_arrays(keys, counts)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from gauntlet.functions import classify as C
 from gauntlet.functions import rewrite as R
 from gauntlet.functions import text as X
+from gauntlet.operators import documents as DOC
 from gauntlet.operators import efficiency as EF
 from gauntlet.operators import funnel as FN
 from gauntlet.operators import progress as PG
@@ -28,11 +29,6 @@ from gauntlet.sources.tables import fixture, table
 from gauntlet.functions.num import round_to
 
 
-def _try_cast(c, to: str):
-    """Cast that yields null instead of raising under ANSI mode."""
-    return (F.col(c) if isinstance(c, str) else c).try_cast(to)
-
-
 # ---- fixed values (must equal the evaluated pipeline's) -------------------
 PROMPT_HEADER = (
     "You are an expert in Triton programming, capable of writing Triton kernels "
@@ -550,13 +546,18 @@ def _run_replies(spark, sf):
     return _replies(spark, sf).withColumn("run_id", F.concat(F.lit("run_"), F.substring_index("model", "_", -1)))
 
 
-def q_sidecar_join(spark, sf):
-    """Generation documents written as sidecar files, read back and joined to the runs."""
+def _sidecars(spark, sf):
+    """J1's documents, written as sidecar files and read back."""
     root = scratch_dir(spark, "generation-sidecars")
     docs = J.generation_document(J.generation_report(_run_replies(spark, sf), ["run_id"]), ["run_id"])
     IO.write_named_files(docs.select(F.concat("run_id", F.lit(".gen_meta.json")).alias("name"), F.col("document").alias("text")),
                          root, "name", "text")
-    read = IO.read_sidecars(spark, root, J.GENERATION_SCHEMA).select("run_id", "generation.*")
+    return IO.read_sidecars(spark, root, J.GENERATION_SCHEMA)
+
+
+def q_sidecar_join(spark, sf):
+    """Generation documents written as sidecar files, read back and joined to the runs."""
+    read = _sidecars(spark, sf).select("run_id", "generation.*")
     return _items(spark, sf).select("run_id").distinct().join(read, "run_id", "left").select(
         "run_id", "n_items", F.col("latency_s.mean").alias("latency_mean"),
         F.col("tokens.total_completion").alias("total_completion"), F.col("tokens.total_prompt").alias("total_prompt"))
@@ -700,11 +701,7 @@ def q_histogram_map(spark, sf):
 def q_metric_report(spark, sf):
     """Each reported metric path resolved against each run's summary document (long form)."""
     docs = J.summary_document(_evaluation_summary(spark, sf, with_generation=True))
-    metrics = F.array(*[F.lit(m) for m in METRICS_REPORTED])
-    long = docs.select("run_id", "document", F.explode(metrics).alias("metric"))
-    value = F.expr("get_json_object(document, concat('$.', metric))")
-    return long.select("run_id", "metric", _try_cast(value, "double").alias("value"),
-                       F.when(F.startswith(value, F.lit("{")), value).alias("detail"))
+    return DOC.metric_values(docs, ["run_id"], METRICS_REPORTED)
 
 
 # =========================== E / F / G ===========================
@@ -795,7 +792,7 @@ def _evaluation_summary(spark, sf, with_generation: bool):
     runlogs = fx(spark, sf, "runlogs").withColumn("returncode", F.when(F.col("run_id") == "run_3", F.lit(1)).otherwise(F.col("returncode")))
     generation = None
     if with_generation:
-        generation = J.generation_sidecar(_run_replies(spark, sf), ["run_id"])
+        generation = J.generation_from_documents(_sidecars(spark, sf))
     return J.evaluation_report(_items(spark, sf), _probes(spark, sf), fx(spark, sf, "devices"), _passed1(),
                                _passed2(), lines, ["run_order", "line_no"], generation, runlogs, fx(spark, sf, "phase_log"))
 

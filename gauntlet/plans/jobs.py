@@ -8,6 +8,8 @@ fixtures; users run them on their own tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from gauntlet.functions.num import round_to
 from gauntlet.functions.pyparse import python_parse_status
 from gauntlet.operators import efficiency as EF
 from gauntlet.operators import funnel as FN
+from gauntlet.operators import progress as PG
 from gauntlet.operators import stats as ST
 from gauntlet.operators import variants as V
 from gauntlet.session import checkpoint_root
@@ -29,15 +32,26 @@ SYNTAX_MESSAGE_PREFIX = "SyntaxError after fence-strip — raw preview: "
 
 # ------------------------------------------------------------------ J1
 
-def generation_items(replies: DataFrame) -> DataFrame:
+def _head(df: DataFrame, limit: int | None, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The first ``limit`` rows by ``order`` (of each group of ``keys``); all without a limit."""
+    if limit is None:
+        return df
+    return PG.top_k(df, list(keys), list(order), limit).drop("rn") if keys else df.orderBy(*order).limit(limit)
+
+
+def generation_items(replies: DataFrame, limit: int | None = None, order: Sequence[str] = ("idx",),
+                     keys: Sequence[str] = ()) -> DataFrame:
     """J1 per item: the prediction (code, or a failure stub) and the item's meta.
 
     ``replies``: reply, latency_s, completion_tokens, finish_reason, optionally
     prompt_tokens (+ any key columns, kept).  A blank reply fails as an empty response with no
     telemetry; a reply whose extracted code does not parse fails as a syntax
     error but keeps its telemetry.  The parser (the only Python) runs on
-    non-blank replies only.
+    non-blank replies only.  With ``limit`` a run stops after its first tasks:
+    only the first rows by ``order`` (of each group of ``keys``) are taken,
+    before any text is read.
     """
+    replies = _head(replies, limit, order, keys)
     blank = X.ustrip(F.coalesce(F.col("reply"), F.lit(""))) == ""
     code = X.extract_code("reply")
     # a null argument is not parsed; a condition around the call would not keep rows from the parser
@@ -60,13 +74,17 @@ def generation_items(replies: DataFrame) -> DataFrame:
             .drop("_code", "_status", "_message"))
 
 
-def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
-    """Per-group report over ``generation_items``: failures by reason, latency, tokens, truncation."""
+def generation_report(replies: DataFrame, keys=("model",), limit: int | None = None,
+                      order: Sequence[str] = ("idx",)) -> DataFrame:
+    """Per-group report over ``generation_items``: failures by reason, latency, tokens, truncation.
+
+    With ``limit`` each group's first rows by ``order`` count.
+    """
     keys = list(keys)
     checkpoint_root(replies.sparkSession)
     # four aggregations read the items: materialise the narrow columns once (reliable checkpoint in the
     # shared folder) instead of re-running extraction and the parser for each of them
-    staged = (generation_items(replies)
+    staged = (generation_items(replies, limit, order, keys)
               .select(*keys, "latency_s", "completion_tokens", "prompt_tokens", "finish_reason", "fail_reason")
               .checkpoint(eager=True))
     tele = ST.generation_telemetry(staged, keys)
@@ -81,15 +99,6 @@ def generation_report(replies: DataFrame, keys=("model",)) -> DataFrame:
                     "mean_completion", "truncated_count"))
 
 
-def _text_map(col: str) -> Column:
-    """``k=v,k=v`` text (as written by ``stats.map_text``) back to a map; '' or null -> {}."""
-    pairs = F.transform(F.split(F.col(col), ","),
-                        lambda e: F.struct(F.split_part(e, F.lit("="), F.lit(1)).alias("k"),
-                                           F.split_part(e, F.lit("="), F.lit(2)).cast("bigint").alias("v")))
-    return F.when(F.coalesce(F.col(col), F.lit("")) == "", F.create_map().cast("map<string,bigint>")) \
-        .otherwise(F.map_from_entries(pairs))
-
-
 def generation_document(report: DataFrame, keys=("model",)) -> DataFrame:
     """A10: the nested generation document per group from ``generation_report`` (JSON, nulls kept)."""
     keys = list(keys)
@@ -97,7 +106,7 @@ def generation_document(report: DataFrame, keys=("model",)) -> DataFrame:
         "n_items",
         F.struct(F.col("latency_p50").alias("p50"), F.col("latency_p95").alias("p95"),
                  F.col("latency_mean").alias("mean")).alias("latency_s"),
-        F.struct(F.col("failures_total").alias("total"), _text_map("failures_by_reason").alias("by_reason"))
+        F.struct(F.col("failures_total").alias("total"), ST.text_map(F.col("failures_by_reason")).alias("by_reason"))
         .alias("failures"),
         F.struct("total_prompt", "total_completion", "mean_completion").alias("tokens"),
         "truncated_count")
@@ -124,6 +133,18 @@ def generation_sidecar(replies: DataFrame, keys=("run_id",)) -> DataFrame:
         F.coalesce("failures_by_reason", F.lit("")).alias("gen_failures_by_reason"))
 
 
+def generation_from_documents(documents: DataFrame) -> DataFrame:
+    """The same block from generation documents read with ``GENERATION_SCHEMA`` (the sidecar files of J1).
+
+    ``documents``: run_id and the ``generation`` struct; unreadable ones (a null run) are left out.
+    """
+    g = F.col("generation")
+    return documents.where(F.col("run_id").isNotNull()).select(
+        "run_id", g["latency_s"]["p50"].alias("gen_latency_p50"), g["latency_s"]["p95"].alias("gen_latency_p95"),
+        g["tokens"]["total_completion"].alias("gen_total_completion"),
+        F.coalesce(ST.map_text(g["failures"]["by_reason"]), F.lit("")).alias("gen_failures_by_reason"))
+
+
 # ------------------------------------------------------------------ J2 / J4
 
 def run_counts(items: DataFrame, passed1: Column, passed2: Column) -> DataFrame:
@@ -242,12 +263,12 @@ def summary_document(report: DataFrame) -> DataFrame:
     ``failure_analysis.by_type`` is a JSON object; ``generation`` is null when
     the run has no generation telemetry (bring-your-own predictions).
     """
-    by_type = _text_map("failures_by_type")
+    by_type = ST.text_map(F.col("failures_by_type"))
     has_gen = F.col("gen_latency_p50").isNotNull() | F.col("gen_total_completion").isNotNull()
     generation = F.when(has_gen, F.struct(
         F.struct(F.col("gen_latency_p50").alias("p50"), F.col("gen_latency_p95").alias("p95")).alias("latency_s"),
         F.struct(F.col("gen_total_completion").alias("total_completion")).alias("tokens"),
-        F.struct(_text_map("gen_failures_by_reason").alias("by_reason")).alias("failures")))
+        F.struct(ST.text_map(F.col("gen_failures_by_reason")).alias("by_reason")).alias("failures")))
     doc = F.struct(
         "run_id", "total_predictions", "generation_failures", "usable_predictions",
         F.struct(F.col("phase1_passed").alias("passed"), F.col("phase1_rate").alias("rate")).alias("phase1_call_acc"),
@@ -265,19 +286,20 @@ def summary_document(report: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ J3
 
 def mutation_report(corpus: DataFrame, outcomes: DataFrame, timings: DataFrame, devices: list[tuple[str, str]],
-                    registry=V.DEFAULT_REGISTRY, checkpoint: bool = False) -> dict[str, DataFrame]:
+                    registry=V.DEFAULT_REGISTRY, checkpoint: bool = False, limit: int | None = None) -> dict[str, DataFrame]:
     """The mutation dataset, its per-device summary and totals, the skip rows, and the summary document.
 
     ``corpus``: kernel_id, path, source; ``outcomes``: kernel_id,
     mutation_type, gpu, compute_cap, returncode, stdout, stderr (at most one row
     per kernel, mutation and device that was run); ``timings``: kernel_id, side,
     sample_ms; ``devices``: the (gpu, compute_cap) pairs of the run.  Every
-    kernel and mutation counts as attempted on every device.
+    kernel and mutation counts as attempted on every device.  With ``limit``
+    only the first source files by path take part.
     Outputs are lazy and each recomputes the rewrites and the parser; with
     ``checkpoint=True`` the attempts are materialised once for callers that
     use several outputs.
     """
-    gated = V.with_parse_gate(V.expand_registry(corpus, registry))
+    gated = V.with_parse_gate(V.expand_registry(_head(corpus, limit, ["path", "kernel_id"]), registry))
     attempts = V.attempt_rows(gated, outcomes, timings, devices)
     if checkpoint:
         # several outputs read the attempts: write them once to the shared checkpoint folder
