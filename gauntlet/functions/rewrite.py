@@ -72,31 +72,45 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _forced(code, names, value: int) -> Column:
-    """Struct (code, n) after the four forms per name in order; every form runs once on the text so far."""
-    forms = F.array(*[F.struct(F.lit(pattern.format(name=name)).alias("pattern"),
-                               F.lit(repl.format(name=name, value=value)).alias("repl"))
-                      for name in names for pattern, repl in BLOCK_FORMS])
-    return F.aggregate(forms, F.struct(_c(code).alias("code"), F.lit(0).alias("n")), lambda done, form: F.struct(
-        F.regexp_replace(done["code"], form["pattern"], form["repl"]).alias("code"),
-        (done["n"] + F.regexp_count(done["code"], form["pattern"])).alias("n")))
+def _steps(code, names, value: int) -> list[tuple[Column, str, str]]:
+    """The forms of all names in order: (text so far, pattern, replacement), patterns and replacements as literals."""
+    steps, code = [], _c(code)
+    for name in names:
+        for pattern, repl in BLOCK_FORMS:
+            pattern, repl = pattern.format(name=name), repl.format(name=name, value=value)
+            steps.append((code, pattern, repl))
+            code = F.regexp_replace(code, F.lit(pattern), F.lit(repl))
+    return steps
 
 
 def force_block_value(code, names, value: int):
-    """Apply the four forms per name in order; returns (new_code, n_substitutions)."""
-    done = _forced(code, names, value)
-    return done["code"], done["n"]
+    """Apply the four forms per name in order; returns (new_code, n_substitutions).
 
+    Both read the texts in between, which one projection computes once
+    (subexpression elimination).
+    """
+    steps = _steps(code, names, value)
+    last, pattern, repl = steps[-1]
+    counts = [F.regexp_count(text, F.lit(p)) for text, p, _ in steps]
+    return F.regexp_replace(last, F.lit(pattern), F.lit(repl)), sum(counts[1:], counts[0])
 
-def _block_variant(source, first, second) -> Column:
-    kernel, sep, test = gold_split(source)
 
-    def choose(choice, otherwise) -> Column:
-        # the one-element array binds the result, so that it is computed once
-        return F.transform(F.array(_forced(kernel, *choice)), lambda done: F.when(
-            done["n"] > 0, F.concat(done["code"], sep, test)).otherwise(otherwise))[0]
+def _block_variant(source, first, second) -> Column:
+    """The first choice whose forms match, over the kernel part; null if neither does.
 
-    return choose(first, choose(second, F.lit(None).cast("string")))
+    Up to the first form that matches the text is as it was, so "some
+    substitution" is "some form matches the source", and the replacements run
+    only for the choice that applies.
+    """
+    kernel, sep, test = gold_split(source)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for names, value in (first, second):
+        last, pattern, repl = _steps(kernel, names, value)[-1]
+        some = F.lit(False)
+        for _, form, _ in _steps(kernel, names, value):
+            some = some | F.rlike(kernel, F.lit(form))
+        out = out.when(some, F.concat(F.regexp_replace(last, F.lit(pattern), F.lit(repl)), sep, test))
+    return out
 
 
 def variant_shared_mem(source) -> Column:
