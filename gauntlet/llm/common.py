@@ -88,19 +88,30 @@ def maybe_among(keys: DataFrame, column: str) -> Column:
     return own.isNotNull() & held(F.coalesce(own, F.lit(0)))
 
 
+def fresh_name(base: str, *tables: DataFrame) -> str:
+    """A column name that no column of the tables has (names are compared without case, as Spark does)."""
+    taken = {column.lower() for table in tables for column in table.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is not in ``ids`` (one column), with their columns as they are.
 
     Only documents that may be among the ids are shuffled for the join.
     """
-    gone = materialise(ids.toDF("_gone").distinct(), "dropped-ids")
+    name = fresh_name("_gone", docs)
+    gone = materialise(ids.toDF(name).distinct(), "dropped-ids")
     held = maybe_among(gone, id_col)
-    judged = docs.where(held).join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    judged = docs.where(held).join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
     return docs.where(~held).unionByName(judged)
 
 
-def with_row_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents with a key of their own for each row in ``ROW_KEY``, in the order of their ids.
+def with_row_keys(docs: DataFrame, id_col: str = "doc_id", key: str = ROW_KEY) -> DataFrame:
+    """The documents with a key of their own for each row in the column ``key``, in the order of their ids.
+
+    ``key`` must be the name of no column yet (``fresh_name``).
 
     Where every row has an id of its own, that is the key.  Else rows are numbered by id, those that repeat an id
     after the first one and those without an id last, in a scratch table that all later reads share.
@@ -108,16 +119,17 @@ def with_row_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     own = F.col(id_col).cast("long")
     odd = docs.select(own.alias("id")).groupBy("id").count().where("id IS NULL OR count > 1")
     if odd.isEmpty():
-        return docs.withColumn(ROW_KEY, own)
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    keys = rows.select(own.alias("id"), "_row").orderBy(F.col("id").asc_nulls_last(), "_row").select(
-        "_row", F.monotonically_increasing_id().alias(ROW_KEY))
-    return materialise(rows.join(materialise(keys, "row-keys"), "_row").drop("_row"), "keyed-rows")
+        return docs.withColumn(key, own)
+    row = fresh_name("_row", docs)
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keys = rows.select(own.alias(f"{row}_id"), row).orderBy(F.col(f"{row}_id").asc_nulls_last(), row).select(
+        row, F.monotonically_increasing_id().alias(key))
+    return materialise(rows.join(materialise(keys, "row-keys"), row).drop(row), "keyed-rows")
 
 
-def by_row_key(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def by_row_key(rows: DataFrame, id_col: str = "doc_id", key: str = ROW_KEY) -> DataFrame:
     """The documents with the row key in the place of their id."""
-    return rows.withColumn(id_col, F.col(ROW_KEY)).drop(ROW_KEY)
+    return rows.withColumn(id_col, F.col(key)).drop(key)
 
 
 def batches_of(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

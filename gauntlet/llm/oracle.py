@@ -36,7 +36,7 @@ _FIELDS = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-D
 
 OP3 = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
-r AS (SELECT *, {_uuid("concat_ws('|', page_id::VARCHAR, target_uri)")} AS refers_to, strlen(payload) AS size FROM p),
+r AS (SELECT *, {_uuid("concat_ws('|', page_id::VARCHAR, target_uri, " + _digest("payload") + ")")} AS refers_to, strlen(payload) AS size FROM p),
 b AS (SELECT page_id, target_uri, refers_to,
         {_uuid("concat_ws('|', refers_to, 'metadata')")} AS metadata_id,
         {_uuid("concat_ws('|', refers_to, 'conversion')")} AS conversion_id,

@@ -7,13 +7,14 @@ document is the mean of its features' vectors, every kind of feature weighing
 the same, and a linear layer with softmax gives the label.  Training
 is stochastic gradient descent in numpy over a bounded sample of labelled
 rows: ``max_per_class`` documents of either label, by hash of the id, whole
-texts.  Scoring runs over all documents; since the layer is linear, each
+texts, and of these the first whose texts come to ``max_bytes``.  Scoring runs over all documents; since the layer is linear, each
 bucket's share of the logit is one number, and that table is broadcast
 (``KINDS * BUCKETS`` floats).
 
 Cases: null and empty texts have no feature and get the score of the bias;
 labels that are null or not 0/1 are ignored; a document with both labels
-counts for both.  Without labels of both classes the score is the share of
+counts for both; of rows that repeat a sampled id the one whose text has the
+least hash is learned from.  Without labels of both classes the score is the share of
 label 1 (0.5 without any).  Repeated rows are scored each.  Only the named
 columns are read, so other columns cannot clash.  An empty table gives an
 empty result.
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gauntlet.llm.common import held_out
@@ -36,6 +37,7 @@ BUCKETS = 1 << 16      # of each kind of feature
 NGRAMS = (3, 4)        # bytes
 KINDS = 2 + len(NGRAMS)
 MAX_PER_CLASS = 1500
+MAX_SAMPLE_BYTES = 128 << 20   # of the texts of either label
 _K = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 
 
@@ -80,7 +82,12 @@ class Model:
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim: int = 16, epochs: int = 12,
           least_steps: int = 1500, rate: float = 2.0, batch: int = 16, seed: int = 1) -> Model:
-    """Fit by stochastic gradient descent; a bag is (distinct bucket ids, the share of each)."""
+    """Fit by stochastic gradient descent; a bag is (distinct bucket ids, the share of each).
+
+    A step moves the layer by the mean gradient of its batch, and the vectors
+    by the sum: most buckets are in one document of a batch, and would else
+    hardly move.
+    """
     weights = np.zeros(KINDS * BUCKETS)
     if len(set(labels.tolist())) < 2:
         share = float(np.mean(labels)) if len(labels) else 0.5
@@ -117,8 +124,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim:
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(float), float(bias[1] - bias[0]))
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, max_per_class: int) -> DataFrame:
-    """Feature bags of the bounded sample: quality, ids, shares."""
+def training_bags(docs: DataFrame, labels: DataFrame, max_per_class: int, max_bytes: int = MAX_SAMPLE_BYTES) -> DataFrame:
+    """Feature bags of the bounded sample, one per id and label: doc_id, quality, ids, shares.
+
+    At most ``max_per_class`` bags of either label, from at most ``max_bytes``
+    of text (the first document counts whatever its size).
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
     usable = usable.where(~held_out("doc_id", 4, 2))
@@ -126,10 +137,22 @@ def training_bags(docs: DataFrame, labels: DataFrame, max_per_class: int) -> Dat
     sample = usable.where("quality = 0").orderBy(*by_hash).limit(max_per_class).unionByName(
         usable.where("quality = 1").orderBy(*by_hash).limit(max_per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    chosen = texts.join(F.broadcast(sample), "doc_id")          # 2 * max_per_class ids at most
+    # hashes and sizes pick one text per id, so that however many rows an id has, no text is shuffled for it
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    sized = (texts.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+             .join(F.broadcast(sample), "doc_id")               # 2 * max_per_class ids at most
+             .groupBy("doc_id", "quality").agg(F.min(F.struct("hash", "bytes")).alias("one")).select("doc_id", "quality", "one.*"))
+    so_far = F.sum("bytes").over(Window.partitionBy("quality").orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, -1))
+    bounded = sized.withColumn("so_far", F.coalesce(so_far, F.lit(0))).where(
+        (F.col("so_far") == 0) | (F.col("so_far") + F.col("bytes") <= max_bytes))
+    chosen = texts.join(F.broadcast(bounded.select("doc_id", "hash", "quality")), ["doc_id", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()                                            # ids of the sample: rows of one are equal by now
         for batch in batches:
+            marks = [pair not in seen and not seen.add(pair) for pair in zip(
+                batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist())]
+            batch = batch.filter(pa.array(marks, pa.bool_()))
             for chunk in chunks(batch.column("text")):
                 found = features(chunk)
                 ids, shares = [], []
@@ -143,8 +166,9 @@ def training_bags(docs: DataFrame, labels: DataFrame, max_per_class: int) -> Dat
                      pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
                     ["doc_id", "quality", "ids", "shares"])
 
-    return chosen.select("doc_id", "text", "quality").mapInArrow(
+    bags = chosen.select("doc_id", "text", "quality").mapInArrow(
         run, "doc_id long, quality int, ids array<int>, shares array<float>")
+    return bags.dropDuplicates(["doc_id", "quality"])           # tasks that met the same id made the same bag
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CLASS) -> Model:

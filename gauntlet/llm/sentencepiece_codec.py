@@ -87,10 +87,11 @@ def build_tokenizer(path: str):
 
 
 def verify_parity(tokenizer, path: str, texts) -> None:
-    """Raise unless the tokenizer gives the ids of the ``sentencepiece`` library on every text."""
+    """Raise unless the tokenizer (or ``Coder``) gives the ids of the ``sentencepiece`` library on every text."""
     import sentencepiece
 
-    own = [e.ids for e in tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+    own = (tokenizer(list(texts))[0] if isinstance(tokenizer, Coder)
+           else [e.ids for e in tokenizer.encode_batch(list(texts), add_special_tokens=False)])
     other = sentencepiece.SentencePieceProcessor(model_file=path).encode(list(texts), num_threads=1)
     for text, a, b in zip(texts, own, other):
         if a != b:
@@ -103,7 +104,6 @@ class Coder:
 
     def __init__(self, path: str):
         self.tokenizer = build_tokenizer(path)
-        verify_parity(self.tokenizer, path, PROBES)
         rules = parse_model(path).normalizer_spec
         self.prefix, self.by_word = rules.add_dummy_prefix, self.tokenizer.pre_tokenizer is not None
         self.plain = rules.add_dummy_prefix and rules.escape_whitespaces and not (
@@ -117,6 +117,9 @@ class Coder:
             self.words = build_tokenizer(path)
             self.words.normalizer = self.words.pre_tokenizer = None
             self.words.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()])
+        # both ways to the ids: whole texts, and the words that batches are made of
+        verify_parity(self.tokenizer, path, PROBES)
+        verify_parity(self, path, PROBES)
 
     def _words_of(self, text: str) -> list[str]:
         if not text:
@@ -142,6 +145,10 @@ class Coder:
         return [list(chain.from_iterable(map(self.ids.__getitem__, own))) for own in lists], back
 
 
+def task_cores(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.task.cpus", "1"))
+
+
 _built: dict[str, Coder] = {}
 
 
@@ -173,13 +180,15 @@ def _encode(coder: Coder, texts: list) -> pa.Table:
                      "round_trip": pa.array(same, pa.bool_()), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
 
-def encode_texts(docs: DataFrame, *, model_path: str = MODEL_PATH, threads: int = 1, id_col: str = "doc_id",
+def encode_texts(docs: DataFrame, *, model_path: str = MODEL_PATH, threads: int | None = None, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, round_trip (decoding gives the text again), ids.
 
-    ``model_path`` must exist on every executor.  ``threads`` should be the
-    cores that Spark reserves for a task (spark.task.cpus).
+    ``model_path`` must exist on every executor.  Batches are encoded on
+    ``threads`` threads, by default the cores that Spark reserves for a task
+    (spark.task.cpus).
     """
+    threads = threads or task_cores(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +203,10 @@ def encode_texts(docs: DataFrame, *, model_path: str = MODEL_PATH, threads: int
     return made.withColumnRenamed("id", id_col)
 
 
-def decode_ids(encoded: DataFrame, *, model_path: str = MODEL_PATH, threads: int = 1, id_col: str = "doc_id") -> DataFrame:
+def decode_ids(encoded: DataFrame, *, model_path: str = MODEL_PATH, threads: int | None = None,
+               id_col: str = "doc_id") -> DataFrame:
     """One row per document: id and the text that its ids stand for (null ids: null)."""
+    threads = threads or task_cores(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

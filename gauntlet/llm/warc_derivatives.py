@@ -6,8 +6,9 @@ links, digests) and a ``conversion`` record (extracted text).  Both carry
 Digests are ``sha1:`` with base32, as crawl archives write them.
 
 Cases: null html or url is treated as empty (an empty payload has the digest
-of no bytes); a null page id keeps its two records with a null id.  Repeated
-rows give repeated records, with the same ids.  Only the named columns are
+of no bytes); a null page id keeps its two records with a null id.  Equal
+rows give repeated records, with the same ids; rows that share id and url but
+not html give records of their own.  Only the named columns are
 read, so other columns cannot clash.  An empty table gives no record.
 """
 
@@ -43,11 +44,15 @@ def record_id(*parts: Column) -> Column:
 
 
 def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records of a table of pages: page_id, record_id, target_uri, date, http_head, payload."""
+    """Response records of a table of pages: page_id, record_id, target_uri, date, http_head, payload.
+
+    The id is made from page id, url and payload digest, so captures of one
+    page that differ have ids of their own.
+    """
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.octet_length(html).cast("string"))
-    return pages.select("page_id", record_id(F.col("page_id").cast("string"), url).alias("record_id"),
+    return pages.select("page_id", record_id(F.col("page_id").cast("string"), url, sha1_base32(html)).alias("record_id"),
                         url.alias("target_uri"), F.lit(date).alias("date"), head.alias("http_head"), html.alias("payload"))
 
 

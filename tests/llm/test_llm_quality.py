@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,49 @@ def test_classifier_edge_cases(spark):
     assert quality_classifier.score_documents(table.limit(0), labels).count() == 0
 
 
+def test_training_sample_is_bounded_in_rows_and_bytes(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 30) for _ in range(50)]
+    rows = [(1, texts[i % 25]) for i in range(2000)] + [(2, texts[25 + i % 25]) for i in range(2000)] + [(3, None), (3, "x y z")]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    usable = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 4 != 2}
+    bags = [quality_classifier.training_bags(docs(spark, rows).repartition(n), labels, 10).toPandas().sort_values("doc_id")
+            for n in (1, 7)]
+    assert [set(b["doc_id"]) for b in bags] == [usable] * 2 and all(len(b) == len(usable) for b in bags)
+    for column in ("ids", "shares"):
+        assert all((x == y).all() for x, y in zip(*(b[column] for b in bags)))
+    many = [(i, "w " * 500) for i in range(60)]
+    held = spark.createDataFrame([(i, 0) for i in range(60)], "doc_id long, quality int")
+    few = quality_classifier.training_bags(docs(spark, many), held, 40, max_bytes=10_000).count()
+    assert few == 10 and quality_classifier.training_bags(docs(spark, many), held, 40, max_bytes=1).count() == 1
+
+
+def test_training_is_gradient_descent(spark):
+    """Two passes over three bags against the same steps on dense arrays."""
+    bags = [(np.array([1, 5]), np.array([0.25, 0.75], np.float32)), (np.array([5, 9]), np.array([0.5, 0.5], np.float32)),
+            (np.array([2]), np.array([1.0], np.float32))]
+    labels, dim, batch, rate, seed = np.array([0, 1, 1]), 4, 2, 2.0, 3
+    model = quality_classifier.train(bags, labels, dim=dim, epochs=2, least_steps=1, rate=rate, batch=batch, seed=seed)
+    rng, size = np.random.default_rng(seed), quality_classifier.KINDS * quality_classifier.BUCKETS
+    vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32).astype(float)
+    x = np.zeros((3, size))
+    for row, (ids, shares) in zip(x, bags):
+        row[ids] = shares
+    layer, bias, step = np.zeros((dim, 2)), np.zeros(2), 0
+    for _ in range(2):
+        order = rng.permutation(3)
+        for own in (order[:2], order[2:]):
+            now = rate * (1 - step / 4)
+            step += 1
+            mean = x[own] @ vectors
+            odds = np.exp(mean @ layer + bias)
+            error = odds / odds.sum(axis=1, keepdims=True) - np.eye(2)[labels[own]]
+            to_vectors, to_layer = x[own].T @ (error @ layer.T), mean.T @ error / len(own)
+            vectors, layer, bias = vectors - now * to_vectors, layer - now * to_layer, bias - now * error.mean(axis=0)
+    assert np.allclose(model.weights, vectors @ (layer[:, 1] - layer[:, 0]), atol=1e-5)
+    assert np.isclose(model.bias, bias[1] - bias[0], atol=1e-5)
+
+
 def brute_counts(text):
     own, text = words(text, lower=False), text or ""
     lines = [x for x in text.split("\n") if words(x, lower=False)]

@@ -53,3 +53,16 @@ def test_records_are_linked_and_survive_a_file(spark, tmp_path):
     assert sorted((h["WARC-Record-ID"], b) for h, b in found) == sorted((r.record_id, r.block.encode()) for r in rows)
     assert all(h["WARC-Refers-To"] == by_id[h["WARC-Record-ID"]].refers_to for h, _ in found)
     assert derive_records(page_responses(pages.limit(0))).count() == 0
+
+
+def test_captures_of_one_page_have_ids_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>one"), (1, "http://a/", "<p>two"), (1, "http://a/", None), (1, "http://a/", ""),
+                                   (None, "http://a/", "<p>one")], "page_id long, url string, html string")
+    responses = page_responses(pages)
+    payload = {(r.record_id, r.payload) for r in responses.collect()}
+    assert len(payload) == len({i for i, _ in payload}) == 4              # null and empty html are the same capture
+    rows = derive_records(responses).collect()
+    assert len(rows) == 10 and len({r.record_id for r in rows}) == 8
+    source = dict(payload)
+    for r in rows:
+        assert r.source_digest == sha1(source[r.refers_to].encode())
