@@ -72,6 +72,28 @@ def test_rows_without_an_id_or_with_a_repeated_one(spark, sf):
         ("9001", True), ("9001", True), ("None", False), ("None", True)]
 
 
+def test_filled_tables_keep_columns_with_clashing_names(spark, sf):
+    rng = random.Random(8)
+    one, own = prose(rng, 80), [prose(rng, 30) for _ in range(4)]
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    names = ("_row_key", "_row", "_gone", "_spans", "_id", "_ROW_id", "id", "start")
+    rows = [(9001, f"{own[0]} {one}"), (9002, f"{own[1]} {one}"), (None, f"{own[2]} {item}"), (9002, f"{own[1]} {one}"), (9003, None)]
+    table = spark.createDataFrame([(i, t, None, None, k, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)],
+                                  "doc_id long, text string, lang string, source string, n_chars long, "
+                                  + ", ".join(f"{n} string" for n in names))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf)
+        assert out.columns == table.columns
+        left[name] = {r.n_chars: r for r in out.collect()}
+        for k, r in left[name].items():
+            assert r.doc_id == rows[k][0] and [r[n] for n in names] == [f"{n}{k}" for n in names]
+    assert 4 not in left["language_id"]
+    assert set(left["near_duplicates"]) == {0, 1, 2, 4} or set(left["near_duplicates"]) == {0, 2, 3, 4}
+    assert words(left["repeated_passages"][1].text) == words(own[1]) and words(left["repeated_passages"][0].text) == words(rows[0][1])
+    assert set(left["decontamination"]) == {0, 1, 3, 4}
+
+
 def test_run_gives_the_last_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "round_trip", "ids"] and out.count() > 100
