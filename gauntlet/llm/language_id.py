@@ -6,9 +6,13 @@ its own piece probabilities, estimated by expectation-maximisation.  A word's
 probability is the sum over all its segmentations into pieces, computed by a
 forward algorithm; a text's is the product over its words.
 
-Words are lower-cased runs of letters; runs of more than ``MAX_BYTES`` bytes
-are scored in consecutive blocks.  The model is fitted on a bounded sample:
-``docs_per_language`` whole texts of each language, by hash of the id.
+Words are lower-cased runs of letters, of any length.  Runs of up to
+``BATCHED_BYTES`` bytes go through the forward algorithm together, by length;
+longer ones alone, in windows that hand the forward sums on, so segmentations
+over a window's edge count like all others.  The model is fitted on a bounded
+sample: ``docs_per_language`` ids of each language by hash, with their whole
+texts.  The driver gets the sample's distinct words with their counts, at most
+as many bytes as the sample's distinct texts have.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and so is
 every text when there is nothing to learn from; equal scores go to the
@@ -35,9 +39,11 @@ from gauntlet.llm.sentencepiece_codec import MARKER, MODEL_PATH, NORMAL, parse_m
 from gauntlet.llm.textkernel import mix
 
 DOCS_PER_LANGUAGE = 250
-MAX_PIECE, MAX_BYTES = 10, 48
+BATCHED_BYTES = 48
+WINDOW_BYTES = 1 << 16            # of a long run, whose pieces are looked up at once
 CACHE_WORDS = 100_000
 BATCH_CHARS = 2 << 20
+START = 1e250                     # of the forward sums, which fall below the least double else
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,25 +57,15 @@ def vocabulary(path: str) -> list[bytes]:
         body = piece.piece.removeprefix(MARKER)
         if piece.type == NORMAL and (body == "" or (LETTERS.fullmatch(body) and body == body.lower())):
             found.add(piece.piece.replace(MARKER, " ").encode())
-    return sorted(p for p in found if len(p) <= MAX_PIECE)
+    return sorted(found)
 
 
 def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def _blocks(word: str) -> list[bytes]:
-    """A word as marked bytes; long ones in blocks cut between characters."""
-    raw = (" " + word).encode()
-    if len(raw) <= MAX_BYTES:
-        return [raw]
-    out = [b""]
-    for character in " " + word:
-        c = character.encode()
-        if len(out[-1]) + len(c) > MAX_BYTES:
-            out.append(b"")
-        out[-1] += c
-    return out
+def _marked(word: str) -> bytes:
+    return (" " + word).encode()
 
 
 def _substring_keys(matrix: np.ndarray) -> np.ndarray:
@@ -83,7 +79,11 @@ def _substring_keys(matrix: np.ndarray) -> np.ndarray:
 
 def _key(sums: np.ndarray, i: int, j: int) -> np.ndarray:
     back = np.uint64(pow(int(_INVERSE), i, 1 << 64))
-    return mix((sums[j] - sums[i]) * back + np.uint64((j - i) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+    return _with_length((sums[j] - sums[i]) * back, j - i)
+
+
+def _with_length(key: np.ndarray, length: int) -> np.ndarray:
+    return mix(key + np.uint64(length * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
 
 
 @dataclass
@@ -95,8 +95,10 @@ class PieceModel:
     probability: np.ndarray = None                 # piece (and one of probability 0), language
     keys: np.ndarray = field(init=False)
     order: np.ndarray = field(init=False)
+    lengths: list[int] = field(init=False)         # in bytes, of the pieces; ascending
 
     def __post_init__(self):
+        self.lengths = sorted({len(p) for p in self.pieces})
         self.keys = np.empty(len(self.pieces), np.uint64)
         for length, own in pd.Series(range(len(self.pieces))).groupby([len(p) for p in self.pieces]):
             raw = np.frombuffer(b"".join(self.pieces[i] for i in own), np.uint8).reshape(-1, length)
@@ -107,22 +109,53 @@ class PieceModel:
             self.probability = np.zeros((len(self.pieces) + 1, len(self.languages)))
             self.probability[:-1] = 1 / len(self.pieces)
 
+    def numbers(self, key: np.ndarray) -> np.ndarray:
+        """Piece number of each key; the last number is none."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.order[at], len(self.pieces))
+
     def lattice(self, words: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece number of each substring (start, end) of words of one length; the last number is none."""
+        """Piece number of each substring (start, end) of words of one length, by ascending ends."""
         length = len(words[0])
         sums = _substring_keys(np.frombuffer(b"".join(words), np.uint8).reshape(len(words), length))
-        out = {}
-        for j in range(1, length + 1):
-            for i in range(max(0, j - MAX_PIECE), j):
-                key = _key(sums, i, j)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                out[i, j] = np.where(self.keys[at] == key, self.order[at], len(self.pieces))
-        return out
+        return {(j - size, j): self.numbers(_key(sums, j - size, j))
+                for j in range(1, length + 1) for size in self.lengths if size <= j}
+
+    def hits(self, raw: bytes, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and number of every piece that ends in lo + 1 to hi, by ends; and where each end's begin."""
+        before = max(0, lo - self.lengths[-1])
+        sums = _substring_keys(np.frombuffer(raw, np.uint8, hi - before, before)[None])[:, 0]
+        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(hi - before, _INVERSE)]))
+        starts, ends, pieces = [], [], []
+        for size in self.lengths:
+            at = np.arange(max(0, lo + 1 - size - before), hi - before - size + 1)
+            piece = self.numbers(_with_length((sums[at + size] - sums[at]) * back[at], size))
+            found = piece < len(self.pieces)
+            starts.append(at[found] + before)
+            ends.append(at[found] + before + size)
+            pieces.append(piece[found])
+        by = np.argsort(np.concatenate(ends), kind="stable")
+        start, end, piece = (np.concatenate(x)[by] for x in (starts, ends, pieces))
+        return start, end, piece, np.searchsorted(end, np.arange(lo + 1, hi + 2))
+
+    def walk(self, raw: bytes, log_p: np.ndarray, window: int = WINDOW_BYTES) -> Iterator[np.ndarray]:
+        """Log forward sums of a long run at its positions from 1, window by window; each row has the languages."""
+        tail, langs = np.zeros((1, log_p.shape[1])), log_p.shape[1]
+        for lo in range(0, len(raw), window):
+            hi = min(len(raw), lo + window)
+            start, _, piece, cut = self.hits(raw, lo, hi)
+            zero = lo + 1 - len(tail)                       # the position in the first row
+            sums = np.concatenate([tail, np.empty((hi - lo, langs))])
+            gain, at = log_p[piece], start - zero
+            for row, a, b in zip(range(len(tail), len(sums)), cut[:-1].tolist(), cut[1:].tolist()):
+                sums[row] = np.logaddexp.reduce(sums[at[a:b]] + gain[a:b], axis=0)
+            yield sums[len(tail):]
+            tail = sums[-self.lengths[-1]:]
 
     def forward(self, lattice: dict, length: int, n: int, p: np.ndarray) -> np.ndarray:
-        """Summed probability of all segmentations of each prefix: position, word, language."""
+        """START times the summed probability of all segmentations of each prefix: position, word, language."""
         alpha = np.zeros((length + 1, n, p.shape[1]))
-        alpha[0] = 1
+        alpha[0] = START
         for (i, j), piece in lattice.items():
             if (piece < len(self.pieces)).any():
                 alpha[j] += alpha[i] * p[piece]
@@ -130,29 +163,30 @@ class PieceModel:
 
     def log_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
-        blocks, owner = [], []
-        for w, word in enumerate(words):
-            own = _blocks(word)
-            blocks += own
-            owner += [w] * len(own)
-        out, owner = np.zeros((len(words), len(self.languages))), np.array(owner, np.int64)
-        sizes = np.array([len(b) for b in blocks])
-        for length in np.unique(sizes):
+        raw, out = [_marked(w) for w in words], np.zeros((len(words), len(self.languages)))
+        sizes = np.array([len(r) for r in raw])
+        for length in np.unique(sizes[sizes <= BATCHED_BYTES]):
             at = np.flatnonzero(sizes == length)
             for k in range(0, len(at), 4096):
                 part = at[k:k + 4096]
-                lattice = self.lattice([blocks[b] for b in part])
-                total = self.forward(lattice, length, len(part), self.probability)[length]
-                np.add.at(out, owner[part], np.log(total))
+                lattice = self.lattice([raw[w] for w in part])
+                out[part] = np.log(self.forward(lattice, length, len(part), self.probability)[length]) - np.log(START)
+        long = np.flatnonzero(sizes > BATCHED_BYTES)
+        if len(long):
+            log_p = np.log(self.probability[:-1])
+            for w in long:
+                for sums in self.walk(raw[w], log_p):
+                    out[w] = sums[-1]
         return out
 
     def fit(self, counts: list[dict[str, int]], *, rounds: int = 4, smoothing: float = 0.02) -> None:
         """Expectation-maximisation of each language's probabilities from its word counts."""
         for own, words in enumerate(counts):
             grouped: dict[int, list[tuple[bytes, int]]] = {}
+            long: list[tuple[bytes, int]] = []
             for word, n in sorted(words.items()):
-                for block in _blocks(word):
-                    grouped.setdefault(len(block), []).append((block, n))
+                raw = _marked(word)
+                (grouped.setdefault(len(raw), []) if len(raw) <= BATCHED_BYTES else long).append((raw, n))
             ready = [(length, self.lattice([b for b, _ in rows]), np.array([n for _, n in rows], float)[:, None])
                      for length, rows in grouped.items()]
             p = self.probability[:, own:own + 1].copy()
@@ -166,9 +200,26 @@ class PieceModel:
                         share = beta[j] * p[piece]
                         beta[i] += share
                         expected += np.bincount(piece, (alpha[i] * share)[:, 0], len(p))
+                for raw, n in long:
+                    expected[:-1] += n * self.expected_pieces(raw, np.log(p[:-1]))
                 p[:-1, 0] = (expected[:-1] + smoothing) / (expected[:-1] + smoothing).sum()
             self.probability[:, own] = p[:, 0]
 
+    def expected_pieces(self, raw: bytes, log_p: np.ndarray, window: int = WINDOW_BYTES) -> np.ndarray:
+        """How often each piece occurs in a long run, over all its segmentations; of one language (column)."""
+        alpha = np.concatenate([[0.0], *(sums[:, 0] for sums in self.walk(raw, log_p, window))])
+        beta, out = np.full(len(raw) + 1, -np.inf), np.zeros(len(log_p))
+        beta[-1] = 0
+        for lo in reversed(range(0, len(raw), window)):
+            hi = min(len(raw), lo + window)
+            start, end, piece, cut = self.hits(raw, lo, hi)
+            gain = log_p[piece, 0]
+            for j in range(hi, lo, -1):
+                s = slice(cut[j - lo - 1], cut[j - lo])
+                beta[start[s]] = np.logaddexp(beta[start[s]], beta[j] + gain[s])
+            out += np.bincount(piece, np.exp(alpha[start] + gain + beta[end] - alpha[-1]), len(out))
+        return out
+
 
 def fit_model(docs: DataFrame, *, model_path: str, docs_per_language: int) -> PieceModel:
     """Fit on a bounded sample; word counts are gathered by Spark."""

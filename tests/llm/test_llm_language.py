@@ -21,8 +21,53 @@ def test_forward_sums_all_segmentations():
     for word in ("abcab", "é", "a", "bcabc"):
         got = model.log_scores([word])[0]
         assert np.allclose(got, [np.log(brute((" " + word).encode(), lang)) for lang in (0, 1)])
-    long = "ab" * 200
-    assert np.isfinite(model.log_scores([long])).all() and b"".join(li._blocks(long)) == (" " + long).encode()
+
+
+def whole(model, word):
+    """Log forward sum of a run and expected pieces of its first language, in plain logarithms over the whole run."""
+    raw, number = (" " + word).encode(), {p: k for k, p in enumerate(model.pieces)}
+    arcs = [(i, j, number[raw[i:j]]) for j in range(1, len(raw) + 1) for i in range(max(0, j - 40), j) if raw[i:j] in number]
+    log_p = np.log(model.probability[:-1])
+    alpha, beta = np.full((len(raw) + 1, log_p.shape[1]), -np.inf), np.full(len(raw) + 1, -np.inf)
+    alpha[0], beta[-1], expected = 0, 0, np.zeros(len(model.pieces))
+    for i, j, k in arcs:
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + log_p[k])
+    for i, j, k in reversed(arcs):
+        beta[i] = np.logaddexp(beta[i], beta[j] + log_p[k, 0])
+        expected[k] += np.exp(alpha[i, 0] + log_p[k, 0] + beta[j] - alpha[-1, 0])
+    return alpha[-1], expected
+
+
+def test_long_runs_are_summed_over_window_edges():
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abc", b"bc", b" ab", b"abcabcabcabcabc"})
+    rng = np.random.default_rng(2)
+    p = rng.random((len(pieces) + 1, 2)) + 1e-9
+    p[-1] = 0
+    model = li.PieceModel(pieces, ["x", "y"], p / p.sum(axis=0))
+    for word in ("abc" * 16, "abc" * 40, "é" * 33 + "abcab" * 30, "ab" * 700):
+        score, expected = whole(model, word)
+        raw, log_p = li._marked(word), np.log(model.probability[:-1])
+        assert np.allclose(model.log_scores([word])[0], score)
+        for window in (7, 50, 1 << 16):
+            assert np.allclose(list(model.walk(raw, log_p, window))[-1][-1], score)
+            assert np.allclose(model.expected_pieces(raw, log_p[:, :1], window), expected)
+    assert np.isfinite(model.log_scores(["ab" * 40000])).all()
+
+
+def test_every_usable_piece_is_kept():
+    pieces = li.vocabulary(li.MODEL_PATH)
+    usable = [p.piece for p in li.parse_model(li.MODEL_PATH).pieces if p.type == li.NORMAL and p.piece.removeprefix(li.MARKER).isalpha()
+              and p.piece.islower()]
+    assert max(map(len, pieces)) > 10 and {p.replace(li.MARKER, " ").encode() for p in usable} <= set(pieces)
+
+
+def test_fitting_counts_long_runs():
+    pieces = li.vocabulary(li.MODEL_PATH)
+    model = li.PieceModel(pieces, ["de", "en"])
+    model.fit([{"donau" * 30: 5, "haus": 1}, {"house": 1}], rounds=2)
+    assert np.allclose(model.probability.sum(axis=0), 1)
+    de, en = model.log_scores(["donau" * 30])[0]
+    assert de > en
 
 
 def test_fitting_raises_the_likelihood():
