@@ -231,6 +231,18 @@ def _answer(order: int, strength: float, buckets: int):
     return run
 
 
+def dealt(docs: DataFrame, blocks: int, modulus: int) -> DataFrame:
+    """The texts with their blocks.  Rows are dealt by id and row number, so equal rows spread over the blocks.
+
+    Rows are numbered in the order of their values in a partition, so a task
+    that is run again after a lost executor deals them as before.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.sortWithinPartitions("doc_id", "text").select(
+        "doc_id", "text", held_out("doc_id", modulus, 0).alias("held_out"),
+        F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
+
+
 def score_documents(docs: DataFrame, *, order: int = ORDER, strength: float = STRENGTH,
                     block_bytes: int = BLOCK_BYTES, modulus: int = 10) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
@@ -239,9 +251,7 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, strength: float = ST
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.select("doc_id", "text", held_out("doc_id", modulus, 0).alias("held_out"),
-                         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    texts = dealt(docs, blocks, modulus)
     asked = texts.groupBy("block").applyInArrow(_ask(order, blocks), "bucket long, block long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_total, "block long, bucket long, totals binary, n long, v long")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(

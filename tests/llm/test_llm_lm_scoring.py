@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from gauntlet.llm import lm_scoring
 from gauntlet.llm.lm_scoring import score_documents
 from llm_helpers import CLASHING, docs, prose, words
 
@@ -64,6 +65,14 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert total == pytest.approx(1)
 
 
+def test_equal_rows_are_spread_over_blocks(spark):
+    rows = [(None, "a b c a b")] * 300 + [(7, "a b d")] * 300
+    got = score_documents(docs(spark, rows), block_bytes=400).collect()
+    same(got, brute(rows, 2, 5.0))
+    texts = lm_scoring.dealt(docs(spark, rows), 8, 10).groupBy("block").count().collect()
+    assert len(texts) == 8 and max(r["count"] for r in texts) < 200
+
+
 def test_empty_table_and_no_training_text(spark):
     assert score_documents(docs(spark, [], CLASHING)).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)

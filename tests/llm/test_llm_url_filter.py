@@ -1,4 +1,6 @@
+import pickle
 import random
+import time
 
 from gauntlet.llm.queries import URL_ALLOW, URL_BLOCK
 from gauntlet.llm.url_filter import UrlTrie, judge_urls
@@ -40,3 +42,29 @@ def test_urls_nulls_and_clashing_columns(spark):
     assert got[6] == got[7] == got[8] == ("", "", None, "allow") and got[9][:2] == ("b:", "//c/d")
     assert got[10][0] == "É.com"
     assert judge_urls(pages.limit(0), URL_ALLOW, URL_BLOCK).count() == 0
+
+
+def test_join_equals_trie(spark):
+    rng = random.Random(9)
+    host = lambda: ".".join(rng.choice(["com", "net", "a", "b", "www", "", "É"]) for _ in range(rng.randrange(1, 5)))
+    path = lambda: rng.choice(["", "/", "/en", "/en/", "/en/ar", "/en/arx/y", "/e", "/x/y", "//", "/É/"])
+    rules = sorted({host() + path() for _ in range(120)} - {""})
+    allow, block = rules[::2], [*rules[1::2], *rules[:6], rules[8].upper()]
+    urls = [f"http://{host()}{path()}" for _ in range(600)] + [None, "", "x", "http://", "http:///en/"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + urls[:50])], "page_id long, url string, rule string")
+    one, other = (sorted(map(tuple, judge_urls(pages, allow, block, max_trie_bytes=size).collect())) for size in (1 << 20, 0))
+    assert one == other and len(one) == len(urls) + 50 and len({r[3] for r in one}) > 20
+    assert judge_urls(pages.limit(0), allow, block, max_trie_bytes=0).count() == 0
+    assert {r.verdict for r in judge_urls(pages, [], [], max_trie_bytes=0).collect()} == {"allow"}
+
+
+def test_packed_trie_of_many_rules():
+    rules = [f"h{i % 300}.example.com/section{i}/page{i}" for i in range(50_000)]
+    prefixes = [f"com/{i:05d}" for i in range(20_000)]
+    trie = UrlTrie(rules, prefixes)
+    assert len(pickle.dumps(trie)) < 4 * sum(map(len, rules + prefixes))
+    started = time.monotonic()
+    for i in range(0, 20_000, 20):
+        assert trie.match("x.org.com", f"/{i:05d}x/y") == (f"com/{i:05d}", "block")
+    assert time.monotonic() - started < 0.5
+    assert trie.match("a.h7.example.com", "/section307/page307/x") == (rules[307], "allow")
