@@ -3,18 +3,27 @@
 All paths live under the shared checkpoint folder (``session.scratch_dir``).
 Readers keep the reference's formats (a JSON array per file, one record per
 JSONL line, one module per ``.py`` file) and spread files over tasks; nothing
-is read through the driver.
+is read through the driver.  Folders of many small files are listed by tasks
+too, so the driver never holds their names.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from itertools import islice
+from urllib.parse import urlsplit
+
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from gauntlet.session import scratch_dir
 from gauntlet.sources.json_array import read_json_array, write_json_arrays
 
 TASK_ITEM = T.StructType([T.StructField("instruction", T.StringType()), T.StructField("input", T.StringType())])
@@ -58,6 +67,112 @@ def read_task_arrays(spark: SparkSession, root: str, datasets=VALID_DATASETS) ->
     return items.select(dataset.alias("dataset"), F.col("idx").cast("bigint").alias("idx"), "instruction", "input")
 
 
+# ---- folders of many files ---------------------------------------------------------
+
+LISTED = "path string, below string, size long, is_dir boolean"
+LIST_ROWS, READ_ROWS, READ_BYTES = 10_000, 1_000, 8 << 20   # a batch of names; of texts
+
+
+def _filesystem(root: str):
+    """Arrow's file system of a folder, and its path there."""
+    import pyarrow.fs as pafs
+    base = _local(root).rstrip("/")
+    if "://" not in base:
+        return pafs.LocalFileSystem(), base
+    # Hadoop's s3a scheme is plain s3 for Arrow's filesystem layer
+    return pafs.FileSystem.from_uri("s3://" + base[len("s3a://"):] if base.startswith("s3a://") else base)
+
+
+def _for_tasks(root: str) -> bool:
+    """Whether tasks can open the folder themselves; other stores are left to Spark's readers."""
+    try:
+        _filesystem(root)
+        return True
+    except (pa.ArrowInvalid, OSError):
+        return False
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(fs, folder: str, local: bool) -> Iterator[tuple[str, int, bool]]:
+    """name, size and whether it is a folder; a local folder is streamed however long it is."""
+    if local:
+        with os.scandir(folder) as found:
+            for e in found:
+                is_dir = e.is_dir()
+                yield e.name, 0 if is_dir else e.stat().st_size, is_dir
+    else:
+        import pyarrow.fs as pafs
+        for info in fs.get_file_info(pafs.FileSelector(folder)):
+            yield info.base_name, info.size or 0, info.type == pafs.FileType.Directory
+
+
+def list_files(spark: SparkSession, root: str, recursive: bool, glob: str) -> DataFrame | None:
+    """path (as the file system names it) and below (the path below ``root``) of every file with a matching name.
+
+    Tasks list the folders, one level of folders after another, and write what
+    they find to the scratch folder.  As in Spark's file sources, hidden names and empty files are left
+    out.  None if ``root`` is missing.
+    """
+    import pyarrow.fs as pafs
+    fs, top = _filesystem(root)
+    if fs.get_file_info([top])[0].type == pafs.FileType.NotFound:
+        return None
+    local = "://" not in _local(root)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _filesystem(root)
+        for batch in batches:
+            for path, below in zip(*(batch.column(c).to_pylist() for c in ("path", "below"))):
+                rows = ((f"{path}/{name}", f"{below}{name}", size, is_dir) for name, size, is_dir in _entries(fs, path, local)
+                        if not _hidden(name) and (is_dir if not size else not is_dir and fnmatchcase(name, glob)))
+                while part := list(islice(rows, LIST_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.string(), pa.int64(), pa.bool_()))],
+                                                     ["path", "below", "size", "is_dir"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, levels = spark.createDataFrame([(top, "")], "path string, below string"), []
+    while True:
+        at = scratch_dir(spark, "listing")
+        folders.repartition(parts, "path").mapInArrow(found, LISTED).write.parquet(at)
+        levels.append(at)
+        folders = spark.read.schema(LISTED).parquet(at).where("is_dir").select("path", F.concat("below", F.lit("/")).alias("below"))
+        if not recursive or folders.isEmpty():
+            return spark.read.schema(LISTED).parquet(*levels).where("NOT is_dir").select("path", "below")
+
+
+def _texts(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """path and value (the whole text) of listed files, dealt over tasks by their paths."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _filesystem(root)
+
+        def batch_of(paths, texts):
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["path", "value"])
+
+        for batch in batches:
+            paths, texts, held = [], [], 0
+            for path in batch.column("path").to_pylist():
+                with fs.open_input_stream(path) as fh:
+                    texts.append(fh.read())
+                paths.append(path)
+                held += len(texts[-1])
+                if len(paths) >= READ_ROWS or held >= READ_BYTES:
+                    yield batch_of(paths, texts)
+                    paths, texts, held = [], [], 0
+            if paths:
+                yield batch_of(paths, texts)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = _local(root)
+    scheme = f"{urlsplit(base).scheme}://" if "://" in base else "file://"
+    return files.select("path").repartition(parts, "path").mapInArrow(read, "path string, value binary").select(
+        F.concat(F.lit(scheme), "path").alias("path"), F.col("value").cast("string").alias("value"))
+
+
 # ---- C10: listings ----------------------------------------------------------------
 
 def read_listing(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
@@ -67,11 +182,17 @@ def read_listing(spark: SparkSession, root: str, suffix: str = ".py") -> DataFra
     run comes several times; a missing folder has no files.  Spark's file
     sources leave out empty files, and so does the listing.
     """
-    if not has_files(spark, root):
-        return spark.createDataFrame([], "run_id string, kernel_id string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    below = F.substring_index("path", f"{_local(root).rstrip('/')}/", -1)
-    return files.where(F.endswith("path", F.lit(suffix))).select(
+    if _for_tasks(root):
+        files = list_files(spark, root, recursive=True, glob="*")
+        if files is None:
+            return spark.createDataFrame([], "run_id string, kernel_id string")
+        path, below = F.col("path"), F.col("below")
+    else:
+        if not has_files(spark, root):
+            return spark.createDataFrame([], "run_id string, kernel_id string")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+        path, below = F.col("path"), F.substring_index("path", f"{_local(root).rstrip('/')}/", -1)
+    return files.where(F.endswith(path, F.lit(suffix))).select(
         F.split_part(below, F.lit("/"), F.lit(1)).alias("run_id"), F.substring_index(below, "/", -1).alias("kernel_id"))
 
 
@@ -96,17 +217,13 @@ def read_predictions(spark: SparkSession, root: str) -> DataFrame:
 # ---- A3 / A4: whole-text corpora ----------------------------------------------------
 
 def write_named_files(df: DataFrame, root: str, name_col: str, text_col: str) -> int:
-    """Write each row's text to ``root/<name>``; runs in the tasks, returns the file count."""
-    base = _local(root).rstrip("/")
+    """Write each row's text to ``root/<name>``; runs in the tasks, returns the file count.
+
+    The rows are dealt over all tasks by name, as their source may have few splits.
+    """
 
     def writer(batches):
-        import pyarrow.fs as pafs
-        if "://" in base:
-            # Hadoop's s3a scheme is plain s3 for Arrow's filesystem layer
-            uri = "s3://" + base[len("s3a://"):] if base.startswith("s3a://") else base
-            fs, prefix = pafs.FileSystem.from_uri(uri)
-        else:
-            fs, prefix = pafs.LocalFileSystem(), base
+        fs, prefix = _filesystem(root)
         made = set()
         for pdf in batches:
             for name, text in zip(pdf[name_col], pdf[text_col]):
@@ -119,7 +236,8 @@ def write_named_files(df: DataFrame, root: str, name_col: str, text_col: str) ->
                     fh.write((text or "").encode("utf-8"))
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    out = df.select(name_col, text_col).mapInPandas(writer, "n long").agg(F.sum("n")).first()[0]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.select(name_col, text_col).repartition(parts, name_col).mapInPandas(writer, "n long").agg(F.sum("n")).first()[0]
     return int(out or 0)
 
 
@@ -130,27 +248,31 @@ def _input_path():
 
 def read_corpus(spark: SparkSession, root: str, recursive: bool = False, glob: str = "*.py") -> DataFrame:
     """A3: every matching file as (path, kernel_id, source), whole text per file."""
-    reader = spark.read.option("pathGlobFilter", glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    df = reader.text(root, wholetext=True)
-    if df.isEmpty():
-        raise FileNotFoundError(f"no {glob} files under {root}")
-    path = _input_path()
+    if _for_tasks(root):
+        files = list_files(spark, root, recursive, glob)
+        if files is None or files.isEmpty():
+            raise FileNotFoundError(f"no {glob} files under {root}")
+        df, path = _texts(spark, files, root), F.col("path")
+    else:
+        reader = spark.read.option("pathGlobFilter", glob)
+        if recursive:
+            reader = reader.option("recursiveFileLookup", "true")
+        df, path = reader.text(root, wholetext=True), _input_path()
+        if df.isEmpty():
+            raise FileNotFoundError(f"no {glob} files under {root}")
     return df.select(path.alias("path"), F.regexp_extract(path, r"([^/]*)\z", 1).alias("kernel_id"),
                      F.col("value").alias("source"))
 
 
 def read_corpus_with_fallback(spark: SparkSession, primary: str, fallback: str, glob: str = "*.py") -> DataFrame:
     """A4: recursive scan of ``primary``; if it is missing or holds no matching file, scan ``fallback``."""
-    if has_files(spark, primary):
-        try:
-            return read_corpus(spark, primary, recursive=True, glob=glob)
-        except FileNotFoundError:
-            pass
-    if not has_files(spark, fallback):
-        raise FileNotFoundError(f"no {glob} files under {primary} or {fallback}")
-    return read_corpus(spark, fallback, recursive=True, glob=glob)
+    for root in (primary, fallback):
+        if _for_tasks(root) or has_files(spark, root):
+            try:
+                return read_corpus(spark, root, recursive=True, glob=glob)
+            except FileNotFoundError:
+                pass
+    raise FileNotFoundError(f"no {glob} files under {primary} or {fallback}")
 
 
 def has_files(spark: SparkSession, root: str) -> bool:

@@ -126,3 +126,20 @@ def test_survivors_by_listing(spark):
     assert sorted(map(tuple, FN.survivors(items, listing).collect())) == [
         ("r1", "a.py"), ("r1", "a.py"), ("r1", "b c+.py"), ("r2", "a.py")]
     assert IO.read_listing(spark, scratch_dir(spark, "t-missing")).count() == 0
+
+
+def test_folders_of_many_files_are_listed_and_read_in_tasks(spark):
+    root = scratch_dir(spark, "t-many")
+    names = [f"r{i % 3}/s{i % 2}/k{i}.py" for i in range(300)] + ["r0/empty.py", "r0/.hidden.py", "_tmp/x.py", "r1/notes.txt", "top.py"]
+    rows = spark.createDataFrame([(n, "" if "empty" in n else f"é {n}") for n in names], "name string, text string")
+    IO.write_named_files(rows, root, "name", "text")
+    listing, corpus = IO.read_listing(spark, root), IO.read_corpus(spark, root, recursive=True)
+    for df in (listing, corpus):                    # no file index of the folder, which the driver would hold
+        assert root.rsplit("/", 1)[1] not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert "binaryFile" not in df._jdf.queryExecution().executedPlan().toString()
+        assert not [f for f in df.inputFiles() if root in f]
+    kept = [n for n in names if n.startswith("r") and n.endswith(".py") and "empty" not in n and "hidden" not in n]
+    assert sorted(map(tuple, listing.collect())) == sorted((n.split("/")[0], n.split("/")[-1]) for n in kept + ["top.py"])
+    assert {r.path.split(root.split(":")[-1])[1].strip("/"): r.source for r in corpus.collect()} == {n: f"é {n}" for n in kept + ["top.py"]}
+    assert [r.kernel_id for r in IO.read_corpus(spark, root).collect()] == ["top.py"]
+    assert all(r.path.startswith("file:///") for r in corpus.collect())
