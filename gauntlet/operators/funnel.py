@@ -43,9 +43,12 @@ def phase_failures(candidates: DataFrame, survived: DataFrame) -> DataFrame:
 
 
 def probe_lookup(failed: DataFrame, probes: DataFrame) -> DataFrame:
-    """C3 + E4: last write per key, then a left lookup with default (-1, '')."""
+    """C3 + E4: last write per key, then a left lookup with default (-1, '').
+
+    The failing items are hashed and the probes, whose stderr is wide, stream past them unsorted.
+    """
     latest = last_write_wins(probes.select(*KEYS, "seq", "returncode", "stderr"), KEYS, "seq")
-    return (failed.join(latest, KEYS, "left")
+    return (failed.hint("shuffle_hash").join(latest, KEYS, "left")
             .withColumn("returncode", F.coalesce(F.col("returncode"), F.lit(-1)))
             .withColumn("stderr", F.coalesce(F.col("stderr"), F.lit(""))))
 

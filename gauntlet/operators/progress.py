@@ -68,10 +68,12 @@ def last_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     The highest ``seq`` per key is a narrow, partially aggregated hash
     aggregate, so a key written very often is reduced map-side; the winning
     rows are then picked with a semi join on (key, seq), which AQE can split
-    when one side is skewed.  Wide payloads never enter an aggregation buffer.
+    when one side is skewed.  Wide payloads never enter an aggregation buffer
+    nor a sort: the narrow side, one row per key, is hashed and the rows stream
+    past it.
     """
     top = df.groupBy(*keys).agg(F.max(seq).alias(seq))
-    return df.join(top, [*keys, seq], "left_semi")
+    return df.join(top.hint("shuffle_hash"), [*keys, seq], "left_semi")
 
 
 def attempt_verdicts(attempts: DataFrame) -> DataFrame:
