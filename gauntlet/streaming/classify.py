@@ -18,6 +18,9 @@ from gauntlet.session import scratch_dir
 from gauntlet.sources.tables import fixture
 
 
+ROWS_PER_FILE = 100_000         # rows of a landed file
+
+
 def classify_stream(probes: DataFrame) -> DataFrame:
     s = F.lower(F.coalesce(F.col("stderr"), F.lit("")))
     # a probe without a return code did not end well
@@ -48,10 +51,15 @@ def stateless_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str,
 
 
 def run_stateless(spark: SparkSession, table: DataFrame, transform, read_schema: str, label: str) -> DataFrame:
-    """Land ``table`` as parquet files, stream them through ``transform``, read the JSONL sink back."""
+    """Land ``table`` as parquet files, stream them through ``transform``, read the JSONL sink back.
+
+    A micro-batch takes a file for every core, and a file has a bounded number
+    of rows, so that all cores work however few splits the table has.
+    """
     landing = scratch_dir(spark, f"{label}-in")
-    table.write.mode("overwrite").parquet(landing)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    table.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(landing)
+    files = max(2, spark.sparkContext.defaultParallelism)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(landing)
     sink, ckpt = scratch_dir(spark, f"{label}-out"), scratch_dir(spark, f"{label}-ckpt")
     stateless_to_sink(stream, transform, sink, ckpt).awaitTermination()
     return spark.read.schema(read_schema + ", epoch bigint").json(sink).drop("epoch")
