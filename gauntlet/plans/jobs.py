@@ -209,7 +209,8 @@ def evaluation_report(items: DataFrame, probes: DataFrame, devices: DataFrame, p
     status = None
     if runlogs is not None:
         status = EF.perf_completion(base.select("run_id", F.col("phase2_passed").alias("survivors")), runlogs)
-        lines = lines.join(status.where(F.col("status") == EF.MEASURED), "run_id", "left_semi")
+        # a row per run: shuffled by run, the lines of a few runs would go to as few tasks
+        lines = lines.join(F.broadcast(status.where(F.col("status") == EF.MEASURED).select("run_id")), "run_id", "left_semi")
     if "stream" not in lines.columns:
         lines = lines.withColumn("stream", F.lit("stdout"))
     stdout = lines.where(F.col("stream") == "stdout")
