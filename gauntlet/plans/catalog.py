@@ -806,7 +806,9 @@ def q_job_evaluate_only(spark, sf):
 
 
 def _corpus(spark, sf):
-    return _gold(spark, sf).select("kernel_id", F.concat(F.lit("gold/"), F.col("kernel_id")).alias("path"), "source")
+    # a small file has few splits; the rewrites and the parser need all tasks
+    gold = _gold(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kernel_id")
+    return gold.select("kernel_id", F.concat(F.lit("gold/"), F.col("kernel_id")).alias("path"), "source")
 
 
 def q_job_mutation_report(spark, sf):
