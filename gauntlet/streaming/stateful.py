@@ -1,6 +1,7 @@
 """Streams with state: progress per run (E1/H1), the retry ledger (E2) and results in any order.
 
-The first two are ``transformWithStateInPandas`` processors, so their state lives in the
+Progress is a ``transformWithStateInPandas`` processor and the ledger, which has a key per item, an
+``applyInPandasWithState`` function.  Their state lives in the
 RocksDB store under the stream's checkpoint and a restarted query goes on
 where the last one ended.  State is a few numbers per key: counts for a run,
 the attempts seen so far (at most the attempt limit) for an item.
@@ -27,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gauntlet.functions.classify import MAX_ATTEMPTS
 from gauntlet.operators.progress import attempt_verdicts, ledger_outcome
@@ -75,25 +77,22 @@ def progress_per_run(events: DataFrame, steps: tuple[int, ...]) -> DataFrame:
         ProgressCounter(steps), PROGRESS_SCHEMA, "append", "none")
 
 
-_KEPT = "attempt int, terminal boolean, ok boolean, wait_s double, message string, status_code int"
+_KEPT = ("attempt", "terminal", "ok", "wait_s", "message", "status_code")
+_STATE = ("attempt array<int>, terminal array<boolean>, ok array<boolean>, wait_s array<double>, message array<string>, "
+          "status_code array<int>, ignored int, closed boolean")
 
 
-class RetryLedger(StatefulProcessor):
-    """Attempts of one item until it closes; ``closed_by`` says what closed it."""
+def retry_ledger(max_attempts: int, timeout_ms: int):
+    """Attempts of one item until it closes; ``closed_by`` says what closed it.
 
-    def __init__(self, max_attempts: int, timeout_ms: int):
-        self.max_attempts, self.timeout_ms = max_attempts, timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.attempts = handle.getMapState("attempts", "attempt int", _KEPT)
-        self.ignored = handle.getValueState("ignored", "n int, closed boolean")
+    The state is one row per item, which travels with the item's rows in Arrow
+    batches, so an item costs no call to the state store of its own.
+    """
 
-    def _replay(self) -> tuple[list, bool]:
+    def replay(known: dict[int, tuple]) -> tuple[list, bool]:
         """Attempts from the first one on without a gap, up to a terminal one; whether the item is complete."""
-        known = {k[0]: v for k, v in self.attempts.iterator()} if self.attempts.exists() else {}
         steps = []
-        for n in range(self.max_attempts):
+        for n in range(max_attempts):
             if n not in known:
                 return steps, False
             steps.append(known[n])
@@ -101,46 +100,48 @@ class RetryLedger(StatefulProcessor):
                 return steps, True
         return steps, True
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ignored, closed = self.ignored.get() if self.ignored.exists() else (0, False)
+    def closing(key, steps: list, ignored: int, closed_by: str) -> pd.DataFrame:
+        last = steps[-1]
+        return pd.DataFrame({"run_id": [key[0]], "item": [key[1]], "ok": [last[2]], "terminal": [last[1]], "message": [last[4]],
+                             "status_code": pd.array([last[5]], "Int32"), "attempts_used": [len(steps)],
+                             "attempts_ignored": [ignored], "total_wait_s": [sum(s[3] for s in steps)], "closed_by": [closed_by]})
+
+    def expired(key, known: dict[int, tuple], ignored: int, closed: bool) -> Iterator[pd.DataFrame]:
+        if known and not closed:
+            steps = [known[n] for n in sorted(known)]
+            ends = [n for n, v in enumerate(steps, 1) if v[1]]
+            yield closing(key, steps[:ends[0]] if ends else steps, ignored, "timeout")
+
+    def handle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *kept, ignored, closed = state.get if state.exists else (*([],) * len(_KEPT), 0, False)
+        known = {row[0]: row for row in zip(*kept)}
+        if state.hasTimedOut:
+            state.remove()
+            yield from expired(key, known, ignored, closed)
+            return
         newest = None
-        for batch in rows:
-            newest = max(filter(lambda t: t is not None, (newest, int(batch["at_ms"].max()))))
-            for r in batch.itertuples(index=False):
-                if closed or r.attempt >= self.max_attempts or self.attempts.containsKey((int(r.attempt),)):
+        for batch in batches:
+            at = int(batch["at_ms"].max())
+            newest = at if newest is None else max(newest, at)
+            for attempt, terminal, ok, wait_s, message, status in zip(*(batch[c].tolist() for c in _KEPT)):
+                if closed or attempt >= max_attempts or attempt in known:
                     ignored += 1
                 else:
-                    status = None if pd.isna(r.status_code) else int(r.status_code)
-                    self.attempts.updateValue((int(r.attempt),), (int(r.attempt), bool(r.terminal), bool(r.ok), float(r.wait_s),
-                                                                  None if pd.isna(r.message) else r.message, status))
+                    known[attempt] = (int(attempt), bool(terminal), bool(ok), float(wait_s), None if pd.isna(message) else message,
+                                      None if pd.isna(status) else int(status))
         if not closed:
-            steps, complete = self._replay()
-            if complete:
-                closed = True
-                yield self._row(key, steps, ignored, "attempt")
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(newest + self.timeout_ms)
-        self.ignored.update((ignored, closed))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ignored, closed = self.ignored.get() if self.ignored.exists() else (0, True)
-        if not closed:
-            known = sorted((v for _, v in self.attempts.iterator()), key=lambda v: v[0]) if self.attempts.exists() else []
-            ends = [n for n, v in enumerate(known, 1) if v[1]]
-            if known:
-                yield self._row(key, known[:ends[0]] if ends else known, ignored, "timeout")
-        self.attempts.clear()
-        self.ignored.clear()
-
-    def _row(self, key, steps: list, ignored: int, closed_by: str) -> pd.DataFrame:
-        last = steps[-1]
-        return pd.DataFrame([{"run_id": key[0], "item": key[1], "ok": last[2], "terminal": last[1], "message": last[4],
-                              "status_code": last[5], "attempts_used": len(steps), "attempts_ignored": ignored,
-                              "total_wait_s": sum(s[3] for s in steps), "closed_by": closed_by}]).astype({"status_code": "Int32"})
+            steps, closed = replay(known)
+            if closed:
+                yield closing(key, steps, ignored, "attempt")
+        if newest + timeout_ms < state.getCurrentWatermarkMs():      # late rows, whose timer has passed already
+            if state.exists:
+                state.remove()
+            yield from expired(key, known, ignored, closed)
+            return
+        state.update((*(list(c) for c in zip(*known.values())), ignored, closed) if known else (*([],) * len(_KEPT), ignored, closed))
+        state.setTimeoutTimestamp(newest + timeout_ms)
 
-    def close(self) -> None:
-        pass
+    return handle
 
 
 _CLOSED = ("run_id string, item long, ok boolean, terminal boolean, message string, status_code int, attempts_used int, "
@@ -158,8 +159,8 @@ def live_ledger(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, timeout_m
     judged = attempt_verdicts(judged).select(
         "run_id", F.col("item").cast("long"), F.col("attempt").cast("int"), F.col("at_ms").cast("long"), "terminal", "ok", "wait_s",
         "message", F.col("status_code").cast("int"), F.timestamp_millis("at_ms").alias("at"))
-    closed = judged.withWatermark("at", lateness).groupBy("run_id", "item").transformWithStateInPandas(
-        RetryLedger(max_attempts, timeout_ms), _CLOSED, "append", "eventTime")
+    closed = judged.withWatermark("at", lateness).groupBy("run_id", "item").applyInPandasWithState(
+        retry_ledger(max_attempts, timeout_ms), _CLOSED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return ledger_outcome(closed, ["run_id", "item"], max_attempts, "closed_by")
 
 
