@@ -41,19 +41,20 @@ def _local(path: str) -> str:
 # ---- A1: task arrays --------------------------------------------------------------
 
 def write_task_arrays(tasks: DataFrame, root: str, datasets=VALID_DATASETS) -> None:
-    """One JSON array per dataset (``root/dataset=<name>``), items in the order of ``idx``."""
+    """A dataset's JSON array in ``root/dataset=<name>``, items in the order of ``idx``; a large one is cut into
+    consecutive arrays, a file each."""
     write_json_arrays(tasks.select("dataset", "idx", "instruction", "input"), root, "dataset", list(datasets), ["idx"])
 
 
 def read_task_file(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """A1: one JSON array per dataset; the index is the array position.
+    """A1: one JSON array per dataset; the index is the array position, counted on through a folder's files.
 
     The array is read by byte ranges (``json_array``), so a large file has
     many tasks; a broken array raises.
     """
     if dataset not in VALID_DATASETS:
         raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {dataset!r}")
-    items = read_json_array(spark, path, TASK_ITEM)
+    items = read_json_array(spark, path, TASK_ITEM, across_files=True)
     return items.select(F.lit(dataset).alias("dataset"), F.col("idx").cast("bigint").alias("idx"), "instruction", "input")
 
 
@@ -62,7 +63,7 @@ def read_task_arrays(spark: SparkSession, root: str, datasets=VALID_DATASETS) ->
     bad = [d for d in datasets if d not in VALID_DATASETS]
     if bad:
         raise ValueError(f"dataset must be one of {VALID_DATASETS}, got {bad}")
-    items = read_json_array(spark, [f"{root}/dataset={name}" for name in datasets], TASK_ITEM)
+    items = read_json_array(spark, [f"{root}/dataset={name}" for name in datasets], TASK_ITEM, across_files=True)
     dataset = F.regexp_extract("file", r"/dataset=([^/]*)/[^/]*\z", 1)
     return items.select(dataset.alias("dataset"), F.col("idx").cast("bigint").alias("idx"), "instruction", "input")
 

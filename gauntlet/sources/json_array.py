@@ -21,8 +21,11 @@ elements that are not objects, text after the end, and fields that do not fit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 from gauntlet.session import scratch_dir
 
 BROKEN = "broken JSON array: "
+BATCH_ITEMS = 256      # items joined with their commas at a time
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -89,13 +93,20 @@ def _states(segments: DataFrame) -> DataFrame:
     rows = rows.withColumn("_depth", F.col("_start") + so_far("_delta"))
     rows = rows.withColumn("_ends", ((F.col("_closes") == 1) & (F.col("_depth") + F.col("_delta") == 1)).cast("int"))
     rows = rows.withColumn("_closed", so_far("_ends"))
-    closed = rows.groupBy("file", "block").agg(F.sum("_ends").alias("_n")).select("file", "block", before("_n").alias("_closed_before"))
+    # the elements of the files before this one in its folder: a row per range is counted
+    in_folder = Window.partitionBy(F.regexp_extract("file", r"\A(.*)/", 1)).orderBy("file").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    closed = rows.groupBy("file", "block").agg(F.sum("_ends").alias("_n")).select(
+        "file", "block", before("_n").alias("_closed_before"),
+        (F.sum("_n").over(in_folder) - F.sum("_n").over(Window.partitionBy("file"))).alias("_files_before"))
     return rows.join(closed, ["file", "block"]).select(
-        "file", "block", "at", "_depth", "_inside", "_is_last", (F.col("_closed") + F.col("_closed_before")).alias("idx"))
+        "file", "block", "at", "_depth", "_inside", "_is_last", (F.col("_closed") + F.col("_closed_before")).alias("idx"), "_files_before")
 
 
-def json_array_elements(spark: SparkSession, paths) -> DataFrame:
-    """file, idx (from 0, per file) and text of every element of the files' arrays, each an object."""
+def json_array_elements(spark: SparkSession, paths, across_files: bool = False) -> DataFrame:
+    """file, idx (from 0, per file) and text of every element of the files' arrays, each an object.
+
+    ``across_files``: idx counts on through the files of a folder, in the order of their names.
+    """
     segments = _segments(spark, paths)
     steps = segments.join(_states(segments), ["file", "block", "at"])
     broken = lambda why: F.raise_error(F.concat(F.lit(BROKEN + why + " in "), F.col("file")))
@@ -104,7 +115,8 @@ def json_array_elements(spark: SparkSession, paths) -> DataFrame:
         (F.col("_depth") == 1) & ~F.col("_inside") & F.rlike("text", F.lit(r"\A\s*\]\s*\z")))
     elements = steps.groupBy("file", "idx").agg(
         F.array_sort(F.collect_list(F.struct("block", "at", "text"))).alias("_parts"),
-        F.max(F.when(F.col("_is_last"), F.when(rest_ok, F.lit(0)).otherwise(F.lit(1)))).alias("_rest"))
+        F.max(F.when(F.col("_is_last"), F.when(rest_ok, F.lit(0)).otherwise(F.lit(1)))).alias("_rest"),
+        F.max("_files_before").alias("_files_before"))
     text = F.array_join(F.transform("_parts", lambda p: p["text"]), "}")
     # the file's rest has no element; if it shares a group with segments, an element was not closed
     rest = F.col("_rest").isNotNull()
@@ -113,28 +125,47 @@ def json_array_elements(spark: SparkSession, paths) -> DataFrame:
              .when(rest, F.lit(None).cast("string"))
              .when(~opening, broken("something else than an object or a comma"))
              .otherwise(F.concat(F.regexp_replace(text, r"\A\s*[\[,]\s*", ""), F.lit("}"))))
-    return elements.select("file", "idx", value.alias("text")).where(F.col("text").isNotNull())
+    place = F.col("idx") + F.col("_files_before") if across_files else F.col("idx")
+    return elements.select("file", place.alias("idx"), value.alias("text")).where(F.col("text").isNotNull())
 
 
-def read_json_array(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
+def read_json_array(spark: SparkSession, paths, schema: T.StructType, across_files: bool = False) -> DataFrame:
     """file, idx and the elements' fields; an element that does not fit the schema raises."""
-    parsed = json_array_elements(spark, paths).select("file", "idx", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("_e"))
+    parsed = json_array_elements(spark, paths, across_files).select("file", "idx", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("_e"))
     return parsed.select("file", "idx", "_e.*")
 
 
 def write_json_arrays(rows: DataFrame, root: str, by: str, groups: list[str], order: list[str]) -> None:
-    """One JSON array per group in ``root/<by>=<group>``: the other columns in the order of ``order``, nulls kept.
+    """The other columns of each group, in the order of ``order``, as JSON arrays in ``root/<by>=<group>``, nulls kept.
 
-    An array is one value, so one task writes a group's file, streaming sorted
-    rows.  A group without rows gets an empty array.
+    A group is range-partitioned by its order (rows of the same place: by a hash of their text), and each task writes
+    its range as an array of its own, streaming sorted rows; so no task holds more than a range, and the arrays' file
+    names follow the order.  A small group is one range and one array; one without rows gets an empty array.
     """
     spark = rows.sparkSession
     fields = [c for c in rows.columns if c not in (by, *order)]
-    items = rows.where(F.col(by).isin(groups)).select(by, F.lit(1).alias("_k"), *order,
-                                                      F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
-    nulls = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order]
-    ends = spark.createDataFrame([(g, k, v) for g in groups for k, v in ((0, "["), (2, "]"))], f"{by} string, _k int, value string")
-    everything = items.unionByName(ends.select(by, "_k", *nulls, "value"))
-    before = F.lag("_k").over(Window.partitionBy(by).orderBy("_k", *order))
-    line = F.when((F.col("_k") == 1) & (F.col("_before") == 1), F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value"))
-    everything.withColumn("_before", before).select(by, line.alias("value")).write.mode("overwrite").partitionBy(by).text(root)
+    tie = "_tie" + "_" * max(map(len, order), default=0)
+    for group in groups:
+        items = rows.where(F.col(by) == group).select(*order, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+        # a row of no item: the task that gets it writes an array even if no item comes its way
+        mark = spark.range(1).select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order), F.lit(None).cast("string").alias("value"))
+        keyed = items.unionByName(mark).withColumn(tie, F.xxhash64("value"))
+        ranged = keyed.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+        ranged.select("value").mapInArrow(_bracketed, "value string").write.mode("overwrite").text(f"{root}/{by}={group}")
+
+
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one array: its brackets, and a comma before every item but the first; nothing for no rows."""
+    lead = None
+    for batch in batches:
+        for at in range(0, len(batch), BATCH_ITEMS):
+            items = batch.column("value").slice(at, BATCH_ITEMS).drop_null()
+            if lead is None:
+                yield pa.RecordBatch.from_arrays([pa.array(["["])], ["value"])
+                lead = ""
+            if len(items):
+                first = pa.array([lead] + [","] * (len(items) - 1))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(first, items.cast(pa.string()), "")], ["value"])
+                lead = ","
+    if lead is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])

@@ -84,6 +84,26 @@ def test_array_round_trip_keeps_order_and_nulls(spark):
     assert got == {499 - i: (f"t}}{i}", "" if i % 2 == 0 else None) for i in range(500)}
 
 
+def test_a_large_array_is_written_by_ranges(spark, small_splits):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1500, "simp").otherwise("comp").alias("dataset"), (F.col("id") * 7919 % 10007).alias("idx"),
+                                    F.concat(F.lit('t},"{['), "id").alias("instruction"), F.when(F.col("id") % 2 == 0, "é\n").alias("input"))
+    root = scratch_dir(spark, "t-ranges")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        IO.write_task_arrays(rows, root, datasets=("simp", "comp"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {d: [(r.instruction, r.input) for r in sorted(rows.where(F.col("dataset") == d).collect(), key=lambda r: r.idx)] for d in ("simp", "comp")}
+    for d in want:
+        files = sorted(spark.read.text(f"{root}/dataset={d}", wholetext=True).select("_metadata.file_name", "value").collect())
+        parts = [json.loads(r.value) for r in files]
+        assert [(x["instruction"], x["input"]) for part in parts for x in part] == want[d]
+        assert len(parts) > 1 and max(map(len, parts)) < 0.9 * len(want[d])
+    got = IO.read_task_arrays(spark, root).collect()
+    assert sorted((r.dataset, r.idx, r.instruction, r.input) for r in got) == sorted((d, i, *x) for d in want for i, x in enumerate(want[d]))
+    assert sorted(r.idx for r in IO.read_task_file(spark, f"{root}/dataset=simp", "simp").collect()) == list(range(1500))
+
+
 def test_ordered_sink_gives_places_without_a_sort(spark, small_splits):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("idx"), F.concat(F.lit("é "), "id").alias("instruction"),
                                     F.when(F.col("id") % 3 > 0, F.repeat(F.lit("p"), (F.col("id") % 50).cast("int"))).alias("predict"))
