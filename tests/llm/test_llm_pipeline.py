@@ -109,7 +109,7 @@ def test_stages_on_an_empty_table(spark, sf):
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
 def test_queries_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want, got = con.execute(oracle.ORACLE_SQL[name]).df(), QUERIES[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
