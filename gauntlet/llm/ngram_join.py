@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauntlet.llm.common import batches_of, bitmap, in_bitmap, materialise, maybe_among
+from gauntlet.llm.common import batches_of, bitmap, in_bitmap, materialise, of_documents, written
 from gauntlet.llm.count_rtree import LEAF, CountRTree, overlap_needed
 from gauntlet.llm.graph import components
 from gauntlet.llm.textkernel import chunks, mix, shingle_set, signed, span_hashes
@@ -177,18 +177,20 @@ def _bounded(pairs: DataFrame, routed: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
 
 
+@written("verified")
 def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets have the similarity."""
     pairs = materialise(pairs, "candidates")
     used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    chosen = members.join(used, "class").select("doc_id", "class")
+    chosen = texts.sparkSession.sparkContext.broadcast(bitmap(members.join(used, "class").select("doc_id")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, sets in _sets(batches, width):
+        for batch, first, sets in _sets(of_documents(batches, chosen.value, nulls=True), width):
             kept = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([fingerprint(s) for s in kept], np.uint64))),
                                               pa.array([s.tobytes() for s in kept], pa.binary())], ["class", "set"])
 
-    sets = texts.where(F.col("doc_id").isNull() | maybe_among(chosen.select("doc_id"), "doc_id")).mapInArrow(run, "class long, set binary").dropDuplicates(["class"])
+    sets = texts.mapInArrow(run, "class long, set binary").dropDuplicates(["class"])
     sets = materialise(sets.join(used, "class", "left_semi"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int
 
     side = lambda x: sets.select(F.col("class").alias(x), F.col("set").alias(f"s_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return materialise(joined.mapInArrow(check, "a long, b long"), "verified")
+    return joined.mapInArrow(check, "a long, b long")
 
 
 def _search_runs(percent: int):
@@ -305,6 +307,7 @@ def _contested(routed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_search_runs(percent), "a long, b long").distinct()
 
 
+@written("components")
 def similarity_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,5 +1,8 @@
+import os
 import re
 
+from gauntlet.session import checkpoint_root
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -19,3 +22,12 @@ def docs(spark, rows, schema=SCHEMA):
 
 def prose(rng, n, vocabulary=3000):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def kept_files(spark):
+    """Scratch tables under the checkpoint folder, and shuffle files with more than the row of a total."""
+    scratch = os.path.join(checkpoint_root(spark).removeprefix("file:"), "gauntlet-scratch")
+    tables = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    found = [os.path.join(top, name) for d in local for top, _, names in os.walk(d) for name in names if name.startswith("shuffle_")]
+    return tables, {f for f in found if f.endswith(".data") and os.path.getsize(f) > 200}

@@ -2,10 +2,10 @@ import random
 
 import numpy as np
 
-from gauntlet.llm import ngram_join
+from gauntlet.llm import common, ngram_join
 from gauntlet.llm.count_rtree import CountRTree, overlap_needed
 from gauntlet.llm.graph import components
-from llm_helpers import CLASHING, docs, prose, words
+from llm_helpers import CLASHING, docs, kept_files, prose, words
 
 
 def shingles(text):
@@ -81,6 +81,25 @@ def test_a_threshold_met_exactly_links(spark):
     assert dict((r[0], r[2]) for r in brute(rows + five))[11] == 10
 
 
+def test_one_worker_a_task_and_only_the_result_stays(spark, monkeypatch):
+    rows = corpus(random.Random(13)) + [(None, "a text without an id"), (None, None)]
+    table = docs(spark, rows)
+    tables, shuffles = kept_files(spark)
+
+    pandas_udf = common.F.pandas_udf
+
+    def second(*args, **kwargs):
+        assert "functionType" in kwargs, "a pandas UDF takes a worker of its own beside the function over batches"
+        return pandas_udf(*args, **kwargs)          # applyInArrow's own call
+
+    monkeypatch.setattr(common.F, "pandas_udf", second)
+    out = ngram_join.similarity_components(table)
+    after, left = kept_files(spark)
+    assert len(after - tables) == 1 and not left - shuffles
+    assert got(table) == brute(rows) and out.count() == len(rows)
+    assert all(spark.conf.get(key, None) != value for key, value in common.OWN_SETTINGS.items())
+
+
 def test_empty_table(spark):
     assert ngram_join.similarity_components(docs(spark, [], CLASHING)).count() == 0
 
