@@ -122,3 +122,34 @@ def test_slots_without_a_result_become_null(spark):
     S.to_epochs(stream, sink, scratch_dir(spark, "t-restored-ckpt")).awaitTermination()
     got = {r.idx: r.predict for r in S.read_epochs(spark, sink, stream.schema).collect()}
     assert got == {0: "p0", 1: "p1", 2: None, 3: None, 4: "p4", 5: None, 50: "p50"}
+
+
+def test_items_of_a_bucket_close_on_their_own_timers(spark):
+    minute = 60_000
+    at = lambda m: 1_700_000_000_000 + m * minute
+    feed = Feed(spark, ATTEMPTS, lambda s: S.live_ledger(s, buckets=1))
+    first = [(None if i % 5 == 0 else "r", i, 0, at(i % 20), "empty", f"m{i}", None) for i in range(40)]
+    feed.add(first + [("r", 100, 0, at(0), "ok", None, None), ("s", 1, 0, at(0), "status", "No such model", 404)])
+    got = {r[:2]: r for r in feed.run()}
+    assert set(got) == {("r", 100), ("s", 1)} and got["s", 1][2:4] == ("failed", 1)
+    feed.add([("r", 11, 1, at(25), "ok", None, None), (None, 5, 1, at(25), "empty", "busy", None), ("r", 100, 1, at(25), "ok", None, None)])
+    got = {r[:2]: r for r in feed.run()}                                  # the watermark is at 15: timers up to 14 are over
+    early = {r[:2] for r in first if r[3] + 10 * minute < at(15)}
+    assert set(got) == early - {("r", 11), (None, 5)} | {("r", 11), (None, 5), ("r", 100), ("s", 1)}
+    assert got["r", 11][2:4] == ("success", 2) and got[None, 5][2:4] == ("failed", 2) and got["r", 100][3:5] == (1, 0)
+    assert all(got[k][-1] == "timeout" and got[k][3] == 1 for k in early - {("r", 11), (None, 5)})
+    feed.add([("r", 200, 0, at(90), "empty", "x", None)])
+    feed.add([("r", 201, 0, at(91), "empty", "x", None)])
+    closed = [r[:2] for r in feed.run()]
+    assert len(closed) == len(set(closed)) and set(closed) == {r[:2] for r in first} | {("r", 100), ("s", 1)}
+
+
+def test_ledger_state_has_a_row_for_each_bucket_not_each_item(spark):
+    landing, sink, checkpoint = (scratch_dir(spark, f"t-{x}") for x in ("many-in", "many-out", "many-ckpt"))
+    rows = spark.range(3000).selectExpr("'r' AS run_id", "id AS item", "0 AS attempt", "1700000000000 + id AS at_ms", "'empty' AS kind",
+                                        "'busy' AS message", "CAST(NULL AS INT) AS status_code")
+    rows.coalesce(1).write.parquet(f"{landing}/0")
+    query = S.to_epochs(S.live_ledger(S.source_of(spark, landing, rows.schema), timeout_ms=60_000_000), sink, checkpoint)
+    query.awaitTermination()
+    state = max(x.numRowsTotal for p in query.recentProgress for x in p.stateOperators)
+    assert 0 < state <= 1024
