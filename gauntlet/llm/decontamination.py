@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauntlet.llm.common import bitmap, in_bitmap, materialise, without_ids
+from gauntlet.llm.common import bitmap, in_bitmap, lean, materialise, without_ids
 from gauntlet.llm.textkernel import chunks, mix, signed, span_hashes, window_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -119,7 +119,7 @@ def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
                      pa.array([c for _, c in seeds], pa.list_(pa.int64()))], ["item_id", "n", "item_words", "seeds", "places"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "item_id long, n long, item_words binary, seeds array<long>, places array<long>").where("n > 0")
+    rows = rows.mapInArrow(lean(run), "item_id long, n long, item_words binary, seeds array<long>, places array<long>").where("n > 0")
     return rows.groupBy("item_words").agg(F.min("item_id").alias("item_id"), F.first("n").alias("n"),
                                           F.first(F.arrays_zip("seeds", "places")).alias("seeds"))
 
@@ -151,7 +151,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, min_match: int
                                                       pa.array(c, pa.list_(pa.int64()))], ["doc_id", "words", "hits"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(suspects, "doc_id long, words binary, hits array<long>")
+    found = texts.mapInArrow(lean(suspects), "doc_id long, words binary, hits array<long>")
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "suspects")
     # every tile has a seed for each start within it, so an item whose shared seeds have fewer places than this (a
     # repeated seed counts at each of them) cannot reach the coverage
@@ -172,7 +172,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, min_match: int
 
     both = pairs.join(found.select("row", "doc_id", "words"), "row").join(items.select("item_id", "n", "item_words"), "item_id")
     tiled = both.select("doc_id", "item_id", "n", "words", "item_words").mapInArrow(
-        tile, "doc_id long, item_id long, item_tokens long, covered long, "
+        lean(tile), "doc_id long, item_id long, item_tokens long, covered long, "
               "tiles array<struct<doc_start:int,item_start:int,words:int>>")
     share = F.col("covered") / F.col("item_tokens")
     return tiled.where(share >= coverage).select("doc_id", "item_id", "item_tokens", "covered", share.alias("coverage"), "tiles")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gauntlet.llm.common import held_out
+from gauntlet.llm.common import held_out, lean
 from gauntlet.llm.sentencepiece_codec import MARKER, MODEL_PATH, NORMAL, parse_model
 from gauntlet.llm.textkernel import mix
 
@@ -240,7 +240,7 @@ def fit_model(docs: DataFrame, *, model_path: str, docs_per_language: int) -> Pi
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["lang", "word", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
+    counted = sample.select("lang", "text").mapInArrow(lean(run), "lang string, word string, n long")
     rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     model = PieceModel(vocabulary(model_path), languages)
@@ -303,5 +303,5 @@ def identify(docs: DataFrame, *, model_path: str = MODEL_PATH, docs_per_language
                  pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double").select(
+    return texts.mapInArrow(lean(run), "doc_id long, lang_pred string, score double").select(
         "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauntlet.llm.common import batches_of, bitmap, in_bitmap, materialise, of_documents, written
+from gauntlet.llm.common import batches_of, bitmap, in_bitmap, lean, materialise, of_documents, written
 from gauntlet.llm.count_rtree import LEAF, CountRTree, overlap_needed
 from gauntlet.llm.graph import components
 from gauntlet.llm.textkernel import chunks, mix, shingle_set, signed, span_hashes
@@ -111,7 +111,7 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets)))], ["shingle"])
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(COMMON_SAMPLE)) == 0).select("text")
-    seen = sample.mapInArrow(run, "shingle long").groupBy("shingle").count()
+    seen = sample.mapInArrow(lean(run), "shingle long").groupBy("shingle").count()
     return bitmap(seen.where(F.col("count") >= COMMON_SEEN).select("shingle"))
 
 
@@ -132,7 +132,7 @@ def profile(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 "keys": pa.array([signed(routing_keys(s, common.value, percent)) if len(s) else None for s in sets],
                                  pa.list_(pa.int64()))}), schema)
 
-    return texts.mapInArrow(run, "doc_id long, n long, class long, vector binary, keys array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, n long, class long, vector binary, keys array<long>")
 
 
 def _routed(rows: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _routed(rows: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
             yield out.filter(pa.array(np.diff(ends) > 0))
 
     found = rows.where(F.col("class").isNotNull()).select("class", "n", "vector", "keys")
-    found = found.mapInArrow(run, "class long, n long, vector binary, keys array<long>, lead array<boolean>, typical int")
+    found = found.mapInArrow(lean(run), "class long, n long, vector binary, keys array<long>, lead array<boolean>, typical int")
     return found.dropDuplicates(["class"])
 
 
@@ -174,7 +174,7 @@ def _bounded(pairs: DataFrame, routed: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(long_enough)
-    return joined.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(lean(run), "a long, b long")
 
 
 @written("verified")
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([fingerprint(s) for s in kept], np.uint64))),
                                               pa.array([s.tobytes() for s in kept], pa.binary())], ["class", "set"])
 
-    sets = texts.mapInArrow(run, "class long, set binary").dropDuplicates(["class"])
+    sets = texts.mapInArrow(lean(run), "class long, set binary").dropDuplicates(["class"])
     sets = materialise(sets.join(used, "class", "left_semi"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int
 
     side = lambda x: sets.select(F.col("class").alias(x), F.col("set").alias(f"s_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return joined.mapInArrow(check, "a long, b long")
+    return joined.mapInArrow(lean(check), "a long, b long")
 
 
 def _search_runs(percent: int):
@@ -304,7 +304,7 @@ def _contested(routed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         "key", "band", "cell", "class", "component", "shard", "cross", "home", "lead", "vector")
     n = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "band", "cell").sortWithinPartitions("key", "band", "cell", "class")
-    return rows.mapInArrow(_search_runs(percent), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_search_runs(percent)), "a long, b long").distinct()
 
 
 @written("components")

@@ -21,14 +21,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gauntlet.llm.common import lean
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6   # fixed values of the model format
 UNIGRAM, BPE = 1, 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+AT_ONCE = 1 << 15                 # words encoded at once, as the library keeps more of each than its ids
 CACHE_WORDS = 150_000             # words that a worker keeps with their ids, besides those of the batch
 
 #: Fixed probe texts for the parity check: white space, other scripts, bytes without a piece, marks.
@@ -136,9 +140,11 @@ class Coder:
             self.ids, self.texts = {}, {}
         lists = [self._words_of(t) for t in texts]
         new = [w for w in dict.fromkeys(chain.from_iterable(lists)) if w not in self.ids]
-        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
-        self.ids.update(zip(new, ids))
-        self.texts.update(zip(new, self.words.decode_batch(ids, skip_special_tokens=False)))
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i:i + AT_ONCE]
+            ids = [e.ids for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
+            self.ids.update(zip(part, ids))
+            self.texts.update(zip(part, self.words.decode_batch(ids, skip_special_tokens=False)))
         back = ["".join(map(self.texts.__getitem__, own)) for own in lists]
         if self.prefix:
             back = [b.removeprefix(" ") for b in back]
@@ -161,15 +167,16 @@ def coder_for(path: str, threads: int) -> Coder:
     return _built[path]
 
 
-def _slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, list]]:
+    """The texts in parts of about ``limit`` bytes, each with its first row; the others stay in Arrow meanwhile."""
     start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > limit:
-            yield start, i
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if size and size + n > limit:
+            yield start, texts.slice(start, i - start).to_pylist()
             start, size = i, 0
-        size += len(text or "")
+        size += n
     if len(texts) > start:
-        yield start, len(texts)
+        yield start, texts.slice(start).to_pylist()
 
 
 def _encode(coder: Coder, texts: list) -> pa.Table:
@@ -193,13 +200,12 @@ def encode_texts(docs: DataFrame, *, model_path: str = MODEL_PATH, threads: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coder = coder_for(model_path, threads)
-            texts = batch.column("text").to_pylist()
-            for i, j in _slices(texts, BATCH_BYTES):
-                made = _encode(coder, texts[i:j])
-                yield from made.add_column(0, "id", batch.column("id").slice(i, j - i)).to_batches()
+            for i, texts in _slices(batch.column("text"), BATCH_BYTES):
+                made = _encode(coder, texts)
+                yield from made.add_column(0, "id", batch.column("id").slice(i, len(texts))).to_batches()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.mapInArrow(run, "id long, n_tokens long, round_trip boolean, ids array<int>")
+    made = rows.mapInArrow(lean(run), "id long, n_tokens long, round_trip boolean, ids array<int>")
     return made.withColumnRenamed("id", id_col)
 
 
@@ -216,4 +222,4 @@ def decode_ids(encoded: DataFrame, *, model_path: str = MODEL_PATH, threads: int
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), "ids")
-    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, text string").withColumnRenamed("id", id_col)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -59,3 +60,29 @@ def test_parity_check_refuses_a_wrong_tokenizer():
     tokenizer.normalizer = None
     with pytest.raises(ValueError):
         codec.verify_parity(tokenizer, codec.MODEL_PATH, ["two words"])
+
+
+def test_texts_leave_arrow_in_parts():
+    texts = [None, "", "é" * 40, "ab", None, "c" * 300, "d" * 10, *["e" * 9] * 50]
+    parts = list(codec._slices(pa.array(["x", *texts]).slice(1), 100))
+    assert [t for _, part in parts for t in part] == texts and len(parts) > 5
+    assert [i for i, _ in parts] == [sum(len(p) for _, p in parts[:n]) for n in range(len(parts))]
+    assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part) <= 100 for _, part in parts)
+    assert list(codec._slices(pa.array([], pa.string()), 100)) == []
+
+
+def test_few_words_are_encoded_at_once(monkeypatch):
+    monkeypatch.setattr(codec, "AT_ONCE", 7)
+    whole, coder, sizes = codec.Coder(codec.MODEL_PATH), codec.Coder(codec.MODEL_PATH), []
+    own = coder.words
+
+    class Counted:
+        decode_batch = own.decode_batch
+
+        def encode_batch_fast(self, words, **options):
+            sizes.append(len(words))
+            return own.encode_batch_fast(words, **options)
+
+    coder.words = Counted()
+    texts = [" ".join(f"word{i * j}" for j in range(20)) for i in range(20)]
+    assert coder(texts) == whole(texts) and len(sizes) > 5 and max(sizes) <= 7
